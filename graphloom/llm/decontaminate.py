@@ -3,7 +3,7 @@
 A mask keeps five words of a window and ignores the positions between them. Each mask's words are hashed at every
 place of a document and of a benchmark item; equal hashes propose that the item lies in the document along a
 diagonal (place in the document less place in the item), and the whole item is then compared along it, word by word.
-An item is contained where at least ``SIMILARITY`` of its words agree.
+An item is contained where at least ``SIMILARITY`` of its words, and five, agree.
 
 The masks leave no such diagonal out: of an item's windows of six words one has at most one substitution, and then
 it holds five words in a row or a mask with one gap; items of ten words with two neighbouring substitutions in the
@@ -73,7 +73,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         hits = hits.join(whole, "item_id").join(own, "doc_id")
     agree = F.size(F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda i: F.get("w", F.col("start") + i) == F.get("item", i)))
     found = hits.select("doc_id", "item_id", F.size("item").cast("long").alias("n_words"), agree.cast("long").alias("n_matched"), F.col("start").cast("long").alias("start"))
-    good = found.where(F.col("n_matched") >= F.col("n_words") * similarity)
+    good = found.where((F.col("n_matched") >= F.col("n_words") * similarity) & (F.col("n_matched") >= WEIGHT))
     best = F.max(F.struct("n_matched", (-F.col("start")).alias("back"), "n_words"))
     return good.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_words", "b.n_matched", (-F.col("b.back")).alias("start"))
 
@@ -97,7 +97,7 @@ bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1)
 m AS (
   SELECT doc_id, item_id, n, p - i AS start, count(*) AS n_matched
   FROM dw JOIN bw USING (word)
-  GROUP BY ALL HAVING count(*) * 5 >= n * 4
+  GROUP BY ALL HAVING count(*) * 5 >= n * 4 AND count(*) >= 5
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched DESC, start) AS k FROM m
 )

@@ -21,7 +21,10 @@ from graphloom.llm.tables import table, texts
 
 #: Labelled rows to train on, about, and terms of one of them (of the smallest hashes, for training alone).
 SAMPLE, TERMS = 12_000, 4_000
-BITS, RANK, EPOCHS, BATCH, RATE, SHRINK = 16, 4, 12, 128, 0.02, 2e-4
+BITS, RANK, EPOCHS, STEPS, BATCH, RATE, SHRINK = 16, 4, 12, 1500, 128, 0.02, 2e-4
+LEAST, DEVIATIONS = 3, 4.0
+#: How fast factors are learnt against weights: what single terms explain is theirs.
+PAIRS = 0.1
 WORD = re.compile(r"[^\W_]+")
 REJECT = 0.3
 REMEMBERED = 200_000
@@ -61,10 +64,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
+def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Which buckets tell a label at all: in ``LEAST`` rows, and more often with one label than chance allows (``DEVIATIONS``)."""
+    n, flat = 1 << BITS, np.concatenate(rows)
+    one = np.bincount(flat, np.repeat(y, [len(r) for r in rows]), n)
+    seen, ones = np.bincount(flat, minlength=n), y.sum()
+    share = seen / len(y)
+    spread = np.sqrt(share * (1 - share) * (1 / ones + 1 / (len(y) - ones))) + 1e-12
+    return (seen >= LEAST) & (np.abs(one / ones - (seen - one) / (len(y) - ones)) > DEVIATIONS * spread)
+
+
 def train(rows: list[list[int]], labels: list[int], seed: int = 7) -> np.ndarray:
-    """Logistic loss, adaptive steps, weights and factors shrunk towards zero so that rare noise stays there.
+    """Logistic loss, adaptive steps, weights and factors shrunk towards zero; buckets that tell nothing stay there.
 
-    Without rows of both labels the machine knows the bias alone: the smoothed share of label 1.
+    Small samples are gone through more often, for ``STEPS`` steps at least. Without rows of both labels the machine knows the bias alone: the smoothed share of label 1.
     """
     n, rng = 1 << BITS, np.random.default_rng(seed)
     model = np.zeros((n + 1, RANK + 1))
@@ -72,10 +85,14 @@ def train(rows: list[list[int]], labels: list[int], seed: int = 7) -> np.ndarray
     model[-1, 0] = np.log(share / (1 - share))
     if len(set(labels)) < 2:
         return model
-    model[:-1, 1:] = rng.normal(0, 0.01, (n, RANK))
     y, arrays = np.array(labels, np.float64), [np.array(r, np.int64) for r in rows]
+    tells = telling(arrays, y)
+    if not tells.any():
+        return model
+    model[:-1][tells, 1:] = rng.normal(0, 0.03, (int(tells.sum()), RANK))
+    arrays = [a[tells[a]] for a in arrays]
     first, second, step = np.zeros_like(model), np.zeros_like(model), 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(rows)))):
         order = rng.permutation(len(rows))
         for k in range(0, len(order), BATCH):
             part = order[k : k + BATCH]
@@ -94,6 +111,7 @@ def train(rows: list[list[int]], labels: list[int], seed: int = 7) -> np.ndarray
             first[used] = 0.9 * first[used] + 0.1 * grad
             second[used] = 0.999 * second[used] + 0.001 * grad**2
             move = RATE * (first[used] / (1 - 0.9**step)) / (np.sqrt(second[used] / (1 - 0.999**step)) + 1e-6)
+            move[:, 1:] *= PAIRS
             now = model[used] - move
             now[:-1] = np.sign(now[:-1]) * np.maximum(np.abs(now[:-1]) - SHRINK, 0)
             model[used] = now
