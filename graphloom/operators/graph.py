@@ -9,28 +9,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
-from graphloom.staging import written
+from graphloom.staging import written, written_with
+
+ROWS = F.count(F.lit(1)).alias("n")
 
 
 def closure(edges: DataFrame, starts: DataFrame | None = None, include_start: bool = True, max_rounds: int = 200) -> DataFrame:
     """(start, node) of all that a start depends on, over any number of steps.
 
-    Without ``starts`` all nodes are starts. ``include_start``: a start is in its own closure; else only if it is on
-    a cycle. Only what the last round found is joined again.
+    ``include_start``: a start is in its own closure; else only if it is on a cycle. From given starts a round is a
+    step, and only what the last round found is joined again; without ``starts`` all nodes are starts, and rounds
+    double the steps.
     """
     edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     if starts is None:
-        starts = edges.select(F.col("src").alias("start")).union(edges.select(F.col("dst").alias("start"))).distinct()
-    seeds = starts.select(F.col(starts.columns[0]).alias("start")).distinct()
+        pairs = closure_by_squaring(edges)
+        return pairs.union(_nodes(edges).select("node", "node")).distinct() if include_start else pairs
+    seeds = starts.select(F.col(starts.columns[0]).alias("start")).where("start is not null").distinct()
     if include_start:
-        fresh = written(seeds.select("start", F.col("start").alias("node")), "closure")
+        first = seeds.select("start", F.col("start").alias("node"))
     else:
-        fresh = written(seeds.join(edges, F.col("start") == F.col("src")).select("start", F.col("dst").alias("node")).distinct(), "closure")
+        first = seeds.join(edges, F.col("start") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+    fresh, told = written_with(first, "closure", ROWS)
     known = fresh
     for _ in range(max_rounds):
         found = fresh.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        fresh = written(found.join(known, ["start", "node"], "left_anti"), "closure")
-        if fresh.isEmpty():
+        fresh, told = written_with(found.join(known, ["start", "node"], "left_anti"), "closure", ROWS)
+        if not told["n"]:
             return known
         known = known.unionByName(fresh)
     raise RuntimeError(f"no end of the closure after {max_rounds} rounds")
@@ -38,13 +43,12 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, include_start: bo
 
 def closure_by_squaring(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """G2 for all nodes in about log(depth) rounds, each joining the closure with itself: for deep graphs of few pairs."""
-    known = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "closure")
-    n = known.count()
+    known, told = written_with(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "closure", ROWS)
     for _ in range(max_rounds):
+        before = told["n"]
         more = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        known = written(known.union(more).distinct(), "closure")
-        before, n = n, known.count()
-        if n == before:
+        known, told = written_with(known.union(more).distinct(), "closure", ROWS)
+        if told["n"] == before:
             return known.select(F.col("src").alias("start"), F.col("dst").alias("node"))
     raise RuntimeError(f"no end of the closure after {max_rounds} rounds")
 
@@ -53,10 +57,12 @@ def supertypes(direct: DataFrame) -> DataFrame:
     """(type, super, distance): all super types at their least distance. ``direct``: (src, dst)."""
     known = fresh = written(direct.select("src", "dst").distinct().withColumn("distance", F.lit(1)), "supers")
     depth = 1
-    while not fresh.isEmpty():
+    while True:
         depth += 1
         found = fresh.select("src", F.col("dst").alias("mid")).join(direct.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        fresh = written(found.join(known, ["src", "dst"], "left_anti").withColumn("distance", F.lit(depth)), "supers")
+        fresh, told = written_with(found.join(known, ["src", "dst"], "left_anti").withColumn("distance", F.lit(depth)), "supers", ROWS)
+        if not told["n"]:
+            break
         known = known.unionByName(fresh)
     return known.select(F.col("src").alias("type"), F.col("dst").alias("super"), "distance")
 
@@ -80,31 +86,32 @@ def layers(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 1
     """
     all_nodes = _nodes(edges) if nodes is None else nodes.select(F.col(nodes.columns[0]).alias("node")).union(_nodes(edges)).distinct()
     links = written(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct(), "links")
-    left, layer = written(all_nodes, "left"), 0
+    (left, told), layer = written_with(all_nodes, "left", ROWS), 0
     done = left.limit(0).select("node", F.lit(0).alias("layer"), F.lit("").alias("how"))
     for _ in range(max_rounds):
-        if left.isEmpty():
+        n = told["n"]
+        if not n:
             return done
-        still = written(_blocked(left, links, "src", "dst"), "left")
-        free = written(left.join(still, "node", "left_anti").select("node", F.lit(layer).alias("layer"), F.lit("free").alias("how")), "layer")
-        if free.isEmpty():
-            core = left
-            while True:
-                smaller = written(_blocked(_blocked(core, links, "src", "dst"), links, "dst", "src"), "core")
-                if smaller.count() == core.count():
-                    break
-                core = smaller
-            trimmed = written(left.join(core, "node", "left_anti").select("node", F.lit(layer).alias("layer"), F.lit("trimmed").alias("how")), "layer")
-            inside = links.join(core.select(F.col("node").alias("src")), "src", "left_semi").join(core.select(F.col("node").alias("dst")), "dst", "left_semi")
-            first = core.agg(F.min("node").alias("node"))
-            part = closure(inside, first)
-            degree = part.join(inside, F.col("node") == F.col("src")).join(part.select(F.col("node").alias("dst")), "dst", "left_semi").groupBy("node").agg(F.countDistinct("dst").alias("n"))
-            cut = degree.orderBy("n", "node").limit(1).select("node", F.lit(layer + 1).alias("layer"), F.lit("cut").alias("how"))
-            free = written(trimmed.union(cut), "layer")
-            layer += 1
-            still = left.join(free, "node", "left_anti")
+        still, told = written_with(_blocked(left, links, "src", "dst"), "left", ROWS)
+        if told["n"] < n:
+            done = done.union(left.join(still, "node", "left_anti").select("node", F.lit(layer).alias("layer"), F.lit("free").alias("how")))
+            left, layer = still, layer + 1
+            continue
+        core, kept = left, n
+        while True:
+            smaller, told = written_with(_blocked(_blocked(core, links, "src", "dst"), links, "dst", "src"), "core", ROWS)
+            core, kept, before = smaller, told["n"], kept
+            if kept == before:
+                break
+        trimmed = left.join(core, "node", "left_anti").select("node", F.lit(layer).alias("layer"), F.lit("trimmed").alias("how"))
+        inside = links.join(core.select(F.col("node").alias("src")), "src", "left_semi").join(core.select(F.col("node").alias("dst")), "dst", "left_semi")
+        part = closure(inside, core.agg(F.min("node").alias("node")))
+        degree = part.join(inside, F.col("node") == F.col("src")).join(part.select(F.col("node").alias("dst")), "dst", "left_semi").groupBy("node").agg(F.countDistinct("dst").alias("k"))
+        cut = degree.orderBy("k", "node").limit(1).select("node", F.lit(layer + 1).alias("layer"), F.lit("cut").alias("how"))
+        free = written(trimmed.union(cut), "layer")
         done = done.union(free)
-        left, layer = written(still, "left"), layer + 1
+        left, told = written_with(left.join(free, "node", "left_anti"), "left", ROWS)
+        layer += 2
     raise RuntimeError(f"no end of the layers after {max_rounds} rounds")
 
 
@@ -166,11 +173,13 @@ def bottleneck_links(edges: DataFrame, starts: DataFrame, max_weight: int | None
         step = fresh.select("start", F.col("node").alias("src"), F.col("w").alias("so_far")).join(usable, "src")
         walk = F.when((F.col("so_far") == -1) | (F.col("w") == -1), F.lit(-1)).otherwise(F.greatest("so_far", "w"))
         found = step.select("start", F.col("dst").alias("node"), walk.alias("w"))
-        merged = known.union(found).groupBy("start", "node", F.col("w") == -1).agg(F.min("w").alias("w")).select("start", "node", "w")
-        merged = written(merged, "links")
-        fresh = written(merged.join(known, ["start", "node", "w"], "left_anti"), "links")
-        known = merged
-        if fresh.isEmpty():
+        old = known.select("start", "node", "w", F.lit(True).alias("old")).union(found.withColumn("old", F.lit(False)))
+        # the least of what was known and found; it is fresh unless it was known
+        best = F.min(F.struct("w", ~F.col("old"))).alias("b")
+        merged = old.groupBy("start", "node", (F.col("w") == -1).alias("d")).agg(best).select("start", "node", F.col("b.w").alias("w"), F.col("b.col2").alias("fresh"))
+        merged, told = written_with(merged, "links", F.count_if("fresh").alias("n"))
+        fresh, known = merged.where("fresh").drop("fresh"), merged.drop("fresh")
+        if not told["n"]:
             return known.groupBy("start", "node").agg(weight_of(F.min(rank_of(F.col("w")))).alias("w"))
     raise RuntimeError(f"no end of the links after {max_rounds} rounds")
 
@@ -201,11 +210,12 @@ def reaches_flag(edges: DataFrame, flagged: DataFrame) -> DataFrame:
     """G20, RM2: the nodes from which a flagged node is reached, itself included: a flag goes against the edges to a fixpoint."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     known = fresh = written(flagged.select(F.col(flagged.columns[0]).alias("node")).distinct(), "flags")
-    while not fresh.isEmpty():
+    while True:
         found = fresh.join(back, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        fresh = written(found.join(known, "node", "left_anti"), "flags")
+        fresh, told = written_with(found.join(known, "node", "left_anti"), "flags", ROWS)
+        if not told["n"]:
+            return known
         known = known.union(fresh)
-    return known
 
 
 def call_facts(calls: DataFrame, methods: DataFrame) -> DataFrame:

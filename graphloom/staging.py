@@ -11,7 +11,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own: dict[str, str] = {}
 _written: list[str] = []
@@ -44,6 +44,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_with(df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
+    """:func:`written`, and aggregates of the rows that come with the write, without a job of their own."""
+    seen = Observation()
+    out = written(df.observe(seen, *measures), name)
+    return out, seen.get
+
+
 def drop_written(spark: SparkSession) -> int:
     """Delete the tables that :func:`written` has left so far; frames that read them are then invalid."""
     jvm, n = spark.sparkContext._jvm, 0
