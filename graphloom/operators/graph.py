@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from graphloom.operators.components import connected_components
 from graphloom.staging import written, written_with
 
-ROWS = F.count(F.lit(1)).alias("n")
+
+def _rows() -> Column:
+    return F.count(F.lit(1)).alias("n")
 
 
 def closure(edges: DataFrame, starts: DataFrame | None = None, include_start: bool = True, max_rounds: int = 200) -> DataFrame:
@@ -30,11 +32,11 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, include_start: bo
         first = seeds.select("start", F.col("start").alias("node"))
     else:
         first = seeds.join(edges, F.col("start") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-    fresh, told = written_with(first, "closure", ROWS)
+    fresh, told = written_with(first, "closure", _rows())
     known = fresh
     for _ in range(max_rounds):
         found = fresh.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        fresh, told = written_with(found.join(known, ["start", "node"], "left_anti"), "closure", ROWS)
+        fresh, told = written_with(found.join(known, ["start", "node"], "left_anti"), "closure", _rows())
         if not told["n"]:
             return known
         known = known.unionByName(fresh)
@@ -43,11 +45,11 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, include_start: bo
 
 def closure_by_squaring(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """G2 for all nodes in about log(depth) rounds, each joining the closure with itself: for deep graphs of few pairs."""
-    known, told = written_with(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "closure", ROWS)
+    known, told = written_with(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "closure", _rows())
     for _ in range(max_rounds):
         before = told["n"]
         more = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        known, told = written_with(known.union(more).distinct(), "closure", ROWS)
+        known, told = written_with(known.union(more).distinct(), "closure", _rows())
         if told["n"] == before:
             return known.select(F.col("src").alias("start"), F.col("dst").alias("node"))
     raise RuntimeError(f"no end of the closure after {max_rounds} rounds")
@@ -60,7 +62,7 @@ def supertypes(direct: DataFrame) -> DataFrame:
     while True:
         depth += 1
         found = fresh.select("src", F.col("dst").alias("mid")).join(direct.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        fresh, told = written_with(found.join(known, ["src", "dst"], "left_anti").withColumn("distance", F.lit(depth)), "supers", ROWS)
+        fresh, told = written_with(found.join(known, ["src", "dst"], "left_anti").withColumn("distance", F.lit(depth)), "supers", _rows())
         if not told["n"]:
             break
         known = known.unionByName(fresh)
@@ -86,20 +88,20 @@ def layers(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 1
     """
     all_nodes = _nodes(edges) if nodes is None else nodes.select(F.col(nodes.columns[0]).alias("node")).union(_nodes(edges)).distinct()
     links = written(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct(), "links")
-    (left, told), layer = written_with(all_nodes, "left", ROWS), 0
+    (left, told), layer = written_with(all_nodes, "left", _rows()), 0
     done = left.limit(0).select("node", F.lit(0).alias("layer"), F.lit("").alias("how"))
     for _ in range(max_rounds):
         n = told["n"]
         if not n:
             return done
-        still, told = written_with(_blocked(left, links, "src", "dst"), "left", ROWS)
+        still, told = written_with(_blocked(left, links, "src", "dst"), "left", _rows())
         if told["n"] < n:
             done = done.union(left.join(still, "node", "left_anti").select("node", F.lit(layer).alias("layer"), F.lit("free").alias("how")))
             left, layer = still, layer + 1
             continue
         core, kept = left, n
         while True:
-            smaller, told = written_with(_blocked(_blocked(core, links, "src", "dst"), links, "dst", "src"), "core", ROWS)
+            smaller, told = written_with(_blocked(_blocked(core, links, "src", "dst"), links, "dst", "src"), "core", _rows())
             core, kept, before = smaller, told["n"], kept
             if kept == before:
                 break
@@ -110,7 +112,7 @@ def layers(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 1
         cut = degree.orderBy("k", "node").limit(1).select("node", F.lit(layer + 1).alias("layer"), F.lit("cut").alias("how"))
         free = written(trimmed.union(cut), "layer")
         done = done.union(free)
-        left, told = written_with(left.join(free, "node", "left_anti"), "left", ROWS)
+        left, told = written_with(left.join(free, "node", "left_anti"), "left", _rows())
         layer += 2
     raise RuntimeError(f"no end of the layers after {max_rounds} rounds")
 
@@ -212,7 +214,7 @@ def reaches_flag(edges: DataFrame, flagged: DataFrame) -> DataFrame:
     known = fresh = written(flagged.select(F.col(flagged.columns[0]).alias("node")).distinct(), "flags")
     while True:
         found = fresh.join(back, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        fresh, told = written_with(found.join(known, "node", "left_anti"), "flags", ROWS)
+        fresh, told = written_with(found.join(known, "node", "left_anti"), "flags", _rows())
         if not told["n"]:
             return known
         known = known.union(fresh)

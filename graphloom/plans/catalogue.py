@@ -71,38 +71,37 @@ def seq(spark, d):
 
 # lattice aggregates -------------------------------------------------------------------------------------------
 
-def _aggregate(name: str, column, sql: str) -> None:
-    query(name, f"WITH {DV} SELECT g, {sql} AS v FROM dv GROUP BY g")(lambda spark, d: dv(spark, d).groupBy("g").agg(column.alias("v")))
+def _aggregate(name: str, reduce, sql: str) -> None:
+    query(name, f"WITH {DV} SELECT g, {sql} AS v FROM dv GROUP BY g")(lambda spark, d: dv(spark, d).groupBy("g").agg(reduce(F.col("v")).alias("v")))
 
 
-V = F.col("v")
-_aggregate("q01_dv_min", L.least(V), "min(v)")
-_aggregate("q02_dv_max", L.most(V), "CASE WHEN min(v) = -1 THEN -1 ELSE max(v) END")
-_aggregate("q03_dv_max_ignore_delay", L.most_ignoring_delay(V), "max(v)")
-_aggregate("q04_dv_min_ignore_not_involved", L.least_involved(V), "coalesce(min(nullif(v, 0)), 0)")
-_aggregate("q05_dv_property_max", L.most_or_best(V, 13), "CASE WHEN max(v) = 13 THEN 13 WHEN min(v) = -1 THEN -1 ELSE max(v) END")
+_aggregate("q01_dv_min", L.least, "min(v)")
+_aggregate("q02_dv_max", L.most, "CASE WHEN min(v) = -1 THEN -1 ELSE max(v) END")
+_aggregate("q03_dv_max_ignore_delay", L.most_ignoring_delay, "max(v)")
+_aggregate("q04_dv_min_ignore_not_involved", L.least_involved, "coalesce(min(nullif(v, 0)), 0)")
+_aggregate("q05_dv_property_max", lambda v: L.most_or_best(v, 13), "CASE WHEN max(v) = 13 THEN 13 WHEN min(v) = -1 THEN -1 ELSE max(v) END")
 
 
 @query("q06_dv_context_modified", f"WITH {DV}, m AS (SELECT g, CASE WHEN v = -1 THEN -1 ELSE v % 2 END AS v FROM dv WHERE l_linenumber = 1) SELECT g, CASE WHEN max(v) = 1 THEN 1 WHEN min(v) = -1 THEN -1 ELSE 0 END AS v FROM m GROUP BY g")
 def q06(spark, d):
-    bits = dv(spark, d).where("l_linenumber = 1").select("g", F.when(V == -1, V).otherwise(V % 2).alias("v"))
-    return bits.groupBy("g").agg(L.context_modified(V).alias("v"))
+    bits = dv(spark, d).where("l_linenumber = 1").select("g", F.when(F.col("v") == -1, F.col("v")).otherwise(F.col("v") % 2).alias("v"))
+    return bits.groupBy("g").agg(L.context_modified(F.col("v")).alias("v"))
 
 
 @query("q06b_dv_context_container", f"WITH {DV}, m AS (SELECT g, CASE WHEN v = -1 THEN -1 WHEN v % 8 = 5 THEN 5 ELSE 1 END AS v FROM dv WHERE l_linenumber = 1) SELECT g, CASE WHEN max(v) = 5 THEN 5 WHEN min(v) = -1 THEN -1 ELSE 1 END AS v FROM m GROUP BY g")
 def q06b(spark, d):
-    values = dv(spark, d).where("l_linenumber = 1").select("g", F.when(V == -1, V).when(V % 8 == 5, F.lit(5)).otherwise(F.lit(1)).alias("v"))
-    return values.groupBy("g").agg(L.context_container(V).alias("v"))
+    values = dv(spark, d).where("l_linenumber = 1").select("g", F.when(F.col("v") == -1, F.col("v")).when(F.col("v") % 8 == 5, F.lit(5)).otherwise(F.lit(1)).alias("v"))
+    return values.groupBy("g").agg(L.context_container(F.col("v")).alias("v"))
 
 
 @query("q07_dv_decode", f"WITH {DV} SELECT v, CASE WHEN v < 0 THEN 0 ELSE v & 7 END AS effective, CASE WHEN v < 0 THEN -1 ELSE v >> 3 END AS level, count(*) AS n FROM dv GROUP BY ALL")
 def q07(spark, d):
-    return dv(spark, d).select("v", L.effective(V).alias("effective"), L.level(V).alias("level")).groupBy("v", "effective", "level").agg(F.count(F.lit(1)).alias("n"))
+    return dv(spark, d).select("v", L.effective(F.col("v")).alias("effective"), L.level(F.col("v")).alias("level")).groupBy("v", "effective", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q08_dv_replace_delay", f"WITH {DV} SELECT g, sum(CASE WHEN v = -1 THEN 5 ELSE v END) AS total FROM dv GROUP BY g")
 def q08(spark, d):
-    return dv(spark, d).groupBy("g").agg(F.sum(L.replace_delay(V, 5)).alias("total"))
+    return dv(spark, d).groupBy("g").agg(F.sum(L.replace_delay(F.col("v"), 5)).alias("total"))
 
 
 @query(
@@ -110,13 +109,13 @@ def q08(spark, d):
     f"WITH {DV}, c AS (SELECT g, l_orderkey % 7 AS cause, l_linenumber AS place, l_orderkey AS stmt, v >= 16 AS high FROM dv), m AS (SELECT g, max(high) AS high FROM c GROUP BY g) SELECT g, cause, place, min(stmt) AS stmt FROM c JOIN m USING (g, high) GROUP BY ALL",
 )
 def q09(spark, d):
-    causes = dv(spark, d).select("g", (F.col("l_orderkey") % 7).alias("cause"), F.col("l_linenumber").alias("place"), F.col("l_orderkey").alias("stmt"), (V >= 16).alias("high"))
+    causes = dv(spark, d).select("g", (F.col("l_orderkey") % 7).alias("cause"), F.col("l_linenumber").alias("place"), F.col("l_orderkey").alias("stmt"), (F.col("v") >= 16).alias("high"))
     return L.merge_causes(causes, ["g"])
 
 
 @query("q10_dv_status", f"WITH {DV} SELECT g, count(*) FILTER (v <> -1) AS n_done, count(*) FILTER (v = -1) AS n_delayed, CASE WHEN count(*) FILTER (v = -1) = 0 THEN 'done' WHEN count(*) FILTER (v <> -1) > 0 THEN 'progress' ELSE 'delayed' END AS status FROM dv GROUP BY g")
 def q10(spark, d):
-    return dv(spark, d).groupBy("g").agg(*L.status(V))
+    return dv(spark, d).groupBy("g").agg(*L.status(F.col("v")))
 
 
 # scalar expressions -------------------------------------------------------------------------------------------
@@ -290,8 +289,8 @@ def q33(spark, d):
 
 @query("q34_group_decision", f"WITH {DV}, m AS (SELECT g, l_orderkey % 5 AS grp, CASE WHEN v = -1 THEN -1 WHEN v = 21 THEN 1 ELSE 0 END AS v FROM dv WHERE l_linenumber IN (1, 6)) SELECT g, grp, CASE WHEN max(v) = 1 THEN 1 WHEN min(v) = 0 THEN 0 ELSE -1 END AS v FROM m GROUP BY ALL")
 def q34(spark, d):
-    m = dv(spark, d).where("l_linenumber in (1, 6)").select("g", (F.col("l_orderkey") % 5).alias("grp"), F.when(V == -1, V).when(V == 21, F.lit(1)).otherwise(F.lit(0)).alias("v"))
-    return m.groupBy("g", "grp").agg(L.group_decision(V).alias("v"))
+    m = dv(spark, d).where("l_linenumber in (1, 6)").select("g", (F.col("l_orderkey") % 5).alias("grp"), F.when(F.col("v") == -1, F.col("v")).when(F.col("v") == 21, F.lit(1)).otherwise(F.lit(0)).alias("v"))
+    return m.groupBy("g", "grp").agg(L.group_decision(F.col("v")).alias("v"))
 
 
 # flow ---------------------------------------------------------------------------------------------------------
@@ -369,3 +368,5 @@ def q42(spark, d):
 
 
 FLAGSHIP = q41
+
+from graphloom.plans import rule_queries  # noqa: E402, F401  (adds its queries)

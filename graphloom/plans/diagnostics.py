@@ -118,7 +118,7 @@ DIAGNOSTICS = {
     "CIRCULAR_TYPE_DEPENDENCY": (("type_cycles",), lambda f: messages(f["type_cycles"].groupBy("cycle").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("node")), ",").alias("members")).where("n > 1"), "CIRCULAR_TYPE_DEPENDENCY", "type", "cycle", None, "members")),
     "CONTRADICTING_ANNOTATIONS": (("computed",), lambda f: messages(f["computed"].groupBy("elem").agg(F.collect_set("annotation").alias("a")).where("(array_contains(a, 'Modified') and array_contains(a, 'NotModified')) or (array_contains(a, 'Dependent') and array_contains(a, 'Independent')) or (array_contains(a, 'Nullable') and array_contains(a, 'NotNull'))"), "CONTRADICTING_ANNOTATIONS", "element", "elem")),
     "DIVISION_BY_ZERO": (("binary_ops",), _where("binary_ops", "DIVISION_BY_ZERO", "op in ('/', '%') and rhs = '0'", "method", "method_fqn", "idx")),
-    "DUPLICATE_MARK_CONDITION": (("duplicate_marks",), _where("duplicate_marks", "DUPLICATE_MARK_CONDITION", F.lit(True), "type", "type", None, "field")),
+    "DUPLICATE_MARK_CONDITION": (("duplicate_marks",), _where("duplicate_marks", "DUPLICATE_MARK_CONDITION", "true", "type", "type", None, "field")),
     "EMPTY_LOOP": (("loops",), _where("loops", "EMPTY_LOOP", "message = 'EMPTY_LOOP'", "method", "method_fqn", "idx")),
     "INFINITE_LOOP_CONDITION": (("loops",), _where("loops", "INFINITE_LOOP_CONDITION", "message = 'INFINITE_LOOP_CONDITION'", "method", "method_fqn", "idx")),
     "LOOP_ONCE": (("loops",), _where("loops", "LOOP_ONCE", "message = 'LOOP_ONCE'", "method", "method_fqn", "idx")),
@@ -134,7 +134,7 @@ DIAGNOSTICS = {
     "WORSE_THAN_IMPLEMENTED_INTERFACE": (("type_property_values", "hierarchy"), lambda f: messages(worse_than_overridden(f["type_property_values"], f["hierarchy"]), "WORSE_THAN_IMPLEMENTED_INTERFACE", "type", "elem", None, "property")),
     "INTERRUPT_IN_LOOP": (("flow",), _where("flow", "INTERRUPT_IN_LOOP", "in_loop and interrupt in (1, 3, 4) and last_of_loop and execution = 2", "method", "method_fqn", "idx")),
     "UNREACHABLE_STATEMENT": (("flow",), _where("flow", "UNREACHABLE_STATEMENT", "reached = 0", "method", "method_fqn", "idx")),
-    "METHOD_SHOULD_BE_MARKED_STATIC": (("could_be_static",), _where("could_be_static", "METHOD_SHOULD_BE_MARKED_STATIC", F.lit(True), "method", "method")),
+    "METHOD_SHOULD_BE_MARKED_STATIC": (("could_be_static",), _where("could_be_static", "METHOD_SHOULD_BE_MARKED_STATIC", "true", "method", "method")),
     "NON_PRIVATE_FIELD_NOT_FINAL": (("field_values",), _where("field_values", "NON_PRIVATE_FIELD_NOT_FINAL", "not is_private and final = 0", "field", "field")),
     "PRIVATE_FIELD_NOT_READ": (("field_values", "field_reads"), lambda f: messages(unused(f["field_values"].where("is_private and not is_static"), f["field_reads"], "field"), "PRIVATE_FIELD_NOT_READ", "field", "field")),
     "TYPES_WITH_FINALIZER_ONLY_EFFECTIVELY_FINAL": (("field_values",), _where("field_values", "TYPES_WITH_FINALIZER_ONLY_EFFECTIVELY_FINAL", "type_has_finalizer and final = 0", "field", "field")),
