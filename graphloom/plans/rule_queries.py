@@ -367,3 +367,31 @@ def r45(spark, d):
         return out.withColumn("v", L.replace_delay(F.col("v"), 0)) if breaking else out
 
     return run_rules({"calls": calls}, [modified], spark).select("elem", "v")
+
+
+# calls --------------------------------------------------------------------------------------------------------
+
+@query("r46_value_of_call", f"WITH {ACC}, c AS (SELECT method AS call_id, CASE q % 3 WHEN 0 THEN 'constant' WHEN 1 THEN 'fluent' ELSE 'state' END AS strategy, CASE WHEN n < 6 THEN n END AS value FROM acc), o AS (SELECT *, CASE strategy WHEN 'constant' THEN 5 WHEN 'state' THEN 8 ELSE 10 END AS k FROM c WHERE value IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY k, value) AS i FROM o) SELECT call_id, strategy, value FROM r WHERE i = 1")
+def r46(spark, d):
+    from graphloom.plans.calls import value_of_call
+
+    q = F.col("q") % 3
+    return value_of_call(acc(spark, d).select(F.col("method").alias("call_id"), F.when(q == 0, F.lit("constant")).when(q == 1, F.lit("fluent")).otherwise(F.lit("state")).alias("strategy"), F.when(F.col("n") < 6, F.col("n")).alias("value")))
+
+
+@query("r47_argument_contexts", f"WITH {ACC}, p AS (SELECT s_suppkey AS method_fqn, CASE WHEN s_suppkey % 9 = 0 THEN -1 ELSE s_suppkey % 2 END AS v FROM supplier WHERE s_suppkey % 4 <> 0) SELECT method AS caller, parameter AS var, 'CONTEXT_MODIFIED' AS property, CASE WHEN min(coalesce(p.v, -1)) = -1 THEN -1 ELSE max(p.v) END AS v FROM acc LEFT JOIN p ON method_fqn = field WHERE n < 3 GROUP BY 1, 2")
+def r47(spark, d):
+    from graphloom.plans.calls import argument_contexts
+
+    k = F.col("field")
+    p = fields(spark, d).where(k % 4 != 0).select(k.alias("method_fqn"), F.lit(0).alias("index"), F.lit("CONTEXT_MODIFIED").alias("property"), F.when(k % 9 == 0, F.lit(-1)).otherwise((k % 2).cast("int")).alias("v"))
+    return argument_contexts(acc(spark, d).where("n < 3").select(F.col("method").alias("caller"), F.col("parameter").alias("var"), F.col("field").alias("method_fqn"), F.lit(0).alias("index")), p)
+
+
+@query("r48_call_links", f"WITH {ACC}, i AS (SELECT s_suppkey AS method_fqn, CASE s_suppkey % 5 WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN 5 WHEN 3 THEN 13 ELSE 805 END AS v FROM supplier), l AS (SELECT method AS caller, field AS src, parameter AS dst, CASE WHEN i.v = -1 THEN -1 WHEN i.v = 805 THEN 100 WHEN i.v = 1 THEN 2 ELSE (i.v >> 3) + 3 END AS w FROM acc JOIN i ON method_fqn = field WHERE n = 1) SELECT caller, src, dst, min(w) AS w FROM l WHERE w <> 100 GROUP BY ALL")
+def r48(spark, d):
+    from graphloom.plans.calls import call_links
+
+    k = F.col("field")
+    i = fields(spark, d).select(k.alias("method_fqn"), F.lit(0).alias("index"), F.get(F.array(*map(F.lit, (-1, 1, 5, 13, 805))), (k % 5).cast("int")).alias("v"))
+    return call_links(acc(spark, d).where("n = 1").select(F.col("method").alias("caller"), k.alias("object"), F.col("parameter").alias("var"), k.alias("method_fqn"), F.lit(0).alias("index")), i)
