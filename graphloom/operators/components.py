@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.staging import written
+from graphloom.staging import written_with
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -22,9 +22,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _measures() -> tuple[Column, Column]:
+    """What tells two rounds' edges apart."""
+    return F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -35,15 +35,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     a, b = F.col(src), F.col(dst)
     now = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    now = written(now, "edges")
-    before = _digest(now)
-    for _ in range(max_rounds if before[0] else 0):
-        now = written(_small_star(_large_star(now)), "stars")
-        after = _digest(now)
+    now, before = written_with(now, "edges", *_measures())
+    for _ in range(max_rounds if before["n"] else 0):
+        now, after = written_with(_small_star(_large_star(now)), "stars", *_measures())
         if after == before:
             break
         before = after
     else:
-        if before[0]:
+        if before["n"]:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
