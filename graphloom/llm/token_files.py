@@ -111,7 +111,7 @@ def _open(uri: str):
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, shard_bytes: int = 24 << 20) -> DataFrame:
-    """Write all documents' ids, each with ``end_id`` after it, in ascending (doc_id, text) order; returns the manifest.
+    """Write all documents' ids, each with ``end_id`` after it, in ascending order of doc_id, then of a hash of the text; returns the manifest.
 
     The manifest has a row per file, in order: (shard, path, first_doc, last_doc, n_docs, n_tokens). A null text is
     an empty one; rows with a null doc_id are refused, since nothing could find them again. Rows that repeat a
@@ -124,7 +124,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_5
     if size["nulls"]:
         raise ValueError(f"{size['nulls']} documents have no doc_id")
     shards = max(1, -(-(size["n"] or 0) // shard_bytes))
-    ordered = rows.repartitionByRange(shards, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # ranges are drawn from a sample that the driver holds, so texts aren't part of the key
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    ordered = keyed.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def run(batches):
         import pyarrow as pa
