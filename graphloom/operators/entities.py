@@ -183,3 +183,18 @@ def lookup(elements: DataFrame, own: DataFrame, parent: DataFrame, default: int
     """Each element's value: its own context's, else the parent context's, else a default (a delay)."""
     a, b = own.select("elem", F.col("v").alias("_a")), parent.select("elem", F.col("v").alias("_b"))
     return elements.join(a, "elem", "left").join(b, "elem", "left").select(*elements.columns, F.coalesce("_a", "_b", F.lit(default)).alias("v"))
+
+
+def union_types(a: Column, b: Column) -> Column:
+    """The union of two sets of types."""
+    return F.array_sort(F.array_union(a, b))
+
+
+def common_types(a: Column, b: Column) -> Column:
+    """The types in both sets; ``*`` stands for all types."""
+    return F.when(F.array_contains(a, "*"), b).when(F.array_contains(b, "*"), a).otherwise(F.array_sort(F.array_intersect(a, b)))
+
+
+def analysis_order(layered: DataFrame, alphabetical: bool = False) -> DataFrame:
+    """Elements by layer and name, or by name alone. ``layered``: node, layer."""
+    return layered.orderBy("node") if alphabetical else layered.orderBy("layer", "node")
