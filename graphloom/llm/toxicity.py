@@ -74,7 +74,7 @@ def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return (seen >= LEAST) & (np.abs(one / ones - (seen - one) / (len(y) - ones)) > DEVIATIONS * spread)
 
 
-def train(rows: list[list[int]], labels: list[int], seed: int = 7) -> np.ndarray:
+def train(rows: list, labels: list[int], seed: int = 7) -> np.ndarray:
     """Logistic loss, adaptive steps, weights and factors shrunk towards zero; buckets that tell nothing stay there.
 
     Small samples are gone through more often, for ``STEPS`` steps at least. Without rows of both labels the machine knows the bias alone: the smoothed share of label 1.
@@ -144,14 +144,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     def learn(batches):
         import pyarrow as pa
 
-        rows = [r for b in batches for r in zip(b.column("doc_id").to_pylist(), b.column("terms").to_pylist(), b.column("toxic").to_pylist(), strict=True)]
-        rows.sort()
-        model = train([r[1] for r in rows], [r[2] for r in rows])
+        rows = []
+        for batch in batches:
+            column = batch.column("terms")
+            flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            rows += [(doc, y, flat[a:b]) for doc, y, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), ends[:-1], ends[1:], strict=True)]
+        rows.sort(key=lambda r: (r[0], r[2].tobytes()))  # the same order each time, whatever tasks were repeated
+        model = train([r[2] for r in rows], [r[1] for r in rows])
         yield pa.RecordBatch.from_pydict({"model": pa.array([model.astype(np.float32).tobytes()], pa.binary())})
 
     found = rows.select("doc_id", "toxic", "text").mapInArrow(hashed, "doc_id long, toxic int, terms array<int>")
-    (row,) = found.coalesce(1).mapInArrow(learn, "model binary").collect() or [None]
-    return np.frombuffer(row["model"], np.float32).reshape(-1, RANK + 1).astype(np.float64)
+    # hashed by many tasks, learnt by one
+    learnt = found.repartition(1).mapInArrow(learn, "model binary").collect()
+    return np.frombuffer(learnt[0]["model"], np.float32).reshape(-1, RANK + 1).astype(np.float64) if learnt else train([], [])
 
 
 def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
