@@ -5,7 +5,7 @@ is a packing problem of its own that several islands work on. An island's chromo
 injects whole well-filled bins of one parent into the other, removes bins that hold what is now there twice, and
 puts the pieces that lost their bin back by best fit, largest first. After each epoch an island's elite goes to
 the next island of its block. The bins that stay poorly filled in the best packing of each block are emptied, and
-their pieces of many blocks are packed once more together.
+their pieces are mixed over all blocks and packed once more.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from graphloom.llm.pretokens import encoder, slices, vocabulary
 from graphloom.llm.tables import table, texts
 from graphloom.staging import written
 
-PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
+#: Islands that one task evolves: a task takes longer to start than an island's epoch.
+TOGETHER = 8
+PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, whole long"
 
 
 def pieces_of(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -33,6 +35,7 @@ def pieces_of(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: i
         from pyspark import TaskContext
 
         enc, end, row = encoder(vocabulary(tokenizer)), end_id.to_bytes(4, "little"), TaskContext.get().partitionId() << 33
+        whole = row  # counts the pieces that fill a sequence
         for batch in batches:
             out = []
             for part in slices(batch):
@@ -40,9 +43,11 @@ def pieces_of(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: i
                     ids += end
                     row += 1
                     cuts = [0, *range(len(ids) % size or size, len(ids) + 1, size)]
-                    out += [(doc_id, row, k, a // 4, (b - a) // 4, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-            columns = zip(*out, strict=True) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+                    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                        whole += b - a == size
+                        out.append((doc_id, row, k, a // 4, (b - a) // 4, zlib.crc32(ids[a:b]), whole if b - a == size else None))
+            columns = zip(*out, strict=True) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32", "whole"])
 
     return docs.mapInArrow(run, PIECES)
 
@@ -69,59 +74,71 @@ class Rooms:
         return bin_, room
 
 
-def best_fit(bins: list[list[int]], order: list[int], size: list[int], capacity: int) -> list[list[int]]:
-    """``bins`` with the pieces of ``order`` put in one after the other."""
+Packing = tuple[list[list[int]], list[int]]  # bins, and how full each is
+
+
+def best_fit(bins: list[list[int]], fill: list[int], order: list[int], size: list[int], capacity: int) -> Packing:
+    """``bins`` with the pieces of ``order`` put in one after the other; a bin that takes one is a new list."""
     rooms = Rooms(capacity)
-    for n, b in enumerate(bins):
-        rooms.put(n, capacity - sum(size[i] for i in b))
+    for n, f in enumerate(fill):
+        if f < capacity:
+            rooms.put(n, capacity - f)
     for i in order:
         found = rooms.take(size[i])
         if found is None:
             bins.append([i])
+            fill.append(size[i])
             rooms.put(len(bins) - 1, capacity - size[i])
         else:
-            bins[found[0]].append(i)
-            rooms.put(found[0], found[1] - size[i])
-    return bins
+            n, room = found
+            bins[n] = [*bins[n], i]
+            fill[n] += size[i]
+            if room > size[i]:
+                rooms.put(n, room - size[i])
+    return bins, fill
 
 
-def fitness(bins: list[list[int]], size: list[int], capacity: int) -> tuple[int, float]:
+def fitness(packing: Packing, capacity: int) -> tuple[int, float]:
     """Fewer bins are better; among as many, fuller full ones."""
-    return len(bins), -sum((sum(size[i] for i in b) / capacity) ** 2 for b in bins)
+    fill = np.array(packing[1], np.float64) / capacity
+    return len(fill), -float(fill @ fill)
 
 
-def crossover(a: list[list[int]], b: list[list[int]], size: list[int], capacity: int, rng: random.Random, share: float = 0.3) -> list[list[int]]:
+def crossover(a: Packing, b: Packing, size: list[int], capacity: int, rng: random.Random, share: float = 0.3) -> Packing:
     """A child of ``a`` with whole well-filled bins of ``b``."""
-    filled = sorted(b, key=lambda x: -sum(size[i] for i in x))[: max(1, len(b) // 2)]
+    filled = np.argsort(-np.array(b[1]), kind="stable")[: max(1, len(b[1]) // 2)].tolist()
     inject = rng.sample(filled, max(1, int(len(filled) * share)))
-    held = {i for x in inject for i in x}
-    keep, lost = [list(x) for x in inject], []
-    worst = sorted(range(len(a)), key=lambda n: sum(size[i] for i in a[n]))[: max(1, len(a) // 100)]
-    emptied = set(worst)
-    for n, x in enumerate(a):
+    keep, fill = [b[0][n] for n in inject], [b[1][n] for n in inject]
+    held = {i for x in keep for i in x}
+    emptied = set(np.argsort(np.array(a[1]), kind="stable")[: max(1, len(a[1]) // 100)].tolist())
+    lost: list[int] = []
+    for n, x in enumerate(a[0]):
         if n in emptied or not held.isdisjoint(x):
             lost += [i for i in x if i not in held]
         else:
-            keep.append(list(x))
-    lost.sort(key=lambda i: -size[i])
-    return best_fit(keep, lost, size, capacity)
+            keep.append(x)
+            fill.append(a[1][n])
+    lost.sort(key=size.__getitem__, reverse=True)
+    return best_fit(keep, fill, lost, size, capacity)
 
 
-def evolve(size: list[int], capacity: int, start: list[list[list[int]]], seed: int, population: int, generations: int) -> list[list[list[int]]]:
+def evolve(size: list[int], capacity: int, start: list[list[list[int]]], seed: int, population: int, generations: int) -> list[Packing]:
     """The island's packings after some generations, best first. It stops where no packing can have fewer bins."""
     rng, least = random.Random(seed), -(-sum(size) // capacity)
-    down = sorted(range(len(size)), key=lambda i: -size[i])
-    pool = list(start) or [best_fit([], down, size, capacity)]
-    while len(pool) < population:
-        spread = rng.uniform(0.01, 0.1)
-        pool.append(best_fit([], sorted(down, key=lambda i: -size[i] * rng.uniform(1 - spread, 1 + spread)), size, capacity))
-    rated = sorted(((fitness(x, size, capacity), n, x) for n, x in enumerate(pool)), key=lambda r: r[:2])[:population]
+    pool = [(bins, [sum(size[i] for i in b) for b in bins]) for bins in start]
+    rated = [(fitness(x, capacity), n, x) for n, x in enumerate(pool)]
+    while len(rated) < population and not any(r[0][0] <= least for r in rated):
+        spread = 0.1 * rng.random() if rated else 0.0
+        wobble = [s * (1 + spread * rng.random()) for s in size]
+        made = best_fit([], [], sorted(range(len(size)), key=wobble.__getitem__, reverse=True), size, capacity)
+        rated.append((fitness(made, capacity), len(rated), made))
+    rated.sort(key=lambda r: r[:2])
     for g in range(generations):
-        if rated[0][0][0] <= least:
+        if rated[0][0][0] <= least or len(rated) < 2:
             break
-        one, two = sorted(rng.sample(range(len(rated)), 2)) if len(rated) > 1 else (0, 0)
+        one, two = sorted(rng.sample(range(len(rated)), 2))
         child = crossover(rated[one][2], rated[two][2], size, capacity, rng)
-        rated.append((fitness(child, size, capacity), population + g, child))
+        rated.append((fitness(child, capacity), population + g, child))
         rated = sorted(rated, key=lambda r: r[:2])[:population]
     return [x for _, _, x in rated]
 
@@ -155,11 +172,11 @@ def _pack(small: DataFrame, blocks: int, capacity: int, islands: int, epochs: in
                 for block, isle, items, elite in zip(*(batch.column(c).to_pylist() for c in ("block", "island", "all", "elite")), strict=True):
                     size = [x["length"] for x in items]
                     found = evolve(size, capacity, [_bins(x) for x in elite], hash((block, isle, epoch)), population, generations)
-                    out.append((block, isle, [_labels(x, len(size)).tolist() for x in found[:2]], *fitness(found[0], size, capacity)))
+                    out.append((block, isle, [_labels(x[0], len(size)).tolist() for x in found[:2]], *fitness(found[0], capacity)))
                 kinds = [pa.int64(), pa.int32(), pa.list_(pa.list_(pa.int32())), pa.int32(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["block", "island", "found", "n_bins", "roughness"])
 
-        done = elites.repartition(max(1, min(4 * blocks * islands, 4096)), "block", "island").mapInArrow(island, "block long, island int, found array<array<int>>, n_bins int, roughness double")
+        done = elites.repartition(max(1, -(-blocks * islands // TOGETHER)), "block", "island").mapInArrow(island, "block long, island int, found array<array<int>>, n_bins int, roughness double")
         done = written(done, "islands")
         if epoch + 1 < epochs:
             # each island keeps its best packing and gets that of the island before it
@@ -173,11 +190,12 @@ def _pack(small: DataFrame, blocks: int, capacity: int, islands: int, epochs: in
     return each.select("block", "row", "piece", "bin", (F.coalesce(F.sum("length").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("offset"), F.sum("length").over(Window.partitionBy("block", "bin")).alias("fill"), "length")
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, block: int = 2048, islands: int = 2, epochs: int = 2, population: int = 3, generations: int = 3, poor: float = 0.97, together: int = 64) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, block: int = 2048, islands: int = 2, epochs: int = 2, population: int = 3, generations: int = 3, poor: float = 0.97) -> DataFrame:
     """``pieces`` with sequence_id and offset.
 
-    A piece of ``capacity`` ids is a sequence of its own. Others go to blocks of about ``block`` pieces; bins under
-    ``poor`` of the capacity of ``together`` blocks are packed again. sequence_id is the block and the bin in it.
+    A piece of ``capacity`` ids is a sequence of its own. Others go to blocks of about ``block`` pieces; what lies in bins
+    under ``poor`` of the capacity is dealt into blocks anew and packed again. sequence_id is the block and the bin in it, or a
+    count of whole pieces; its last two bits tell these apart.
     No pieces give no rows.
     """
     pieces = written(pieces, "pieces")
@@ -186,10 +204,12 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, block: int = 2048, isla
     dealt = F.pmod(F.xxhash64("row", "piece"), F.lit(blocks))
     small = pieces.where(F.col("length") < capacity).select(dealt.alias("block"), "row", "piece", "length")
     first = written(_pack(small, blocks, capacity, islands, epochs, population, generations), "packed")
-    again = first.where(F.col("fill") < poor * capacity).select(F.floor(F.col("block") / together).alias("block"), "row", "piece", "length")
-    last = _pack(again, -(-blocks // together), capacity, islands, epochs, population, generations)
+    again = first.where(F.col("fill") < poor * capacity)
+    mixed = max(1, -(-again.count() // block))
+    again = again.select(F.pmod(F.xxhash64("row", "piece", F.lit("again")), F.lit(mixed)).alias("block"), "row", "piece", "length")
+    last = _pack(again, mixed, capacity, islands, epochs, population, generations)
     spot = lambda df, kind: df.select("row", "piece", (F.shiftleft(F.col("block"), 24) + F.col("bin") * 4 + kind).alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
-    own = pieces.where(F.col("length") >= capacity).select("doc_id", "row", "piece", "start", "length", "ids_crc32", (F.col("row") * 4 + F.shiftleft(F.col("piece").cast("long"), 50) * 4 + 3).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    own = pieces.where(F.col("length") >= capacity).select("doc_id", "row", "piece", "start", "length", "ids_crc32", (F.col("whole") * 4 + 3).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     packed = spot(first.where(F.col("fill") >= poor * capacity), 0).unionByName(spot(last, 1))
     rest = pieces.where(F.col("length") < capacity).join(packed, ["row", "piece"]).select(own.columns)
     return rest.unionByName(own)
