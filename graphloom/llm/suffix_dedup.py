@@ -30,7 +30,9 @@ from graphloom.staging import written
 
 LENGTH, CONTEXT, GRAM = 400, 100, 8
 #: A shard's bytes, and rows up to which a list of keys or documents goes to all tasks.
-SHARD, MOST_SENT = 2 << 20, 1_000_000
+SHARD, MOST_SENT = 2_000_000, 1_000_000
+#: Bits of a place in a shard, and bytes that the first sort looks at.
+PLACE, HEAD = 21, 5
 #: UTF-8 never has this byte; it ends each unit in a shard.
 STOP = 0xFF
 
@@ -72,68 +74,67 @@ def _digest(data: bytes, size: int = 16) -> bytes:
 
 
 def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of all places by their first ``length`` bytes: equal ones have equal ranks, the place of the first of them in order."""
+    """Ranks of all places by their first ``length`` bytes: equal ones have equal ranks, the place of the first of them in order.
+
+    Only groups that still tie are sorted again, by the ranks of the places further on. A place, its group and the
+    rank beyond share one integer, so that sorting is of plain numbers.
+    """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(length + 8, np.uint8)])
-    head = _windows(padded, ">u8")[:n].astype(np.uint64)
-    order = np.argsort(head, kind="stable")
-    ranks = np.zeros(n + length, np.int64)
-    key, tied, depth = head[order], order, 8
-    base = np.zeros(n, np.int64)
-    while True:
-        # ``tied``: the places that are sorted now, in order of key; ``base``: where each one's group begins
-        new = np.ones(len(tied), bool)
-        new[1:] = (key[1:] != key[:-1]) | (base[1:] != base[:-1])
-        group = np.flatnonzero(new)
+    if n >= 1 << PLACE:
+        raise ValueError(f"a shard has at most {(1 << PLACE) - 1} bytes")
+    head = _windows(np.concatenate([data, np.zeros(8, np.uint8)]), ">u8")[:n].astype(np.uint64) >> np.uint64(64 - 8 * HEAD)
+    mixed = (head.astype(np.int64) << PLACE) | np.arange(n)
+    mixed.sort()
+    tied, key, depth = mixed & ((1 << PLACE) - 1), mixed >> PLACE, HEAD
+    ranks, base = np.zeros(n + length, np.int64), np.zeros(n, np.int64)
+    while len(tied):
+        new = np.append(True, key[1:] != key[:-1])
+        group, at = np.flatnonzero(new), np.arange(len(tied))
         sizes = np.diff(np.append(group, len(tied)))
-        inside = np.arange(len(tied)) - np.maximum.accumulate(np.where(np.append(True, base[1:] != base[:-1]) if len(tied) else new, np.arange(len(tied)), 0))
-        begin = (base + inside)[group]
-        ranks[tied] = np.repeat(begin, sizes)
-        still = np.repeat(sizes > 1, sizes)
-        tied = tied[still]
-        if depth >= length or not len(tied):
-            return ranks[:n]
+        first = np.maximum.accumulate(np.where(np.append(True, base[1:] != base[:-1]), at, 0))
+        ranks[tied] = np.repeat((base + at - first)[group], sizes)
+        tied = tied[np.repeat(sizes > 1, sizes)]
+        if depth >= length:
+            break
         step = min(depth, length - depth)
-        base, beyond = ranks[tied], ranks[tied + step]
-        order = np.lexsort((beyond, base))
-        tied, base, key = tied[order], base[order], beyond[order]
+        mixed = (ranks[tied] << 2 * PLACE) | (ranks[tied + step] << PLACE) | tied
+        mixed.sort()
+        tied, key, base = mixed & ((1 << PLACE) - 1), mixed >> PLACE, mixed >> 2 * PLACE
         depth += step
+    return ranks[:n]
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, ranks: np.ndarray, ends: np.ndarray, begins: np.ndarray, length: int) -> np.ndarray:
-    """For each place in ``order`` how many bytes, ``length`` at most, it shares with the place before it.
+def common_prefixes(data: np.ndarray, order: np.ndarray, ranks: np.ndarray, begins: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """For each place in ``order``, the starts of passages, how many bytes it shares with the one before it, ``length`` at most.
 
-    Kasai's walk: a place shares at least one byte less than the place to its left did. Units are walked at once, a step being the
-    next place of every unit. Ties in rank share ``length`` bytes; after one a walk starts anew, as tied places
-    have no order that the walk could rely on.
+    Kasai's walk: a place shares at most one byte less than the place to its left did, if the places to the right of
+    both are starts. Units are walked at once, a step being the next start of every unit. Ties in rank share ``length``
+    bytes; after one a walk starts anew, as tied places have no order that it could rely on.
     """
     n = len(data)
-    where = np.empty(n, np.int64)
-    where[order] = np.arange(n)
-    before = np.full(n, -1, np.int64)
+    where, before = np.full(n + 1, -1, np.int64), np.full(n, -1, np.int64)
+    where[order] = np.arange(len(order))
     before[order[1:]] = order[:-1]
-    words = _windows(np.concatenate([data, np.zeros(8, np.uint8)]))
-    unit_end = np.repeat(ends, ends - begins + 1)  # of each place, its unit's stop
-    shared, h = np.zeros(n, np.int64), np.zeros(len(begins), np.int64)
-    sizes = ends - begins
-    by_size = np.argsort(-sizes, kind="stable")
-    begins, sizes = begins[by_size], sizes[by_size]
-    for step in range(int(sizes[0]) if len(sizes) else 0):
-        live = int(np.searchsorted(-sizes, -step, "left"))  # units longer than step
+    words = _windows(np.concatenate([data, np.zeros(length + 8, np.uint8)]))
+    shared, by_size = np.zeros(len(order), np.int64), np.argsort(-starts, kind="stable")
+    begins, starts = begins[by_size], starts[by_size]
+    h = np.zeros(len(begins), np.int64)
+    for step in range(int(starts[0]) if len(starts) else 0):
+        live = int(np.searchsorted(-starts, -step, "left"))  # units with more starts than steps
         at = begins[:live] + step
         to = before[at]
-        now = np.maximum(h[:live] - 1, 0)
         tie = (to >= 0) & (ranks[at] == ranks[to])
-        most = np.minimum(np.minimum(unit_end[at] - at, unit_end[to] - to), length)
-        now = np.where(tie | (to < 0), 0, np.minimum(now, most))
-        todo = np.flatnonzero((to >= 0) & ~tie & (now < most))
+        now = np.where(where[to] >= 0, np.maximum(h[:live] - 1, 0), 0)
+        now[tie | (to < 0)] = 0
+        todo = np.flatnonzero((to >= 0) & ~tie)
         while len(todo):
             differ = words[at[todo] + now[todo]] ^ words[to[todo] + now[todo]]
             lowest = np.where(differ == 0, np.uint64(1), differ & (~differ + np.uint64(1)))
             alike = np.where(differ == 0, 8, np.log2(lowest.astype(np.float64)).astype(np.int64) // 8)
-            now[todo] = np.minimum(now[todo] + alike, most[todo])
-            todo = todo[(alike == 8) & (now[todo] < most[todo])]
-        h[:live] = now
+            now[todo] = np.minimum(now[todo] + alike, length)
+            todo = todo[(alike == 8) & (now[todo] < length)]
+        # what may be one less at the next start: nothing after a tie, or where the other unit has no more starts
+        h[:live] = np.where((to >= 0) & (where[to + 1] >= 0), now, 0)
         shared[where[at]] = np.where(tie, length, now)
     return shared
 
@@ -144,15 +145,15 @@ def repeated_in_shard(units: list[bytes], starts: list[int], weights: list[int],
     ``starts``: how many passages begin in each unit; ``weights``: how many runs have this unit.
     """
     data = np.frombuffer(b"".join(u + bytes([STOP]) for u in units), np.uint8)
-    sizes = np.array([len(u) for u in units], np.int64)
+    sizes, counts = np.array([len(u) for u in units], np.int64), np.array(starts, np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     ranks = suffix_ranks(data, length)
-    order = np.argsort(ranks, kind="stable")
-    shared = common_prefixes(data, order, ranks, begins + sizes, begins, length)
-    classes = np.empty(len(data), np.int64)
-    classes[order] = np.cumsum(shared < length)
     own = np.concatenate([np.arange(b, b + s) for b, s in zip(begins, starts, strict=True)])
-    weight = np.bincount(classes[own], np.repeat(weights, starts), int(classes.max()) + 1).astype(np.int64)
+    order = own[np.argsort(ranks[own], kind="stable")]
+    shared = common_prefixes(data, order, ranks, begins, counts, length)
+    classes = np.zeros(len(data), np.int64)
+    classes[order] = np.cumsum(shared < length)
+    weight = np.bincount(classes[own], np.repeat(weights, starts)).astype(np.int64)
     cls = [classes[b : b + s] for b, s in zip(begins, starts, strict=True)]
     return [weight[c] > 1 for c in cls], cls, [weight[c] for c in cls]
 
@@ -164,7 +165,7 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 RUNS = "key long, unit binary, doc_id long, h long, lo int, n int"
-MARKS = "key long, unit binary, a int, b int, shard long, digest binary, weight long"
+MARKS = "unit binary, a int, b int, key long, shard long, part int, digests binary, single array<int>, units array<binary>, starts array<int>"
 
 
 def find_runs(docs: DataFrame, length: int, context: int) -> DataFrame:
@@ -218,8 +219,27 @@ def unit_texts(docs: DataFrame, units: DataFrame, length: int, most_sent: int) -
     return rows.mapInArrow(run, "key long, unit binary, m long, n int, data binary").dropDuplicates(["unit"])
 
 
-def shard_marks(units: DataFrame, length: int, shard: int) -> DataFrame:
-    """Repeated passages of each unit, starts a to b, as far as a shard knows (digest null), and the passages that may repeat in another shard."""
+def _edge_lists(rows: list[tuple], classes: list[np.ndarray], weights: list[np.ndarray], key: int, length: int, bits: int):
+    """A key's distinct passages in one shard as sorted lists of digests, one for each of 2^``bits`` parts of their range.
+
+    Each list goes with the places in it of passages that come once here, their units and their starts.
+    """
+    seen: dict[int, tuple[bytes, int, bytes, int]] = {}
+    for r, cls, w in zip(rows, classes, weights, strict=True):
+        if r[0] == key:
+            for i in np.unique(cls, return_index=True)[1].tolist():
+                if cls[i] not in seen:
+                    seen[int(cls[i])] = (_digest(r[4][i : i + length]), int(w[i]), r[1], i)
+    parts: dict[int, list] = {}
+    for x in sorted(seen.values()):
+        parts.setdefault(int.from_bytes(x[0][:4], "big") >> (32 - bits), []).append(x)
+    for part, found in parts.items():
+        once = [n for n, x in enumerate(found) if x[1] == 1]
+        yield part, b"".join(x[0] for x in found), once, [found[n][2] for n in once], [found[n][3] for n in once]
+
+
+def shard_marks(units: DataFrame, length: int, shard: int, bits: int) -> DataFrame:
+    """Rows of two kinds: a unit's repeated passages, from start a to b, as far as a shard knows; and sorted lists of what may repeat in another shard."""
 
     def run(batches):
         import pyarrow as pa
@@ -227,31 +247,27 @@ def shard_marks(units: DataFrame, length: int, shard: int) -> DataFrame:
 
         number = TaskContext.get().partitionId() << 24
         held: list[tuple] = []
+        kinds = {"unit": pa.binary(), "a": pa.int32(), "b": pa.int32(), "key": pa.int64(), "shard": pa.int64(), "part": pa.int32(), "digests": pa.binary(), "single": pa.list_(pa.int32()), "units": pa.list_(pa.binary()), "starts": pa.list_(pa.int32())}
 
         def done(rows):
             nonlocal number
             number += 1
             flags, classes, weights = repeated_in_shard([r[4] for r in rows], [r[3] for r in rows], [r[2] for r in rows], length)
-            out = [(r[0], r[1], a, b, None, None, None) for r, f in zip(rows, flags, strict=True) for a, b in _ranges(f)]
-            edge, seen = {rows[0][0], rows[-1][0]}, set()
-            for r, cls, w in zip(rows, classes, weights, strict=True):
-                if r[0] in edge:
-                    for i, (c, weight) in enumerate(zip(cls.tolist(), w.tolist(), strict=True)):
-                        if (r[0], c) not in seen:
-                            seen.add((r[0], c))
-                            out.append((r[0], r[1], i, i + 1, number, _digest(r[4][i : i + length]), weight))
+            out = [(r[1], a, b, *[None] * 7) for r, f in zip(rows, flags, strict=True) for a, b in _ranges(f)]
+            for key in {rows[0][0], rows[-1][0]}:
+                out += [(None, None, None, key, number, *x) for x in _edge_lists(rows, classes, weights, key, length, bits)]
             for k in range(0, len(out), 20_000):
                 part = out[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in part], t) for c, t in enumerate((pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64()))], names=["key", "unit", "a", "b", "shard", "digest", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in part], t) for c, t in enumerate(kinds.values())], names=list(kinds))
 
         size = 0
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "unit", "m", "n", "data")), strict=True):
-                if held and size + len(row[4]) > shard:
+                if held and size + len(row[4]) + 1 > shard:
                     yield from done(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[4]) + 1
         if held:
             yield from done(held)
 
@@ -259,24 +275,36 @@ def shard_marks(units: DataFrame, length: int, shard: int) -> DataFrame:
 
 
 def merged_marks(edges: DataFrame) -> DataFrame:
-    """(unit, a, b) of passages at shards' ends that another shard has too. Rows come sorted by digest, and equal digests to one task."""
+    """(unit, a, b) of passages at shards' ends that another shard has too. The lists of a key and part come together, in a row."""
+
+    def merge(lists: list[dict]):
+        runs = [np.frombuffer(x["digests"], "S16") for x in lists]
+        merged = np.sort(np.concatenate(runs))
+        for x, own in zip(lists, runs, strict=True):
+            asked = own[x["single"]]  # each list is searched for in the merged one
+            twice = np.searchsorted(merged, asked, "right") - np.searchsorted(merged, asked, "left") > 1
+            yield from ((x["units"][n], x["starts"][n], x["starts"][n] + 1) for n in np.flatnonzero(twice).tolist())
 
     def run(batches):
         import pyarrow as pa
 
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        rows = pa.Table.from_batches(parts)
-        digests, shards = np.array(rows.column("digest").to_pylist(), "S16"), rows.column("shard").to_numpy()
-        runs = {s: np.flatnonzero(shards == s) for s in np.unique(shards)}
-        twice = np.zeros(len(digests), bool)
-        for own in runs.values():  # each shard's sorted list is searched for in the merged one
-            twice[own] = np.searchsorted(digests, digests[own], "right") - np.searchsorted(digests, digests[own], "left") > 1
-        found = rows.filter(pa.array(twice & (rows.column("weight").to_numpy() == 1))).select(["key", "unit", "a", "b"])
-        yield from found.to_batches()
+        now, lists = None, []
+
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], t) for c, t in enumerate((pa.binary(), pa.int32(), pa.int32()))], names=["unit", "a", "b"])
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                for x in batch.slice(k, 64).to_pylist():
+                    if (x["key"], x["part"]) != now and lists:
+                        yield out(list(merge(lists)))
+                        lists = []
+                    now = x["key"], x["part"]
+                    lists.append(x)
+        if lists:
+            yield out(list(merge(lists)))
 
-    return edges.mapInArrow(run, "key long, unit binary, a int, b int")
+    return edges.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "unit binary, a int, b int")
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, context: int = CONTEXT, shard: int = SHARD, most_sent: int = MOST_SENT) -> DataFrame:
@@ -294,13 +322,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, context: int = CONTEXT,
     units = written(unit_texts(rows, units, length, most_sent), "units")
     size = units.agg(F.sum(F.length("data")).alias("n")).first()["n"] or 0
     dealt = units.repartitionByRange(max(1, -(-size // (4 * shard))), "key", "unit").sortWithinPartitions("key", "unit")
-    marks = written(shard_marks(dealt, length, shard), "marks")
-    edges = marks.where("digest is not null").select("key", "unit", "a", "b", "shard", "digest", "weight")
+    # parts of the digests' range are as many as shards, so that the lists of a part are about as long as a shard's
+    bits = min(16, max(1, (size // shard).bit_length()))
+    marks = written(shard_marks(dealt, length, shard, bits), "marks")
+    edges = marks.where("unit is null").select("key", "shard", "part", "digests", "single", "units", "starts")
     # a key that all of its units share a shard with is done; others go on
     wide = written(edges.groupBy("key").agg(F.min("shard").alias("x"), F.max("shard").alias("y")).where("x < y").select("key"), "wide")
-    edges = _some(edges, wide, ["key"], most_sent)
-    across = merged_marks(edges.repartitionByRange("digest").sortWithinPartitions("digest"))
-    known = marks.where("digest is null").select("unit", "a", "b").unionByName(across.select("unit", "a", "b"))
+    across = merged_marks(_some(edges, wide, ["key"], most_sent))
+    known = marks.where("unit is not null").select("unit", "a", "b").unionByName(across)
     spans = runs.join(known, "unit").select("doc_id", "h", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("b") - 1 + length).alias("end"))
     spans = written(spans.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")).withColumnsRenamed({"doc_id": "d", "h": "g"}), "spans")
     here = _some(rows.where("doc_id is not null"), spans.select(F.col("d").alias("doc_id"), F.col("g").alias("h")), ["doc_id", "h"], most_sent).union(rows.where("doc_id is null"))
