@@ -19,8 +19,8 @@ MAX_LEVEL = 100
 #: Named properties as (effective, level).
 CONSTANTS = {
     "not_involved": (0, 0), "nullable": (1, 0), "not_null": (5, 0), "not_null_after": (4, 0), "content_not_null": (5, 1), "content2_not_null": (5, 2),
-    "mutable": (1, 0), "e1immutable": (5, 0), "e2immutable": (5, 1), "e3immutable": (5, 2), "recursively_immutable": (5, 100),
-    "eve1immutable": (2, 0), "eve2immutable": (2, 1), "everecursively_immutable": (2, 100),
+    "mutable": (1, 0), "level1_immutable": (5, 0), "level2_immutable": (5, 1), "level3_immutable": (5, 2), "recursively_immutable": (5, 100),
+    "eventual_level1_immutable": (2, 0), "eventual_level2_immutable": (2, 1), "everecursively_immutable": (2, 100),
     "e1before": (3, 0), "e2before": (3, 1), "recursive_before": (3, 100), "e1after": (4, 0), "e2after": (4, 1), "recursive_after": (4, 100),
     "dependent": (1, 0), "independent1": (5, 0), "independent2": (5, 1), "independent": (5, 100),
     "not_container": (1, 0), "container": (5, 0), "not_ignore_mods": (1, 0), "ignore_mods": (5, 0),

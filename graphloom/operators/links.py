@@ -56,7 +56,7 @@ def compatible_with_immutable(links: DataFrame, immutable: DataFrame) -> DataFra
     """
     source, target = immutable.select(F.col("node").alias("src"), F.col("v").alias("_s")), immutable.select(F.col("node").alias("dst"), F.col("v").alias("_t"))
     joined = links.join(source, "src", "left").join(target, "dst", "left")
-    top, second = value("recursively_immutable"), value("e2immutable")
+    top, second = value("recursively_immutable"), value("level2_immutable")
     assigned = F.col("w").isin(LINK["statically_assigned"], LINK["assigned"])
     delayed = (F.coalesce("_s", F.lit(0)) == DELAY) | (F.coalesce("_t", F.lit(0)) == DELAY)
     dropped = (F.coalesce("_t", F.lit(0)) == top) | ((F.col("w") == LINK["dependent"]) & (F.coalesce("_s", F.lit(0)) >= second))

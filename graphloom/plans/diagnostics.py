@@ -104,7 +104,7 @@ DIAGNOSTICS = {
     "PARAMETER_SHOULD_NOT_BE_ASSIGNED_TO": (("assignments",), _where("assignments", "PARAMETER_SHOULD_NOT_BE_ASSIGNED_TO", "kind = 'parameter'", "method", "method_fqn", "idx", "target")),
     "OVERWRITING_PREVIOUS_ASSIGNMENT": (("acts",), lambda f: messages(overwritten(f["acts"], ["method_fqn", "var_id"], ["idx"]), "OVERWRITING_PREVIOUS_ASSIGNMENT", "method", "method_fqn", "idx", "var_id")),
     "CALL_CYCLE_NOT_NULL": (("call_props",), _calls("CALL_CYCLE_NOT_NULL", "in_call_cycle and requires_not_null")),
-    "CALLING_MODIFYING_METHOD_ON_E2IMMU": (("call_props",), _calls("CALLING_MODIFYING_METHOD_ON_E2IMMU", f"modifying = 1 and scope_immutable >= {value('e2immutable')} and scope_immutable % 8 = 5")),
+    "CALLING_MODIFYING_METHOD_ON_IMMUTABLE": (("call_props",), _calls("CALLING_MODIFYING_METHOD_ON_IMMUTABLE", f"modifying = 1 and scope_immutable >= {value('level2_immutable')} and scope_immutable % 8 = 5")),
     "MODIFICATION_NOT_ALLOWED": (("call_props",), _calls("MODIFICATION_NOT_ALLOWED", "modifying = 1 and scope_not_modified")),
     "IGNORING_RESULT_OF_METHOD_CALL": (("call_props",), _calls("IGNORING_RESULT_OF_METHOD_CALL", "result_ignored and modifying = 0 and not returns_void and fluent <> 1 and identity <> 1")),
     "UNNECESSARY_METHOD_CALL": (("call_props",), _calls("UNNECESSARY_METHOD_CALL", "callee_name = 'toString' and scope_is_string")),

@@ -10,7 +10,7 @@ from graphloom.functions.lattice import DELAY, LINK, value
 from graphloom.operators.entities import contained_sets
 from graphloom.operators.graph import cycle_groups, reaches_flag
 
-E2, RECURSIVE = value("e2immutable"), value("recursively_immutable")
+E2, RECURSIVE = value("level2_immutable"), value("recursively_immutable")
 INDEPENDENT, DEPENDENT = value("independent"), value("dependent")
 
 
@@ -366,14 +366,14 @@ def extension_class(types: DataFrame, methods: DataFrame) -> DataFrame:
     """RT15: (type): of level two; its static non-private methods, some with parameters, share the first one's type. ``types``: type, immutable; ``methods``: type, is_static, is_private, first_type, return_type, n_params, first_not_null."""
     own = methods.where("is_static and not is_private").withColumn("about", F.coalesce("first_type", "return_type"))
     g = own.groupBy("type").agg(F.countDistinct("about").alias("n"), F.max("n_params").alias("most"), F.bool_and(F.coalesce("first_not_null", F.lit(True))).alias("nn"))
-    return types.where(f"immutable % 8 in (2, 5) and immutable >= {value('eve2immutable')}").join(g.where("n = 1 and most > 0 and nn"), "type", "left_semi").select("type")
+    return types.where(f"immutable % 8 in (2, 5) and immutable >= {value('eventual_level2_immutable')}").join(g.where("n = 1 and most > 0 and nn"), "type", "left_semi").select("type")
 
 
 def utility_class(types: DataFrame, methods: DataFrame, constructors: DataFrame, creations: DataFrame) -> DataFrame:
     """RT16: (type): of level two, all methods static, constructors all private and never called from within."""
     static = methods.groupBy("type").agg(F.bool_and("is_static").alias("s")).where("not s")
     private = constructors.groupBy("type").agg(F.bool_and("is_private").alias("p")).where("p")
-    fine = types.where(f"immutable % 8 in (2, 5) and immutable >= {value('eve2immutable')}")
+    fine = types.where(f"immutable % 8 in (2, 5) and immutable >= {value('eventual_level2_immutable')}")
     return fine.join(static, "type", "left_anti").join(private, "type", "left_semi").join(creations.select("type"), "type", "left_anti").select("type")
 
 

@@ -20,7 +20,7 @@ def test_call_diagnostics(spark):
     scopes = spark.createDataFrame([("o", "field", 13, 1, False, False, False), ("n", "parameter", 1, 5, False, True, False)], "scope string, scope_kind string, scope_immutable int, scope_not_null int, scope_not_modified boolean, scope_is_null boolean, scope_is_string boolean")
     cycles = spark.createDataFrame([("m", "f"), ("f", "f")], "node string, cycle string")
     got = {(r["label"], r["stmt_idx"]) for r in D.diagnose({"call_props": C.call_properties(calls, methods, scopes, cycles)}).collect()}
-    assert got == {("CALL_CYCLE_NOT_NULL", "0"), ("CALL_CYCLE_NOT_NULL", "1"), ("CALLING_MODIFYING_METHOD_ON_E2IMMU", "0"), ("POTENTIAL_NULL_POINTER_EXCEPTION", "0"), ("NULL_POINTER_EXCEPTION", "1"), ("FINALIZER_METHOD_CALLED_ON_PARAMETER", "1")}
+    assert got == {("CALL_CYCLE_NOT_NULL", "0"), ("CALL_CYCLE_NOT_NULL", "1"), ("CALLING_MODIFYING_METHOD_ON_IMMUTABLE", "0"), ("POTENTIAL_NULL_POINTER_EXCEPTION", "0"), ("NULL_POINTER_EXCEPTION", "1"), ("FINALIZER_METHOD_CALLED_ON_PARAMETER", "1")}
 
 
 def test_preconditions_in_the_callers_terms(spark):

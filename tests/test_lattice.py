@@ -15,7 +15,7 @@ def rows(spark, groups):
 
 def test_constants(spark):
     got = {r["name"]: r["value"] for r in L.constants(spark).collect()}
-    assert (got["e2immutable"], got["recursively_immutable"], got["eve1immutable"], got["not_involved"], got["everecursively_immutable"]) == (13, 805, 2, 0, 802)
+    assert (got["level2_immutable"], got["recursively_immutable"], got["eventual_level1_immutable"], got["not_involved"], got["everecursively_immutable"]) == (13, 805, 2, 0, 802)
     v = spark.createDataFrame([(5 + 8 * 100,), (-1,), (0,)], "v int")
     assert [tuple(r) for r in v.select(L.effective(F.col("v")), L.level(F.col("v")), L.encode(L.effective(F.col("v")), L.level(F.col("v")))).collect()] == [(5, 100, 805), (0, -1, -8), (0, 0, 0)]
 
