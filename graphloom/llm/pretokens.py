@@ -25,7 +25,7 @@ CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: White space and the zero byte that make a text need the pattern, as pairs of lone spaces and newlines do.
 ASCII_ODD, ODD = re.compile("[\\x00\\t\\x0b-\\r]"), re.compile("[\\x00\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: Distinct chunks, and distinct pre-tokens, that a worker remembers; later ones are encoded again when they come again.
-REMEMBERED = 200_000
+REMEMBERED = 350_000
 #: Characters below this have had their categories since long before any vocabulary here was made.
 LATIN_END = 0x250
 
@@ -115,7 +115,7 @@ class ChunkEncoder:
             if chunk in self.special:
                 out[n] = self.known["\0" + chunk]
                 continue
-            if not self.byte_level or LATIN.fullmatch(chunk) is None:
+            if not self.byte_level or not (chunk.isascii() or LATIN.fullmatch(chunk)):
                 other.append(n)
                 continue
             found = PIECE.findall(chunk)
