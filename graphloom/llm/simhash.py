@@ -4,6 +4,10 @@ Two fingerprints within 2r bits have a common neighbour within r bits of both. S
 emits all its variants within half the radius, and those that meet at a variant are all within the radius of one
 another: a variant's group has one fingerprint for each variant of its centre at most, however many copies there
 are. Within a group every member is linked to the smallest, which keeps what is reachable without emitting pairs.
+
+The pipeline's stage asks for texts that share 0.8 of their five-word shingles. Their fingerprints differ in about ten
+of 64 bits, up to some 18, a radius that no ball or block reaches without most unrelated texts meeting too. So
+candidates meet in bands of MinHash values there, and each candidate pair's shingles are compared.
 """
 
 from __future__ import annotations
@@ -19,21 +23,37 @@ from graphloom.operators.components import connected_components
 from graphloom.staging import written
 
 SEED = 42
+#: The stage's near copies share 4 of 5 distinct shingles of five words. Such a pair misses all bands once in 13,000.
+WORDS, ALIKE, BANDS, ROWS = 5, (4, 5), 24, 5
+#: In bands of more members than this, those are compared that meet in the next band too, in parts of about this size.
+CROWD = 64
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * ROWS, 1), np.uint64)
+_TIMES, _FLIP, _FOLD = _DRAWN[0] | np.uint64(1), _DRAWN[1], _DRAWN[2, :ROWS, 0] | np.uint64(1)
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
+def _words(text: str) -> list[bytes]:
+    # bytes.lower and bytes.split know just ASCII letters and the six ASCII white-space characters
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def _shingles(found: list[bytes], words: int) -> np.ndarray:
+    """Hashes of the word shingles, repeats included; of all words where they are fewer."""
     import xxhash
 
-    # bytes.lower and bytes.split know just ASCII letters and the six ASCII white-space characters
-    found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, step = b" ".join(found), min(words, len(found))
     ends = list(np.cumsum([len(w) + 1 for w in found]) - 1)
     starts = [0, *(e + 1 for e in ends[: len(found) - step])]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[step - 1 :], strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[step - 1 :], strict=True)], np.uint64)
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
+    h = _shingles(_words(text), words)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 14):
         ones += np.unpackbits(h[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -89,12 +109,104 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFram
     return out.select("doc_id", hex_.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band of MinHash values; two texts agree on a band with the power ``ROWS`` of their similarity."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(shingles), 1024):
+        least = np.minimum(least, ((shingles[None, k : k + 1024] ^ _FLIP) * _TIMES).min(axis=1))
+    return (least.reshape(BANDS, ROWS) * _FOLD).sum(axis=1, dtype=np.uint64)
+
+
+def _identity(found: list[bytes]) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(found), SEED)).astype(np.int64))
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, size, bands): h tells texts of other words apart, size counts distinct shingles."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                found = [_words(t) for t in part.column("text").to_pylist()]
+                sets = [np.unique(_shingles(f, WORDS)) for f in found]
+                columns = [pa.array([_identity(f) for f in found], pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array([bands(x).view(np.int64) for x in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "h", "size", "bands"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long, size int, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(h, shingles): the distinct shingles of texts."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                found = [_words(t) for t in batch.slice(k, 64).column("text").to_pylist()]
+                columns = [pa.array(map(_identity, found), pa.int64()), pa.array([np.unique(_shingles(f, WORDS)).view(np.int64) for f in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "h long, shingles array<long>")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(src, dst): those of ``pairs`` of texts whose shingles are similar enough, which is compared exactly."""
+    few, many = ALIKE
+    size = lambda side: nodes.select(F.col("h").alias(side), F.col("size").alias(f"{side}_size"))
+    could = pairs.distinct().join(size("src"), "src").join(size("dst"), "dst")
+    could = written(could.where(F.least("src_size", "dst_size") * many >= F.greatest("src_size", "dst_size") * few).select("src", "dst"), "candidates")
+    asked = could.select(F.col("src").alias("h")).union(could.select(F.col("dst").alias("h"))).distinct()
+    rows = docs.join(nodes.join(asked, "h", "left_semi").select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = written(shingle_sets(rows).join(asked, "h", "left_semi").dropDuplicates(["h"]), "shingles")
+    side = lambda name: sets.select(F.col("h").alias(name), F.col("shingles").alias(f"{name}_set"))
+    both = could.join(side("src"), "src").join(side("dst"), "dst")
+    shared, total = F.size(F.array_intersect("src_set", "dst_set")), F.size("src_set") + F.size("dst_set")
+    return written(both.where(shared * many >= (total - shared) * few).select("src", "dst"), "alike")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of every row: component_id is the smallest doc_id reachable over similar texts.
+
+    Texts of the same words are one node. Within a band all are compared with its first, then those that are not
+    connected yet with one another.
+    """
+    docs = texts(docs)
+    found = written(signatures(docs), "signatures")
+    nodes = written(found.where("doc_id is not null").groupBy("h").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    following = F.get("bands", (F.col("band") + 1) % BANDS)
+    members = nodes.select("h", "bands", F.posexplode("bands").alias("band", "value")).select("h", F.xxhash64("band", "value").alias("key"), following.alias("next"))
+    heads = members.groupBy("key").agg(F.min("h").alias("dst"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = written(members.join(heads, "key"), "members")
+    first = _alike(members.where("h <> dst").select(F.col("h").alias("src"), "dst"), nodes, docs)
+    joined = written(connected_components(first), "joined")
+    apart = members.where("n > 2").join(joined.withColumnRenamed("node", "h"), "h", "left").select("h", "key", "next", F.coalesce("component", "h").alias("component"))
+    for name, part in (("part", F.col("next")), ("place", F.xxhash64("h", "key"))):
+        by = ["key"] if name == "part" else ["key", "part"]
+        open_ = apart.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        split = part if name == "part" else F.pmod(part, F.ceil(F.col("n") / CROWD))
+        apart = written(apart.join(open_.drop("low", "high"), by).withColumn(name, F.when(F.col("n") > CROWD, split).otherwise(F.lit(0))).drop("n"), name)
+    other = apart.select("key", "part", "place", F.col("h").alias("dst"), F.col("component").alias("dst_component"))
+    pairs = apart.join(other, ["key", "part", "place"]).where("h < dst and component <> dst_component").select(F.col("h").alias("src"), "dst")
+    linked = connected_components(first.union(_alike(pairs, nodes, docs)))
+    grouped = nodes.select("h", "node").join(linked.withColumnRenamed("node", "h"), "h", "left").select("h", "node", F.coalesce("component", "h").alias("component"))
+    least = grouped.join(grouped.groupBy("component").agg(F.min("node").alias("component_id")), "component").select("h", "component_id")
+    out = found.select("doc_id", "h").join(least, "h", "left")
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """Documents without near-copies: of each component the row of the smallest doc_id stays, with all its columns.
+    """Documents without near-copies: of each component of :func:`near_groups` the row of the smallest doc_id stays,
+    with all its columns.
 
     Rows with a null doc_id stay as well. Of rows that repeat the smallest doc_id all stay, as they are one document.
     """
-    groups = simhash_groups(docs)
+    groups = written(near_groups(docs), "groups")
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone.join(keep, "doc_id", "left_anti"), "doc_id", "left_anti").select(docs.columns)

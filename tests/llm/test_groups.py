@@ -1,6 +1,7 @@
 """SimHash groups, decontamination, personal data, toxicity, top-k and chat formatting on small fixtures."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -64,6 +65,49 @@ def test_simhash_chains(spark):
     assert [got.get(i, i) for i in range(len(values))] == label
 
 
+def slow_near_groups(rows):
+    """{doc_id: smallest doc_id reachable over pairs that share 0.8 of their five-word shingles}."""
+    def shingles(text):
+        w = text.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: shingles(t) for i, t in rows}
+    group = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if min(len(x), len(y)) * 5 >= max(len(x), len(y)) * 4 and 5 * len(x & y) >= 4 * len(x | y):
+            low, high = sorted((group[a], group[b]))
+            group = {i: low if c == high else c for i, c in group.items()}
+    return group
+
+
+def near_copies():
+    rng, rows = random.Random(21), []
+    vocabulary = [f"w{k}" for k in range(3000)]
+    for _ in range(40):
+        words = rng.choices(vocabulary, k=rng.randint(60, 250))
+        for changes in (0, 1, 2, 2, 3):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), changes):
+                copy[at] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(copy)))
+    base = rng.choices(vocabulary, k=300)
+    for _ in range(80):  # a crowd, in which copies of different changes are alike just by way of others
+        copy = list(base)
+        for at in rng.sample(range(300), rng.randint(1, 9)):
+            copy[at] = rng.choice(vocabulary)
+        rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+def test_near_groups_reach_similarity(spark):
+    rows = near_copies()
+    want = slow_near_groups(rows)
+    got = dict(simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert len(set(want.values())) < 0.7 * len(rows)
+    assert got == want
+
+
 def test_near_dedup_keeps_one_of_each(spark, docs, odd_docs):
     kept = simhash.near_dedup(docs)
     assert kept.columns == docs.columns
