@@ -7,6 +7,7 @@ and ``fg`` (graphs without and with cycles), ``wl`` (weighted links), ``seq`` (s
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from graphloom.operators.links import merge_links
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The queries whose SQL takes a part of the rows, over all rows; they have no SQL.
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -29,6 +32,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def also_whole(f):
+    """Registers f(spark, sf_dir, whole=True), without the filters that the query's SQL has, as NAME_whole."""
+    name = next(k for k, v in QUERIES.items() if v is f)
+    WHOLE[f"{name}_whole"] = partial(f, whole=True)
+    return f
+
+
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,8 +70,9 @@ def fg(spark, d):
     return c.select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * F.col("c_custkey") + 1) % n).alias("dst"))
 
 
-def wl(spark, d):
-    li = t(spark, d, "lineitem").where("l_orderkey % 50 = 0 and l_returnflag <> 'R'")
+def wl(spark, d, whole=False):
+    li = t(spark, d, "lineitem").where("l_returnflag <> 'R'")
+    li = li if whole else li.where("l_orderkey % 50 = 0")
     return li.groupBy(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).agg(F.min(F.least(F.col("l_linenumber") - 1, F.lit(4))).alias("w"))
 
 
@@ -221,10 +232,11 @@ def q24(spark, d):
     return G.closure(tree(spark, d))
 
 
+@also_whole
 @query("q25_closure_cyclic", f"WITH RECURSIVE {FG}, c(start, node) AS (SELECT src, dst FROM fg WHERE src <= 200 UNION SELECT start, dst FROM c JOIN fg ON node = src) SELECT start, node FROM c")
-def q25(spark, d):
+def q25(spark, d, whole=False):
     edges = fg(spark, d)
-    return G.closure(edges, edges.where("src <= 200").select("src"), include_start=False)
+    return G.closure(edges, (edges if whole else edges.where("src <= 200")).select("src"), include_start=False)
 
 
 @query("q26_topo_layers", f"WITH RECURSIVE {TREE}, l(node, layer) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT src, layer + 1 FROM l JOIN tree ON node = dst) SELECT node, layer, 'free' AS how FROM l")
@@ -237,27 +249,31 @@ def q27(spark, d):
     return G.cycle_groups(fg(spark, d))
 
 
+@also_whole
 @query("q28_links_bottleneck", f"""WITH RECURSIVE {WL}, e AS (SELECT src, dst, w FROM wl WHERE w <= 3 UNION ALL SELECT dst, src, w FROM wl WHERE w <= 3),
 s AS (SELECT DISTINCT src FROM wl WHERE length(src) <= 3), r(start, node, w) AS (SELECT src, src, 0 FROM s UNION SELECT start, dst, greatest(r.w, e.w) FROM r JOIN e ON node = src)
 SELECT start, node, min(w) AS w FROM r GROUP BY ALL""")
-def q28(spark, d):
-    edges = wl(spark, d)
-    return G.bottleneck_links(G.add_weighted(edges, mirror=True), edges.where(F.length("src") <= 3).select("src"), max_weight=3)
+def q28(spark, d, whole=False):
+    edges = wl(spark, d, whole)
+    return G.bottleneck_links(G.add_weighted(edges, mirror=True), (edges if whole else edges.where(F.length("src") <= 3)).select("src"), max_weight=3)
 
 
+@also_whole
 @query("q29_links_merge", f"""WITH {WL}, a AS (SELECT dst AS k, src AS x, w FROM wl), b AS (SELECT 's' || l_suppkey AS k, 'p' || l_partkey AS x, CASE WHEN l_returnflag = 'R' THEN -1 ELSE greatest(l_linenumber - 1, 2) END AS w FROM lineitem WHERE l_orderkey % 25 = 0),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT k, x, CASE WHEN bool_or(w = 0) THEN 0 ELSE min(w) END AS w FROM u GROUP BY ALL""")
-def q29(spark, d):
-    a = wl(spark, d).select(F.col("dst").alias("k"), F.col("src").alias("x"), "w")
-    li = t(spark, d, "lineitem").where("l_orderkey % 25 = 0")
+def q29(spark, d, whole=False):
+    a = wl(spark, d, whole).select(F.col("dst").alias("k"), F.col("src").alias("x"), "w")
+    li = t(spark, d, "lineitem")
+    li = li if whole else li.where("l_orderkey % 25 = 0")
     b = li.select(F.concat(F.lit("s"), "l_suppkey").alias("k"), F.concat(F.lit("p"), "l_partkey").alias("x"), F.when(F.col("l_returnflag") == "R", F.lit(-1)).otherwise(F.col("l_linenumber") - 1).alias("w"))
     return merge_links(a, b, ["k", "x"], minimum=2)
 
 
+@also_whole
 @query("q30_clusters", f"""WITH RECURSIVE {WL}, e AS (SELECT src AS a, dst AS b FROM wl WHERE w BETWEEN 0 AND 2 UNION SELECT dst, src FROM wl WHERE w BETWEEN 0 AND 2),
 n AS (SELECT src AS node FROM wl UNION SELECT dst FROM wl), r(node, other) AS (SELECT node, node FROM n UNION SELECT r.node, b FROM r JOIN e ON other = a) SELECT node, min(other) AS cluster FROM r GROUP BY node""")
-def q30(spark, d):
-    return G.clusters(wl(spark, d), 0, 2)
+def q30(spark, d, whole=False):
+    return G.clusters(wl(spark, d, whole), 0, 2)
 
 
 @query("q31_relational_division", "WITH m AS (SELECT DISTINCT l_suppkey AS f, l_shipdate AS m FROM lineitem WHERE l_quantity >= 50 AND l_linenumber >= 6) SELECT a.f, b.f AS g FROM (SELECT DISTINCT f FROM m) a, (SELECT DISTINCT f FROM m) b WHERE a.f <> b.f AND NOT EXISTS (SELECT 1 FROM m x WHERE x.f = a.f AND NOT EXISTS (SELECT 1 FROM m y WHERE y.f = b.f AND y.m = x.m))")
