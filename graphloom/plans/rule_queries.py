@@ -14,7 +14,7 @@ from graphloom.operators import links as K
 from graphloom.plans import diagnostics as D
 from graphloom.plans import flow as W
 from graphloom.plans import rules as R
-from graphloom.plans.catalogue import DV, FG, dv, fg, query, t
+from graphloom.plans.catalogue import DV, FG, also_whole, dv, fg, query, t
 
 ACC = """acc AS (SELECT l_suppkey AS field, l_orderkey AS method, l_partkey AS parameter, l_linenumber AS n, CAST(l_quantity AS INTEGER) AS q,
   CASE WHEN l_returnflag = 'R' AND l_orderkey % 41 = 0 THEN -1 WHEN l_quantity > 49 AND l_linenumber > 5 THEN 1 ELSE 0 END AS v FROM lineitem)"""
@@ -138,11 +138,12 @@ def r15(spark, d):
     return R.return_value(m, a.where("n < 4").select("method", (q > 20).alias("is_this"), (q < 40).alias("is_first_parameter"), (q % 2 == 0).alias("is_constant"), (q % 2 * 4 + 1).alias("v"), (q != 30).alias("reachable")))
 
 
+@also_whole
 @query("r16_call_cycle_decision", f"WITH RECURSIVE {FG}, c(s, e) AS (SELECT src, dst FROM fg WHERE src < 400 UNION SELECT s, dst FROM c JOIN fg ON e = src WHERE src < 400), m AS (SELECT a.s, min(a.e) AS cyc FROM c a JOIN c b ON a.s = b.e AND a.e = b.s GROUP BY 1), v AS (SELECT src AS method, CASE WHEN src % 6 = 0 THEN -1 WHEN src % 6 = 1 THEN 1 ELSE 0 END AS v, coalesce(cyc, src) AS cyc FROM fg LEFT JOIN m ON s = src), g AS (SELECT cyc, CASE WHEN max(v) = 1 THEN 1 WHEN min(v) = 0 THEN 0 ELSE -1 END AS d FROM v GROUP BY 1) SELECT method, d AS v FROM v JOIN g USING (cyc)")
-def r16(spark, d):
+def r16(spark, d, whole=False):
     calls = fg(spark, d)
     k = F.col("src") % 6
-    return R.call_cycle_decision(calls.select(F.col("src").alias("method"), F.when(k == 0, F.lit(-1)).when(k == 1, F.lit(1)).otherwise(F.lit(0)).alias("v")), calls.where("src < 400"))
+    return R.call_cycle_decision(calls.select(F.col("src").alias("method"), F.when(k == 0, F.lit(-1)).when(k == 1, F.lit(1)).otherwise(F.lit(0)).alias("v")), calls if whole else calls.where("src < 400"))
 
 
 # parameters ---------------------------------------------------------------------------------------------------
@@ -300,11 +301,14 @@ def r37(spark, d):
     return out.select(F.substring("src", 2, 20).cast("long").alias("src"), F.substring("dst", 2, 20).cast("long").alias("dst"), "w")
 
 
+@also_whole
 @query("r38_call_facts", f"WITH RECURSIVE {FG}, i AS (SELECT * FROM fg WHERE src < 300 AND dst < 300), c(s, e) AS (SELECT src, dst FROM i UNION SELECT s, dst FROM c JOIN i ON e = src), n AS (SELECT range AS method FROM range(300)) SELECT method, (SELECT count(*) FROM c WHERE s = method) AS n_own_reached, EXISTS (SELECT 1 FROM c WHERE s = method AND e = method) AS on_call_cycle, CASE WHEN method % 3 <> 0 THEN 'non_private' WHEN EXISTS (SELECT 1 FROM c WHERE e = method AND s % 3 <> 0 AND s % 7 <> 0) THEN 'called_from_non_private' WHEN EXISTS (SELECT 1 FROM c WHERE e = method AND s % 7 = 0) THEN 'part_of_construction' ELSE 'not_called' END AS status FROM n")
-def r38(spark, d):
+def r38(spark, d, whole=False):
     k = F.col("id")
-    m = spark.range(300).select(k.alias("method"), F.lit(1).alias("type"), (k % 3 == 0).alias("is_private"), (k % 7 == 0).alias("is_ctor"), F.lit(False).alias("is_static"), F.lit(False).alias("is_abstract"))
-    return G.call_facts(fg(spark, d).where("src < 300"), m).select("method", "n_own_reached", "on_call_cycle", "status")
+    ids = t(spark, d, "customer").select(F.col("c_custkey").alias("id")) if whole else spark.range(300)
+    m = ids.select(k.alias("method"), F.lit(1).alias("type"), (k % 3 == 0).alias("is_private"), (k % 7 == 0).alias("is_ctor"), F.lit(False).alias("is_static"), F.lit(False).alias("is_abstract"))
+    calls = fg(spark, d)
+    return G.call_facts(calls if whole else calls.where("src < 300"), m).select("method", "n_own_reached", "on_call_cycle", "status")
 
 
 @query("r39_default_branch", "SELECT conv_id, turn AS block, CASE WHEN role <> 'system' THEN CASE WHEN length(text) > 1500 THEN 2 WHEN length(text) > 100 THEN 1 ELSE 0 END ELSE CASE WHEN m = 2 THEN 0 WHEN coalesce(m, 0) = 0 THEN 2 ELSE 1 END END AS execution FROM (SELECT *, max(CASE WHEN role <> 'system' THEN CASE WHEN length(text) > 1500 THEN 2 WHEN length(text) > 100 THEN 1 ELSE 0 END END) OVER (PARTITION BY conv_id) AS m FROM conversations)")
@@ -349,12 +353,14 @@ def r44(spark, d):
     return delay_histogram(dv(spark, d).where("v = -1").select(F.col("g").alias("element"), (F.col("l_orderkey") % 7).cast("string").alias("cause"))).select("element", "n")
 
 
+@also_whole
 @query("r45_fixpoint_driver", f"WITH RECURSIVE {FG}, m AS (SELECT src, dst FROM fg WHERE src < 200), r(node) AS (SELECT src FROM m WHERE src % 13 = 0 UNION SELECT src FROM r JOIN m ON node = dst) SELECT CAST(src AS VARCHAR) AS elem, CASE WHEN r.node IS NULL THEN 0 ELSE 1 END AS v FROM m LEFT JOIN r ON r.node = src")
-def r45(spark, d):
+def r45(spark, d, whole=False):
     from graphloom.plans.fixpoint import run_rules, value_of
     from graphloom.staging import written
 
-    calls = written(fg(spark, d).where("src < 200").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")), "calls")
+    calls = fg(spark, d) if whole else fg(spark, d).where("src < 200")
+    calls = written(calls.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")), "calls")
 
     def modified(facts, state, breaking):
         c = facts["calls"]
@@ -366,7 +372,8 @@ def r45(spark, d):
         out = own.join(seen, "src", "left").select(F.col("src").alias("elem"), F.lit("MODIFIED").alias("property"), v.alias("v"))
         return out.withColumn("v", L.replace_delay(F.col("v"), 0)) if breaking else out
 
-    return run_rules({"calls": calls}, [modified], spark).select("elem", "v")
+    # a value takes a round for each call on the way, and ways are longer in larger tables
+    return run_rules({"calls": calls}, [modified], spark, max_rounds=10_000 if whole else 100).select("elem", "v")
 
 
 # calls --------------------------------------------------------------------------------------------------------

@@ -77,3 +77,29 @@ def test_merge(spark, sf, lines):
 
 def test_clusters(spark, sf, lines):
     assert result(spark, sf, "q30_clusters") == sorted(components(links(lines), 2).items())
+
+
+def test_cycle_decision(spark, sf):
+    group = {k: min(x for x in reached(k) if k in reached(x)) if k in reached(k) else k for k in FG}
+    value = {k: -1 if k % 6 == 0 else 1 if k % 6 == 1 else 0 for k in FG}
+    of = {}
+    for k, c in group.items():
+        of.setdefault(c, []).append(value[k])
+    assert any(k >= 400 and c != k for k, c in group.items())
+    assert result(spark, sf, "r16_call_cycle_decision") == sorted((k, 1 if max(of[c]) == 1 else 0 if min(of[c]) == 0 else -1) for k, c in group.items())
+
+
+def test_call_facts(spark, sf):
+    own = {k: {x for x in reached(k) if x in FG} for k in FG}
+
+    def status(k):
+        by = [s for s in FG if k in own[s]]
+        if k % 3:
+            return "non_private"
+        return "called_from_non_private" if any(s % 3 and s % 7 for s in by) else "part_of_construction" if any(s % 7 == 0 for s in by) else "not_called"
+
+    assert result(spark, sf, "r38_call_facts") == sorted((k, len(own[k]), k in own[k], status(k)) for k in FG)
+
+
+def test_fixpoint_driver(spark, sf):
+    assert result(spark, sf, "r45_fixpoint_driver") == sorted((str(k), int(any(x % 13 == 0 and x in FG for x in reached(k) | {k}))) for k in FG)
