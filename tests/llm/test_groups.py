@@ -210,6 +210,19 @@ def test_revealing_terms_and_redaction(spark):
     assert pii.sanitise(frame).columns == frame.columns
 
 
+def test_revealing_terms_far_from_the_entity(spark):
+    far = " and so on it goes" * 10
+    rows = [(k, f"Élan writes from bob@corp.example{far} to Qwertz{k}, and Qwertz again{far} Élan") for k in range(4)]
+    rows += [(10 + k, f"it goes on and so, again, number {k} writes to from") for k in range(200)] + [(300, "mail ann@corp.example, Qwertz")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.pii_report(frame).collect()}
+    text = rows[0][1]
+    want = sorted([(m.start(), 4, m.end()) for m in re.finditer("Qwertz|Élan", text)] + [(text.index("bob"), 0, text.index("bob") + 16)])
+    assert spans[0] == ",".join(f"{'term' if k else 'email'}:{a}:{b}" for a, k, b in want)
+    assert spans[300] == "email:5:21"  # holds another entity
+    assert {r["doc_id"]: r["text"] for r in pii.sanitise(frame).collect()}[3] == rows[3][1].replace("Qwertz", "").replace("Élan", "").replace("bob@corp.example", "<EMAIL>")
+
+
 def test_no_python_on_the_way(spark):
     frame = spark.createDataFrame([(1, "a@b.cd")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
