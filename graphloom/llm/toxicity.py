@@ -23,6 +23,8 @@ from graphloom.llm.tables import table, texts
 SAMPLE, TERMS = 12_000, 4_000
 BITS, RANK, EPOCHS, STEPS, BATCH, RATE, SHRINK = 16, 4, 12, 1500, 128, 0.02, 2e-4
 LEAST, DEVIATIONS = 3, 4.0
+#: A pair counts as meeting by more than chance where all pairs together would do so once in e to this power samples.
+SURE = 3.0
 #: How fast factors are learnt against weights: what single terms explain is theirs.
 PAIRS = 0.1
 WORD = re.compile(r"[^\W_]+")
@@ -74,6 +76,40 @@ def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return (seen >= LEAST) & (np.abs(one / ones - (seen - one) / (len(y) - ones)) > DEVIATIONS * spread)
 
 
+def paired(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Which buckets, in ``LEAST`` rows, tell a label together with another one, beyond what both tell by themselves.
+
+    Two buckets that add up have the sum of their log odds where they meet. The labels seen there instead must be less
+    likely than one in all pairs (``SURE``), by Chernoff's bound, which holds for small counts too.
+    """
+    n, flat, sizes = 1 << BITS, np.concatenate(rows), [len(r) for r in rows]
+    seen, one = np.bincount(flat, minlength=n), np.bincount(flat, np.repeat(y, sizes), n)
+    used = np.flatnonzero(seen >= LEAST)
+    out, place = np.zeros(n, bool), np.full(n, -1)
+    place[used] = np.arange(len(used))
+    own = [place[r][place[r] >= 0] for r in rows]
+    logit = lambda p: np.log(p / (1 - p))
+    all_ = logit((y.sum() + 0.5) / (len(y) + 1))
+    odds = logit((one[used] + np.exp(all_) / (1 + np.exp(all_))) / (seen[used] + 1)) - all_
+    least = np.log(max(1, len(used) * (len(used) - 1) / 2)) + SURE
+    holders = np.split(np.repeat(np.arange(len(rows)), [len(r) for r in own])[np.argsort(np.concatenate(own), kind="stable")], np.cumsum(seen[used])[:-1]) if len(used) else []
+    for a, at in enumerate(holders):
+        met = np.concatenate([own[i] for i in at])
+        toxic = [own[i] for i in at if y[i]]
+        both = np.bincount(met, minlength=len(used))
+        with_one = np.bincount(np.concatenate(toxic), minlength=len(used)) if toxic else np.zeros(len(used), np.int64)
+        both[a] = 0
+        b = np.flatnonzero(both >= LEAST)
+        p, q = sigmoid(all_ + odds[a] + odds[b]), with_one[b] / both[b]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            far = np.where(q > 0, q * np.log(q / p), 0) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - p)), 0)
+        sure = b[both[b] * far > least]
+        if len(sure):
+            out[used[a]] = True
+            out[used[sure]] = True
+    return out
+
+
 def train(rows: list, labels: list[int], seed: int = 7) -> np.ndarray:
     """Logistic loss, adaptive steps, weights and factors shrunk towards zero; buckets that tell nothing stay there.
 
@@ -86,7 +122,7 @@ def train(rows: list, labels: list[int], seed: int = 7) -> np.ndarray:
     if len(set(labels)) < 2:
         return model
     y, arrays = np.array(labels, np.float64), [np.array(r, np.int64) for r in rows]
-    tells = telling(arrays, y)
+    tells = telling(arrays, y) | paired(arrays, y)
     if not tells.any():
         return model
     model[:-1][tells, 1:] = rng.normal(0, 0.03, (int(tells.sum()), RANK))

@@ -260,6 +260,21 @@ def test_toxicity_learns_pairs(spark):
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["predicted"]}
 
 
+def test_toxicity_learns_pairs_that_tell_nothing_alone():
+    rng = random.Random(4)
+    words = [f"word{k}" for k in range(400)]
+    texts, labels = [], []
+    for i in range(3000):
+        a, b = i % 2, i // 2 % 2
+        texts.append(toxicity.terms(" ".join(rng.choices(words, k=rng.randint(5, 60)) + ["left"] * a + ["right"] * b)))
+        labels.append(a ^ b)
+    y = np.array(labels[:2400])
+    assert not toxicity.telling([np.array(t) for t in texts[:2400]], y)[[toxicity.bucket("left"), toxicity.bucket("right")]].any()
+    assert toxicity.paired([np.array(t) for t in texts[:2400]], y).nonzero()[0].tolist() == sorted([toxicity.bucket("left"), toxicity.bucket("right")])
+    got = toxicity.sigmoid(toxicity.raw_scores(toxicity.train(texts[:2400], labels[:2400]), texts[2400:]))
+    assert ((got >= 0.5) == np.array(labels[2400:])).mean() > 0.95
+
+
 def test_toxicity_without_labels_or_documents(spark, docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.toxicity(docs, none).collect()} == {0.5}
