@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.tables import table, texts
 
-#: Labelled rows to train on, about, and terms of one of them (of the smallest hashes, for training alone).
-SAMPLE, TERMS = 12_000, 4_000
+#: Labelled rows to train on, about; all their buckets are used.
+SAMPLE = 12_000
 BITS, RANK, EPOCHS, STEPS, BATCH, RATE, SHRINK = 16, 4, 12, 1500, 128, 0.02, 2e-4
 LEAST, DEVIATIONS = 3, 4.0
 #: A pair counts as meeting by more than chance where all pairs together would do so once in e to this power samples.
@@ -174,7 +174,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 found = [terms(t) for t in part.column("text").to_pylist()]
-                found = [sorted(sorted(t, key=lambda i: i * 0x9E3779B1 & 0xFFFFFFFF)[:TERMS]) for t in found]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
 
     def learn(batches):

@@ -275,6 +275,14 @@ def test_toxicity_learns_pairs_that_tell_nothing_alone():
     assert ((got >= 0.5) == np.array(labels[2400:])).mean() > 0.95
 
 
+def test_toxicity_learns_from_all_of_a_long_text(spark):
+    filler = " ".join(f"word{k}" for k in range(6000))
+    told = max((f"bad{k}" for k in range(500)), key=lambda w: toxicity.bucket(w) * 0x9E3779B1 & 0xFFFFFFFF)
+    frame = spark.createDataFrame([(i, f"{filler} {told}" if i % 2 else filler) for i in range(80)], "doc_id long, text string")
+    model = toxicity.fit(frame, spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int"))
+    assert toxicity.bucket(told) not in toxicity.terms(filler) and model[toxicity.bucket(told), 0] > 0.5
+
+
 def test_toxicity_without_labels_or_documents(spark, docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.toxicity(docs, none).collect()} == {0.5}
