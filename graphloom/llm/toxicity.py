@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = known.count()
     part = min(1.0, sample / max(1, n))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(part * 1_000_000))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) < int(part * (1 << 40)))
     rows = texts(docs).join(chosen, "doc_id")
 
     def hashed(batches):
@@ -213,15 +213,20 @@ def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document, over its whole text.
 
-    Null and empty texts have the score of the bias. Rows that repeat a doc_id are scored each; a null doc_id is
-    kept and not held out. Without labels every score is one half. No documents give no rows.
+    Null and empty texts have the score of the bias; a text of any length is scored whole. Rows that repeat a doc_id
+    are scored each; a null doc_id is kept and not held out. Of labels that repeat a doc_id the larger counts.
+    Without labels every score is one half; a score of exactly ``REJECT`` rejects. No documents give no rows.
     """
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents, with all their columns, that the machine doesn't reject."""
+    """Documents, with all their columns, that the machine doesn't reject.
+
+    Rows that repeat one another have one score, so all of them stay or none does; null and empty texts are judged
+    by the bias. No documents give no rows; without labels every score is one half and so every document goes.
+    """
     model = fit(docs, labels)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
