@@ -6,7 +6,7 @@ attachment and the number of tokens that the placeholder stands for. A plain tex
 
 Template: ``<|im_start|>role\\ncontent<|im_end|>\\n`` for each turn. Inside roles and contents, ``<|`` and the
 escape itself are escaped reversibly (``<`` + n times ``\\`` + ``|`` gets one more backslash), so no text can
-make a mark, and reading back gives the texts as they were. The loss mask covers the contents of assistants.
+make a mark, and reading back gives the texts as they were. A role's backslashes and newlines are escaped on top. The loss mask covers the contents of assistants.
 """
 
 from __future__ import annotations
@@ -68,6 +68,17 @@ class Document:
         visitor.document(self)
 
 
+@dataclass(frozen=True)
+class Other:
+    """A part of a kind that isn't known here."""
+
+    kind: str
+    uri: str
+
+    def accept(self, visitor: "Flatten") -> None:
+        visitor.other(self)
+
+
 class Flatten:
     """Visits the parts of one message: ``out`` gets its content, ``attachments`` (place, kind, uri, tokens)."""
 
@@ -89,9 +100,12 @@ class Flatten:
     def document(self, part: Document) -> None:
         self._attach("document", part.uri, part.pages * self.page_tokens)
 
-    def _attach(self, kind: str, uri: str, tokens: int) -> None:
+    def other(self, part: Other) -> None:
+        self._attach(part.kind, part.uri, 0, "attachment")
+
+    def _attach(self, kind: str, uri: str, tokens: int, shown: str | None = None) -> None:
         self.attachments.append((len(self.attachments), kind, uri, tokens))
-        self.out.append(f"<|{kind}_{len(self.attachments) - 1}|>")
+        self.out.append(f"<|{shown or kind}_{len(self.attachments) - 1}|>")
 
 
 def part_of(row: dict) -> Text | Image | Audio | Document:
@@ -108,6 +122,31 @@ def part_of(row: dict) -> Text | Image | Audio | Document:
     raise ValueError(f"no such kind of part: {kind}")
 
 
+def parts_of(rows: list[dict]) -> list[Text | Image | Audio | Document | Other]:
+    """The typed parts of a message: neighbouring texts are one, so that no mark spans them; unknown kinds are :class:`Other`."""
+    out: list = []
+    for row in rows:
+        kind = (row or {}).get("kind") or "text"
+        part = part_of(row or {}) if kind in ("text", "image", "audio", "document") else Other(kind, row.get("uri") or "")
+        if out and isinstance(part, Text) and isinstance(out[-1], Text):
+            out[-1] = Text(out[-1].text + part.text)
+        else:
+            out.append(part)
+    return out
+
+
+_ROLE = re.compile(r"\\([\\n])")
+
+
+def escape_role(role: str) -> str:
+    """A role on one line, reversibly."""
+    return escape(role).replace("\\", "\\\\").replace("\n", "\\n")
+
+
+def unescape_role(role: str) -> str:
+    return unescape(_ROLE.sub(lambda m: "\n" if m[1] == "n" else "\\", role))
+
+
 def format_turns(turns: list[tuple[str, list]]) -> tuple[str, list[tuple[int, int]], list[tuple], int]:
     """(formatted text, spans under the loss mask, attachments with their turn, tokens that placeholders expand to)."""
     out, at, loss, attachments = [], 0, [], []
@@ -118,7 +157,7 @@ def format_turns(turns: list[tuple[str, list]]) -> tuple[str, list[tuple[int, in
         content = "".join(visitor.out)
         if any(isinstance(a, Text) and isinstance(b, Text) for a, b in zip(parts, parts[1:])):
             raise ValueError("neighbouring text parts must be joined: a mark could span them")
-        head = f"{START}{escape(role)}\n"
+        head = f"{START}{escape_role(role)}\n"
         if role == "assistant":
             loss.append((at + len(head), at + len(head) + len(content)))
         out.append(f"{head}{content}{END}\n")
@@ -129,7 +168,7 @@ def format_turns(turns: list[tuple[str, list]]) -> tuple[str, list[tuple[int, in
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
     """(role, content) of every turn, unescaped."""
-    return [(unescape(role), unescape(content)) for role, content in _TURN.findall(formatted)]
+    return [(unescape_role(role), unescape(content)) for role, content in _TURN.findall(formatted)]
 
 
 def chat_format(conversations: DataFrame) -> DataFrame:
@@ -137,8 +176,9 @@ def chat_format(conversations: DataFrame) -> DataFrame:
 
     ``conversations`` has conv_id, turn, role, and text or ``parts`` (an array of structs with kind, text, uri,
     width, height, seconds, pages). Turns go by (turn, role, text), nulls first: ties and repeated rows have one
-    order. Null texts and roles are empty; a null conv_id is a conversation of its own; no rows give no rows.
-    A newline in a role would end it early, so it is written as a space. More columns don't matter.
+    order. Null texts, roles and parts are empty; a null conv_id is a conversation of its own; no rows give no rows.
+    Neighbouring text parts are one text. A part of an unknown kind is the placeholder ``<|attachment_n|>`` of no tokens,
+    and its reference keeps the kind. Texts of any length are written whole. More columns don't matter.
     """
     content = "parts" if "parts" in conversations.columns else "text"
     rows = conversations.select("conv_id", F.struct("turn", "role", content).alias("row"))
@@ -149,7 +189,7 @@ def chat_format(conversations: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for conv, turns in zip(batch.column("conv_id").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-                said = [((t["role"] or "").replace("\n", " "), [part_of(p) for p in t["parts"] or []] if content == "parts" else [Text(t["text"] or "")]) for t in turns]
+                said = [(t["role"] or "", parts_of(t["parts"] or []) if content == "parts" else [Text(t["text"] or "")]) for t in turns]
                 text, loss, attachments, tokens = format_turns(said)
                 out.append((conv, text, loss, attachments, tokens))
             spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

@@ -308,11 +308,13 @@ def merged_marks(edges: DataFrame) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, context: int = CONTEXT, shard: int = SHARD, most_sent: int = MOST_SENT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of every document; ``text`` is what is left of it.
 
     Texts count as UTF-8 bytes, a null one as empty; passages never cross documents and are judged on the input.
-    Rows that repeat a doc_id have a row each, and repeat one another; null doc_ids are kept. No documents give no
-    rows.
+    Where a passage begins or ends inside a character, ``text`` shows its rest as U+FFFD; the digest is of the bytes.
+    Texts of any length are gone through whole; texts shorter than ``length`` bytes stay. Of equal passages none is
+    the first: all go. Rows that repeat a doc_id have a row each, and repeat one another; null doc_ids are kept;
+    other columns don't matter. No documents give no rows.
     """
     rows = texts(docs).select("doc_id", F.xxhash64("text").alias("h"), "text")
     runs = written(find_runs(rows, length, context), "runs")
@@ -323,7 +325,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, context: int = CONTEXT,
     size = units.agg(F.sum(F.length("data")).alias("n")).first()["n"] or 0
     dealt = units.repartitionByRange(max(1, -(-size // (4 * shard))), "key", "unit").sortWithinPartitions("key", "unit")
     # parts of the digests' range are as many as shards, so that the lists of a part are about as long as a shard's
-    bits = min(16, max(1, (size // shard).bit_length()))
+    bits = min(31, max(1, (size // shard).bit_length()))
     marks = written(shard_marks(dealt, length, shard, bits), "marks")
     edges = marks.where("unit is null").select("key", "shard", "part", "digests", "single", "units", "starts")
     # a key that all of its units share a shard with is done; others go on
@@ -332,35 +334,32 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, context: int = CONTEXT,
     known = marks.where("unit is not null").select("unit", "a", "b").unionByName(across)
     spans = runs.join(known, "unit").select("doc_id", "h", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("b") - 1 + length).alias("end"))
     spans = written(spans.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")).withColumnsRenamed({"doc_id": "d", "h": "g"}), "spans")
-    here = _some(rows.where("doc_id is not null"), spans.select(F.col("d").alias("doc_id"), F.col("g").alias("h")), ["doc_id", "h"], most_sent).union(rows.where("doc_id is null"))
-    cut = here.join(spans, here["doc_id"].eqNullSafe(F.col("d")) & (here["h"] == F.col("g"))).select("d", "g", "text", "spans")
+    # a document's ids and each of its spans count alike, so what is sent is bounded by its bytes
+    weight = spans.agg(F.sum(F.size("spans") + 4).alias("n")).first()["n"] or 0
+    asked = rows.join(F.broadcast(spans) if weight <= most_sent else spans, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["h"] == F.col("g")), "left")
 
     def remove(batches):
         import pyarrow as pa
 
+        kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "text": pa.string()}
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part, out = batch.slice(k, 64), []
-                for d, g, text, spans in zip(*(part.column(c).to_pylist() for c in ("d", "g", "text", "spans")), strict=True):
-                    data, kept, at, count, gone = text.encode(), hashlib.sha256(), 0, 0, 0
+                for doc, text, spans in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
+                    data, kept, at, count = text.encode(), [], 0, 0
                     for s in spans:
                         if s["start"] > at or not count:
-                            kept.update(data[at : s["start"]])
+                            kept.append(data[at : s["start"]])
                             count += 1
-                            gone += s["end"] - s["start"]
-                            at = s["end"]
-                        elif s["end"] > at:
-                            gone += s["end"] - at
-                            at = s["end"]
-                    kept.update(data[at:])
-                    out.append((d, g, gone, count, kept.hexdigest()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["d", "g", "n_removed", "n_spans", "sha"])
-
-    changed = cut.mapInArrow(remove, "d long, g long, n_removed long, n_spans long, sha string").dropDuplicates(["d", "g"])
-    whole = rows.select("doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
-    out = whole.join(changed, whole["doc_id"].eqNullSafe(F.col("d")) & (whole["h"] == F.col("g")), "left")
+                        at = max(at, s["end"])
+                    left = b"".join([*kept, data[at:]])
+                    out.append((doc, len(data), len(data) - len(left), count, hashlib.sha256(left).hexdigest(), left.decode(errors="replace")))
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds.values())], names=list(kinds))
+
+    cut = asked.where("spans is not null").select("doc_id", "text", "spans").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
     none = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
+    whole = asked.where("spans is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "text")
+    return cut.unionByName(whole)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,9 +5,9 @@ one, level 0 of all ids; a bitmap per level but the last says which of its chunk
 counts the set bits before each block of 512. So the place of an id's next chunk is a rank, and any id is read
 without decoding others.
 
-File, little-endian: ``GLDAC1\\0\\0``, then header counts as unsigned 64-bit integers (documents, ids, levels,
-width), the length of each level, then the documents' ids (signed 64-bit), their starts within the file
-(unsigned 64-bit, one more than documents), and for each level its chunks (unsigned 8- or 16-bit), its bitmap
+File, little-endian: ``GLDAC2\\0\\0``, then header counts as unsigned 64-bit integers (documents, ids, levels,
+width, documents without an id, which come last), the length of each level, then the documents' ids (signed 64-bit, 0
+without one), their starts within the file (unsigned 64-bit, one more than documents), and for each level its chunks (unsigned 8- or 16-bit), its bitmap
 and its rank directory (unsigned 64-bit).
 """
 
@@ -24,7 +24,7 @@ from graphloom.llm.pretokens import encoder, slices, vocabulary
 from graphloom.llm.tables import table, texts
 from graphloom.staging import fresh_path
 
-MAGIC, BLOCK, DEPTH = b"GLDAC1\0\0", 512, 4
+MAGIC, BLOCK, DEPTH = b"GLDAC2\0\0", 512, 4
 
 
 def encode_levels(ids: np.ndarray, width: int = 8) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -45,11 +45,12 @@ class CodeFile:
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a file of codes")
-        n_docs, self.n_ids, n_levels, self.width = map(int, np.frombuffer(data, "<u8", 4, 8))
-        kind, at = ("<u1" if self.width == 8 else "<u2"), 40
+        n_docs, self.n_ids, n_levels, self.width, n_nameless = map(int, np.frombuffer(data, "<u8", 5, 8))
+        kind, at = ("<u1" if self.width == 8 else "<u2"), 48
         sizes = np.frombuffer(data, "<u8", n_levels, at)
         at += 8 * n_levels
         self.docs, at = np.frombuffer(data, "<i8", n_docs, at), at + 8 * n_docs
+        self.nameless = np.arange(n_docs) >= n_docs - n_nameless
         self.starts, at = np.frombuffer(data, "<u8", n_docs + 1, at), at + 8 * (n_docs + 1)
         self.levels = []
         for n in map(int, sizes):
@@ -62,9 +63,10 @@ class CodeFile:
             self.levels.append((chunks, bits, ranks))
 
     @staticmethod
-    def dump(docs: list[int], counts: list[int], ids: np.ndarray, width: int = 8) -> bytes:
+    def dump(docs: list[int | None], counts: list[int], ids: np.ndarray, width: int = 8) -> bytes:
+        """A file's bytes. Documents without an id (None) must be last."""
         levels = encode_levels(ids, width)
-        head = [np.array([len(docs), len(ids), len(levels), width, *(len(x[0]) for x in levels)], "<u8"), np.array(docs, "<i8"), np.concatenate([[0], np.cumsum(counts)]).astype("<u8")]
+        head = [np.array([len(docs), len(ids), len(levels), width, docs.count(None), *(len(x[0]) for x in levels)], "<u8"), np.array([d or 0 for d in docs], "<i8"), np.concatenate([[0], np.cumsum(counts)]).astype("<u8")]
         return MAGIC + b"".join(x.tobytes() for x in [*head, *(y for x in levels for y in x)])
 
     def _goes_on(self, level: int, i: int) -> bool:
@@ -114,19 +116,18 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_5
     """Write all documents' ids, each with ``end_id`` after it, in ascending order of doc_id, then of a hash of the text; returns the manifest.
 
     The manifest has a row per file, in order: (shard, path, first_doc, last_doc, n_docs, n_tokens). A null text is
-    an empty one; rows with a null doc_id are refused, since nothing could find them again. Rows that repeat a
-    doc_id are all kept. A file is written under another name and then moved, so a lost or repeated task leaves no
+    an empty one; rows with a null doc_id come after all others, by the hash of their text. Rows that repeat a
+    doc_id are all kept, those of one text next to one another. A text of any length is in one file; other columns don't matter. A file is written under another name and then moved, so a lost or repeated task leaves no
     half of one. No documents give no files.
     """
     spark = docs.sparkSession
     rows = texts(docs)
-    size = rows.agg(F.sum(F.octet_length("text") + 16).alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-    if size["nulls"]:
-        raise ValueError(f"{size['nulls']} documents have no doc_id")
-    shards = max(1, -(-(size["n"] or 0) // shard_bytes))
+    size = rows.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
+    shards = max(1, -(-size // shard_bytes))
     # ranges are drawn from a sample that the driver holds, so texts aren't part of the key
     keyed = rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    ordered = keyed.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    order = F.col("doc_id").asc_nulls_last(), F.col("h").asc()
+    ordered = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches):
         import pyarrow as pa
@@ -150,7 +151,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_5
         with store.open_output_stream(f"{name}.{attempt}") as out:
             out.write(CodeFile.dump(doc_ids, counts, ids))
         store.move(f"{name}.{attempt}", name)
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/shard-{shard:06d}.dac"], "first_doc": [doc_ids[0]], "last_doc": [doc_ids[-1]], "n_docs": [len(doc_ids)], "n_tokens": [len(ids)]})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/shard-{shard:06d}.dac"], "first_doc": pa.array([doc_ids[0]], pa.int64()), "last_doc": pa.array([doc_ids[-1]], pa.int64()), "n_docs": [len(doc_ids)], "n_tokens": [len(ids)]})
 
     return ordered.mapInArrow(run, "shard int, path string, first_doc long, last_doc long, n_docs long, n_tokens long")
 
@@ -187,7 +188,7 @@ def read_token_files(manifest: list, spark) -> DataFrame:
                     for x in range(a, b, step):
                         c = zlib.crc32(file.ids(x, min(b, x + step)).astype("<u4").tobytes(), c)
                     crc.append(c)
-                yield pa.RecordBatch.from_arrays([pa.array(file.docs), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(file.docs, pa.int64(), mask=file.nameless), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -223,6 +223,57 @@ def test_revealing_terms_far_from_the_entity(spark):
     assert {r["doc_id"]: r["text"] for r in pii.sanitise(frame).collect()}[3] == rows[3][1].replace("Qwertz", "").replace("Élan", "").replace("bob@corp.example", "<EMAIL>")
 
 
+def test_repeated_rows_change_no_terms(spark):
+    rows = [(k, f"filler{k} text stands here. Zanzibarov writes from bob@corp.example often about weather{k} things") for k in range(5)]
+    rows += [(10 + k, f"other words, no person, number {k} about weather and things that often stand here") for k in range(200)]
+    rows += [(301, "Zanzibarov alone"), (None, "nobody, Zanzibarov")]
+    for everywhere in (False, True):
+        told = []
+        for again in (1, 7):
+            frame = spark.createDataFrame(rows + rows[:1] * (again - 1) + rows[-1:] * (again - 1), "doc_id long, text string")
+            told.append({tuple(r) for r in pii.pii_report(frame, everywhere=everywhere).collect()})
+        assert told[0] == told[1]
+        marked = {r[0]: r[-1] for r in told[0]}
+        assert "term" in marked[0] and marked[301] == ("term:0:10" if everywhere else "") and marked[None] == ("term:8:18" if everywhere else "")
+        clean = {r["doc_id"]: r["text"] for r in pii.sanitise(frame, everywhere=everywhere).collect()}
+        assert clean[301] == (" alone" if everywhere else "Zanzibarov alone") and "Zanzibarov" not in clean[0]
+
+
+def slow_terms(rows, support, share, bits):
+    """{(doc_id, text): revealing terms} by counting all pairs of terms and entities in distinct documents."""
+    docs = list(dict.fromkeys((i, t or "") for i, t in rows))
+    words = [{w.lower() for w in re.findall(r"[^\W\d_]{4,}", t)} for _, t in docs]
+    held = [{f"{k}:" + (t[a:b].lower() if k == "email" else t[a:b] if k == "ip" else re.sub("[^0-9]", "", t[a:b])) for a, _, b, k in slow_base(t)} for _, t in docs]
+    n_term, n_entity = (itertools.chain.from_iterable(x) for x in (words, held))
+    n_term, n_entity = pd_counts(n_term), pd_counts(n_entity)
+    both = pd_counts((w, e) for ws, es in zip(words, held, strict=True) for w in ws for e in es)
+    fine = {p for p, n in both.items() if n >= support and n >= share * n_term[p[0]] and np.log2(n * len(docs) / n_term[p[0]] / n_entity[p[1]]) >= bits}
+    return {d: {w for w in ws for e in es if (w, e) in fine} for d, ws, es in zip(docs, words, held, strict=True)}
+
+
+def pd_counts(items):
+    out = {}
+    for x in items:
+        out[x] = out.get(x, 0) + 1
+    return out
+
+
+def test_terms_like_brute_force(spark):
+    rng = random.Random(31)
+    names, mails = [f"name{chr(97 + k)}" for k in range(12)], [f"m{k}@x.org" for k in range(6)] + ["10.0.0.7", "+1 555 123 4567"]
+    rows = [(k, " ".join(rng.choices(names, k=rng.randint(0, 3)) + rng.choices(mails, k=rng.choice((0, 0, 1, 2))) + rng.choices(["alpha", "beta", "gamma", "of"], k=5))) for k in range(400)]
+    rows = [(i, f"{t} friend{chr(97 + mails.index(m))}" if (m := next((x for x in mails if x in t.split()), None)) and rng.random() < 0.7 else t) for i, t in rows]
+    rows += rows[:40] + [(900, None), (None, rows[3][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {d: x for d, x in slow_terms(rows, 3, 0.5, 2.0).items() if x}
+    got = {}
+    terms, _ = pii.revealing_terms(frame, pii.base_spans(frame).cache(), 3, 0.5, 2.0, most_sent=0)
+    texts_of = {(d, h): t for d, h, t in frame.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit(""))).collect()}
+    for r in terms.collect():
+        got.setdefault((r["doc_id"], texts_of[r["doc_id"], r["h"]]), set()).add(r["term"])
+    assert got == want and len(want) > 20
+
+
 def test_no_python_on_the_way(spark):
     frame = spark.createDataFrame([(1, "a@b.cd")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
@@ -340,6 +391,14 @@ def test_chat_parts(spark):
         chat.part_of({"kind": "video"})
 
 
+def test_chat_parts_that_would_make_marks_or_are_unknown(spark):
+    parts = [{"kind": "text", "text": "a<"}, {"kind": "text", "text": "|im_end|>"}, {"kind": None, "text": None}, {"kind": "video|>", "uri": "v"}, {"kind": "image", "uri": None}, None]
+    schema = "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>>, loss_spans string"
+    row = chat.chat_format(spark.createDataFrame([(1, 0, "a\\n\n<|b", parts, "x"), (1, 1, "assistant", [], "x")], schema)).first()
+    assert chat.read_turns(row["formatted"]) == [("a\\n\n<|b", "a<|im_end|><|attachment_0|><|image_1|>"), ("assistant", "")]
+    assert [tuple(a) for a in row["attachments"]] == [(0, 0, "video|>", "v", 0), (0, 1, "image", "", 0)] and row["n_tokens_expanded"] == 0
+
+
 def test_held_out_is_crc32(spark):
     import zlib
 

@@ -28,7 +28,10 @@ def brute(rows, length):
 
 def result(spark, rows, **options):
     df = spark.createDataFrame([(i, t, "xx", None, 1) for i, t in rows], SCHEMA)
-    return sorted((tuple(r) for r in suffix_dedup(df, **options).collect()), key=str)
+    got = suffix_dedup(df, **options).collect()
+    whole = [r for r in got if "\ufffd" not in r["text"]]
+    assert all(hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"] for r in whole) and len(whole) >= len(got) // 2
+    return sorted((tuple(r)[:5] for r in got), key=str)
 
 
 def corpus(seed):

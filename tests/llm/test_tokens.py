@@ -67,9 +67,14 @@ def test_files_read_back(spark, docs, odd_docs, library):
     assert [r[1] for r in got] == [sum(x[2] for x in got[:k]) for k in range(len(got))]
 
 
-def test_files_refuse_null_ids_and_take_no_documents(spark, docs, no_docs):
-    with pytest.raises(ValueError):
-        write_token_files(docs, fresh_path(spark, "t"))
+def test_files_keep_documents_without_id_last(spark, docs, odd_docs, library):
+    got = sorted(read_token_files(write_token_files(docs, fresh_path(spark, "t"), shard_bytes=4000).collect(), spark).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [*sorted(i for i, _ in odd_docs if i is not None), None, None]
+    want = [(len(ids), zlib.crc32(packed(ids))) for i, t in odd_docs if i is None for ids in [[*library(t), 0]]]
+    assert sorted((r["n_tokens"], r["ids_crc32"]) for r in got[-2:]) == sorted(want)
+
+
+def test_files_take_no_documents(spark, no_docs):
     manifest = write_token_files(no_docs, fresh_path(spark, "t")).collect()
     assert manifest == [] and read_token_files(manifest, spark).collect() == []
 
