@@ -3,7 +3,8 @@
 Documents become pieces of at most a sequence's length. Pieces are dealt into blocks of some thousands; each block
 is a packing problem of its own that several islands work on. An island's chromosome is a list of bins. Crossover
 injects whole well-filled bins of one parent into the other, removes bins that hold what is now there twice, and
-puts the pieces that lost their bin back by best fit, largest first. After each epoch an island's elite goes to
+puts the pieces that lost their bin back: first in the places of smaller ones where that fills a bin better, then by
+best fit, largest first. After each epoch an island's elite goes to
 the next island of its block. The bins that stay poorly filled in the best packing of each block are emptied, and
 their pieces are mixed over all blocks and packed once more.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -104,13 +106,37 @@ def fitness(packing: Packing, capacity: int) -> tuple[int, float]:
     return len(fill), -float(fill @ fill)
 
 
+def trade(bins: list[list[int]], fill: list[int], lost: list[int], size: list[int], capacity: int) -> list[int]:
+    """Displaced pieces take the places of smaller ones where that fills a bin better; what is displaced then, ascending."""
+    lost = sorted(lost, key=size.__getitem__)
+    sizes = [size[i] for i in lost]
+    for n, b in enumerate(bins):
+        room = capacity - fill[n]
+        if not room or not lost:
+            continue
+        gain, out, at = 0, -1, -1
+        for i in b:
+            k = bisect_right(sizes, size[i] + room) - 1
+            if k >= 0 and sizes[k] - size[i] > gain:
+                gain, out, at = sizes[k] - size[i], i, k
+        if gain:
+            bins[n] = [lost.pop(at), *(i for i in b if i != out)]
+            fill[n] += gain
+            sizes.pop(at)
+            k = bisect_right(sizes, size[out])
+            sizes.insert(k, size[out])
+            lost.insert(k, out)
+    return lost
+
+
 def crossover(a: Packing, b: Packing, size: list[int], capacity: int, rng: random.Random, share: float = 0.3) -> Packing:
-    """A child of ``a`` with whole well-filled bins of ``b``."""
-    filled = np.argsort(-np.array(b[1]), kind="stable")[: max(1, len(b[1]) // 2)].tolist()
-    inject = rng.sample(filled, max(1, int(len(filled) * share)))
+    """A child of ``a`` with whole well-filled bins of ``b``: full ones if there are any, else of the fuller half."""
+    full = [n for n, f in enumerate(b[1]) if f == capacity]
+    filled = full or np.argsort(-np.array(b[1]), kind="stable")[: max(1, len(b[1]) // 2)].tolist()
+    inject = rng.sample(filled, max(1, int(len(filled) * rng.uniform(share, 1))))
     keep, fill = [b[0][n] for n in inject], [b[1][n] for n in inject]
     held = {i for x in keep for i in x}
-    emptied = set(np.argsort(np.array(a[1]), kind="stable")[: max(1, len(a[1]) // 100)].tolist())
+    emptied = set(np.argsort(np.array(a[1]), kind="stable")[: max(1, int(len(a[1]) * rng.uniform(0.01, 0.1)))].tolist())
     lost: list[int] = []
     for n, x in enumerate(a[0]):
         if n in emptied or not held.isdisjoint(x):
@@ -118,7 +144,7 @@ def crossover(a: Packing, b: Packing, size: list[int], capacity: int, rng: rando
         else:
             keep.append(x)
             fill.append(a[1][n])
-    lost.sort(key=size.__getitem__, reverse=True)
+    lost = trade(keep, fill, lost, size, capacity)[::-1]
     return best_fit(keep, fill, lost, size, capacity)
 
 
@@ -190,11 +216,12 @@ def _pack(small: DataFrame, blocks: int, capacity: int, islands: int, epochs: in
     return each.select("block", "row", "piece", "bin", (F.coalesce(F.sum("length").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("offset"), F.sum("length").over(Window.partitionBy("block", "bin")).alias("fill"), "length")
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, block: int = 2048, islands: int = 2, epochs: int = 2, population: int = 3, generations: int = 3, poor: float = 0.97) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, block: int = 2048, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 12, poor: float = 0.97) -> DataFrame:
     """``pieces`` with sequence_id and offset.
 
     A piece of ``capacity`` ids is a sequence of its own. Others go to blocks of about ``block`` pieces; what lies in bins
-    under ``poor`` of the capacity is dealt into blocks anew and packed again. sequence_id is the block and the bin in it, or a
+    under ``poor`` of the capacity is dealt into blocks anew and packed again, with four times the ``generations``, as such bins
+    are few. A block that reaches its lower bound, all ids over the capacity, stops there. sequence_id is the block and the bin in it, or a
     count of whole pieces; its last two bits tell these apart.
     No pieces give no rows.
     """
@@ -207,7 +234,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, block: int = 2048, isla
     again = first.where(F.col("fill") < poor * capacity)
     mixed = max(1, -(-again.count() // block))
     again = again.select(F.pmod(F.xxhash64("row", "piece", F.lit("again")), F.lit(mixed)).alias("block"), "row", "piece", "length")
-    last = _pack(again, mixed, capacity, islands, epochs, population, generations)
+    last = _pack(again, mixed, capacity, islands, epochs, 2 * population, 4 * generations)
     spot = lambda df, kind: df.select("row", "piece", (F.shiftleft(F.col("block"), 24) + F.col("bin") * 4 + kind).alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
     own = pieces.where(F.col("length") >= capacity).select("doc_id", "row", "piece", "start", "length", "ids_crc32", (F.col("whole") * 4 + 3).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     packed = spot(first.where(F.col("fill") >= poor * capacity), 0).unionByName(spot(last, 1))
@@ -218,8 +245,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, block: int = 2048, isla
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Every document's pieces with their place: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
-    A null text is empty and gives one piece, the end id. Rows that repeat a doc_id are packed each for itself; a
-    null doc_id is kept. No documents give no rows.
+    A null or empty text gives one piece, the end id; a text over ``capacity`` ids is cut, however long, and all its pieces
+    but the first are whole sequences. Rows that repeat a doc_id are packed each for itself; a null doc_id is kept;
+    other columns don't matter. Of bins that are as full the one opened or left last takes a piece. No documents give no rows.
     """
     placed = pack_pieces(pieces_of(texts(docs), tokenizer, capacity, end_id), capacity)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

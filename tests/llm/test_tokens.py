@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from graphloom.llm.packing import best_fit, crossover, evolve, pack
+from graphloom.llm.packing import PIECES, best_fit, crossover, evolve, pack, pack_pieces, trade
 from graphloom.llm.pretokens import ChunkEncoder, chunk_of, encoder, key_of, vocabulary
 from graphloom.llm.token_counts import token_counts
 from graphloom.llm.token_files import CodeFile, read_token_files, write_token_files
@@ -116,6 +116,32 @@ def test_packing(docs, odd_docs, library):
     assert len(bins) <= -(-total // capacity) + 1
 
 
+def test_packing_beats_best_fit(spark):
+    rng = random.Random(12)
+    size = [rng.randint(26, 50) for _ in range(1200)] + [100] * 5
+    rows = [(None if k % 9 == 0 else k % 7, k, 0, 0, n, k, k if n == 100 else None) for k, n in enumerate(size)]
+    got = pack_pieces(spark.createDataFrame(rows, PIECES), capacity=100, block=400).collect()
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(r["ids_crc32"] for r in got) == list(range(len(size)))
+    for places in bins.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and sum(n for _, n in places) <= 100
+    alone = best_fit([], [], sorted(range(len(size)), key=lambda i: -size[i]), size, 100)
+    assert len(bins) < 0.97 * len(alone[0])
+
+
+def test_trades_keep_every_piece_and_fill():
+    rng = random.Random(15)
+    size = [rng.randint(1, 60) for _ in range(200)]
+    bins, fill = best_fit([], [], list(range(150)), size, 100)
+    before = list(fill)
+    lost = trade(bins, fill, list(range(150, 200)), size, 100)
+    assert sorted([i for b in bins for i in b] + lost) == list(range(200)) and all(100 >= b >= a for a, b in zip(before, fill)) and sum(fill) > sum(before)
+    assert fill == [sum(size[i] for i in b) for b in bins] and [size[i] for i in lost] == sorted(size[i] for i in lost)
+
+
 def test_packing_nothing(no_docs):
     assert pack(no_docs).collect() == []
 
