@@ -84,7 +84,9 @@ def inlined(calls: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            yield pdf.assign(inlined=pd.Series([one(*x) for x in zip(pdf["body"], pdf["names"], pdf["arguments"], strict=True)], index=pdf.index, dtype="object"))
+            rows = [(b, *(None if x is None else tuple(x) for x in more)) for b, *more in zip(pdf["body"], pdf["names"], pdf["arguments"], strict=True)]
+            found = {r: one(*r) for r in set(rows)}  # equal calls are worked out once
+            yield pdf.assign(inlined=pd.Series([found[r] for r in rows], index=pdf.index, dtype="object"))
 
     from pyspark.sql.types import StringType, StructField, StructType
 
@@ -105,13 +107,19 @@ def descriptor_types(descriptors: DataFrame, column: str = "descriptor") -> Data
     return descriptors.withColumns({"arguments": F.transform(F.regexp_extract_all(inside, F.lit(one), F.lit(0)), name), "returns": name(last)})
 
 
+def renamed(text: Column, names: Column) -> Column:
+    """A text whose words, but for strings, are replaced by a map in one pass; words that it doesn't hold stay."""
+    word = r"\"(?:[^\"\\]|\\.)*\"|[A-Za-z_$][\w$.]*"
+    words, gaps = F.regexp_extract_all(text, F.lit(word), F.lit(0)), F.split(text, word, -1)
+    return F.array_join(F.zip_with(gaps, words, lambda g, w: F.concat(g, F.coalesce(F.element_at(names, F.coalesce(w, F.lit(""))), w, F.lit("")))), "")
+
+
 def sufficient(conditions: DataFrame, callee_conditions: DataFrame) -> DataFrame:
     """A callee's preconditions in the caller's terms: (caller, clause). ``conditions``: caller, callee, old, new; ``callee_conditions``: callee, clause.
 
-    Names are replaced as whole words, one after the other by their order.
+    Names are replaced as whole words, all at once; of several new names for one the smallest counts.
     """
-    names = conditions.groupBy("caller", "callee").agg(F.array_sort(F.collect_set(F.struct("old", "new"))).alias("names"))
-    joined = names.join(callee_conditions, "callee")
-    moved = F.reduce("names", F.col("clause"), lambda c, n: F.regexp_replace(c, F.concat(F.lit(r"\b"), n["old"], F.lit(r"\b")), n["new"]))
-    return joined.select("caller", moved.alias("clause")).distinct()
+    each = conditions.groupBy("caller", "callee", "old").agg(F.min("new").alias("new"))
+    names = each.groupBy("caller", "callee").agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("names"))
+    return names.join(callee_conditions, "callee").select("caller", renamed(F.col("clause"), F.col("names")).alias("clause")).distinct()
 

@@ -49,7 +49,7 @@ def merge_interrupts(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def best_interrupt(kinds: DataFrame, keys: list[str]) -> DataFrame:
     """The strongest interrupt, and its label; ties to the smaller label."""
-    return kinds.groupBy(*keys).agg(F.max_by(F.struct("interrupt", "label"), F.struct("interrupt", F.hash("label"))).alias("b")).select(*keys, "b.interrupt", "b.label")
+    return kinds.groupBy(*keys).agg(F.min_by(F.struct("interrupt", "label"), F.struct(-F.col("interrupt"), "label")).alias("b")).select(*keys, "b.interrupt", "b.label")
 
 
 def default_branch(branches: DataFrame, keys: list[str]) -> DataFrame:
