@@ -104,6 +104,26 @@ def group_decision(v: Column) -> Column:
     return F.when(F.max(v) == 1, F.lit(1)).when(F.min(v) == 0, F.lit(0)).when(F.count(v) > 0, F.lit(DELAY))
 
 
+def first_of(x: Column, order: Column) -> Column:
+    """The first that isn't null, in a stated order; null without any."""
+    return F.min_by(x, F.when(x.isNotNull(), order))
+
+
+def any_of(x: Column) -> Column:
+    """Whether one holds; nulls don't, and of nothing none does."""
+    return F.coalesce(F.bool_or(x), F.lit(False))
+
+
+def all_of(x: Column) -> Column:
+    """Whether all hold; nulls aren't counted, and of nothing all do."""
+    return F.coalesce(F.bool_and(x), F.lit(True))
+
+
+def none_of(x: Column) -> Column:
+    """Whether none holds."""
+    return ~any_of(x)
+
+
 def replace_delay(v: Column, default: Column | int) -> Column:
     """A default for a delay."""
     return F.when(v == DELAY, default if isinstance(default, Column) else F.lit(default)).otherwise(v)

@@ -73,14 +73,27 @@ def accessible(access: Column, same_package: Column, same_primary: Column, below
     return F.when(same_primary, F.lit(True)).when(access == "PUBLIC", F.lit(True)).when(access == "PROTECTED", same_package | below).when(access == "PACKAGE", same_package).otherwise(F.lit(False))
 
 
-def accessible_fields(types: DataFrame, fields: DataFrame) -> DataFrame:
-    """(type, field_fqn) of the fields that a type sees in itself, its super types and those that enclose it."""
+def _seen(types: DataFrame) -> DataFrame:
+    """(type, holder, p1, t1, p2, t2, below): a type, itself, its super types and those that enclose it, with both packages and primary types."""
     home = types.select("type_fqn", "package", "primary_type")
     reach = supers(types).select("type", F.col("super").alias("holder"), F.lit(True).alias("below")).union(enclosing_closure(types).select("start", "node", F.lit(False)))
     reach = reach.groupBy("type", "holder").agg(F.bool_or("below").alias("below"))
-    both = reach.join(home.select(F.col("type_fqn").alias("type"), F.col("package").alias("p1"), F.col("primary_type").alias("t1")), "type").join(home.select(F.col("type_fqn").alias("holder"), F.col("package").alias("p2"), F.col("primary_type").alias("t2")), "holder")
-    seen = both.join(fields.select(F.col("type_fqn").alias("holder"), "field_fqn", "access"), "holder")
-    return seen.where(accessible(F.col("access"), F.col("p1") == F.col("p2"), F.col("t1") == F.col("t2"), F.col("below"))).select("type", "field_fqn").distinct()
+    return reach.join(home.select(F.col("type_fqn").alias("type"), F.col("package").alias("p1"), F.col("primary_type").alias("t1")), "type").join(home.select(F.col("type_fqn").alias("holder"), F.col("package").alias("p2"), F.col("primary_type").alias("t2")), "holder")
+
+
+def _visible(members: DataFrame) -> DataFrame:
+    return members.where(accessible(F.col("access"), F.col("p1") == F.col("p2"), F.col("t1") == F.col("t2"), F.col("below")))
+
+
+def accessible_fields(types: DataFrame, fields: DataFrame) -> DataFrame:
+    """(type, field_fqn) of the fields that a type sees in itself, its super types and those that enclose it."""
+    return _visible(_seen(types).join(fields.select(F.col("type_fqn").alias("holder"), "field_fqn", "access"), "holder")).select("type", "field_fqn").distinct()
+
+
+def accessible_types(types: DataFrame) -> DataFrame:
+    """(type, simple_name, type_fqn) of the nested types that a type sees by simple name: those of itself, its super types and those that enclose it."""
+    nested = types.where("enclosing is not null").select(F.col("enclosing").alias("holder"), "simple_name", "type_fqn", "access")
+    return _visible(_seen(types).join(nested, "holder")).select("type", "simple_name", "type_fqn").distinct()
 
 
 def overrides(types: DataFrame, methods: DataFrame, parameters: DataFrame) -> DataFrame:
@@ -195,6 +208,21 @@ def common_types(a: Column, b: Column) -> Column:
     return F.when(F.array_contains(a, "*"), b).when(F.array_contains(b, "*"), a).otherwise(F.array_sort(F.array_intersect(a, b)))
 
 
+def positions(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with ``position``, from 0, in the order of ``by``: sorted by ranges, and counted on from the sizes of
+    the ranges before, a number for each partition."""
+    from graphloom.staging import written
+
+    sorted_ = written(rows.orderBy(*by).withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "order")
+    sizes = sorted(sorted_.groupBy("_part").count().collect())
+    before, starts = 0, []
+    for part, n in sizes:
+        starts.append((part, before))
+        before += n
+    base = sorted_.sparkSession.createDataFrame(starts, "_part int, _base long")
+    return sorted_.join(F.broadcast(base), "_part").withColumn("position", F.col("_base") + F.col("_n")).drop("_part", "_n", "_base")
+
+
 def analysis_order(layered: DataFrame, alphabetical: bool = False) -> DataFrame:
     """Elements by layer and name, or by name alone. ``layered``: node, layer."""
     return layered.orderBy("node") if alphabetical else layered.orderBy("layer", "node")

@@ -1,7 +1,8 @@
 """The rule driver: rules map facts and the state so far to values, round after round, until nothing changes.
 
-A rule is a function ``(facts, state, break_delay) -> DataFrame(elem, property, v)``. A round runs all rules over the
-elements that aren't done; a value once known stays. If a round brings nothing new while there are delays, the next
+A rule is a function ``(facts, state, break_delay) -> DataFrame(elem, property, v)``. A round runs all rules; a value once
+known stays, and a rule may leave out elements that the state already knows (:func:`open_elements`). A round is one job:
+what ends the loop is counted while the state is written. If a round brings nothing new while there are delays, the next
 one may break them (rules then answer what they must guess; such values are marked inconclusive); if that brings
 nothing either, the state is final.
 """
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.lattice import DELAY
-from graphloom.staging import written
+from graphloom.staging import written_with
 
 Rule = Callable[[dict[str, DataFrame], DataFrame, bool], DataFrame]
 STATE = "elem string, property string, v int, inconclusive boolean, round int"
@@ -41,8 +42,7 @@ def run_rules(facts: dict[str, DataFrame], rules: list[Rule], spark, max_rounds:
         both = old.join(found, ["elem", "property"], "full")
         v = F.when(known, F.col("_v")).otherwise(F.coalesce("v", F.lit(DELAY)))
         new = both.select("elem", "property", v.alias("v"), F.when(known, F.col("_i")).otherwise(F.lit(breaking) & (v != DELAY)).alias("inconclusive"), F.when(known | (v == DELAY), F.coalesce("_r", F.lit(n))).otherwise(F.lit(n)).alias("round"), (~known & (v != DELAY)).alias("_new"))
-        new = written(new, "state")
-        told = new.agg(F.count_if("_new").alias("new"), F.count_if(F.col("v") == DELAY).alias("delayed")).first()
+        new, told = written_with(new, "state", F.count_if("_new").alias("new"), F.count_if(F.col("v") == DELAY).alias("delayed"))
         state = new.drop("_new")
         if on_round is not None:
             on_round(n, state)
@@ -57,6 +57,12 @@ def run_rules(facts: dict[str, DataFrame], rules: list[Rule], spark, max_rounds:
     raise NoProgress(f"{told['delayed']} values are delayed after {max_rounds} rounds")
 
 
+def open_elements(elements: DataFrame, state: DataFrame, name: str) -> DataFrame:
+    """The elements (elem, ...) whose value of a property isn't known yet: what a rule still has to answer for."""
+    known = state.where((F.col("property") == name) & (F.col("v") != DELAY)).select("elem")
+    return elements.join(known, "elem", "left_anti")
+
+
 def value_of(state: DataFrame, name: str, elem: str) -> DataFrame:
     """(elem, v) of one property, under the names asked for: a side of a lookup join."""
     return state.where(F.col("property") == name).select(F.col("elem").alias(elem), F.col("v").alias(name))

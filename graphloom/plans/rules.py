@@ -129,6 +129,28 @@ def before_mark(fields: DataFrame, calls: DataFrame) -> DataFrame:
     return fields.join(marks, "field", "left").select("field", F.when(~F.col("eventual") | F.col("exposed"), F.lit(0)).when(F.col("m") == 1, F.lit(0)).when(F.col("m") == DELAY, F.lit(DELAY)).otherwise(F.lit(1)).alias("v"))
 
 
+def initialiser_values(fields: DataFrame, constants: DataFrame) -> DataFrame:
+    """RF2: (field, value): initialisers under the constants of their type, in canonical form; ``<none>`` without one.
+
+    ``fields``: field, type, initialiser; ``constants``: type, name, value. A type's constants are bounded by its source.
+    """
+    from graphloom.functions.symbolic import substituted
+
+    names = constants.groupBy("type").agg(F.array_sort(F.collect_set(F.struct(F.col("name").alias("old"), F.col("value").alias("new")))).alias("_names"))
+    none = F.array().cast("array<struct<old:string,new:string>>")
+    joined = fields.join(names, "type", "left").withColumn("_names", F.coalesce("_names", none))
+    return joined.select("field", F.when(F.col("initialiser").isNull(), F.lit("<none>")).otherwise(F.coalesce(substituted("initialiser", "_names"), "initialiser")).alias("value"))
+
+
+def anonymous_initialisers(fields: DataFrame, methods: DataFrame) -> DataFrame:
+    """RF16: (field, modified): for fields whose initialiser is an anonymous type or a lambda, what its methods do to the outside.
+
+    ``fields``: field, initialiser_type; ``methods``: type, modified.
+    """
+    seen = methods.groupBy(F.col("type").alias("initialiser_type")).agg(L.context_modified(F.col("modified")).alias("modified"))
+    return fields.where("initialiser_type is not null").join(seen, "initialiser_type", "left").select("field", F.coalesce("modified", F.lit(0)).alias("modified"))
+
+
 # methods ------------------------------------------------------------------------------------------------------
 
 def method_modified(methods: DataFrame, assigned: DataFrame, contexts: DataFrame, calls: DataFrame, callee: DataFrame) -> DataFrame:
@@ -174,6 +196,14 @@ def return_immutable(formal: Column, dynamic: Column, external: Column, context:
     return F.when(constant, F.lit(RECURSIVE)).otherwise(L.most_of(formal, dynamic, external, context))
 
 
+def return_container(methods: DataFrame, returned: DataFrame) -> DataFrame:
+    """RM7: (method, v): a container by its type, or by the least over the values it returns; void methods aren't. ``methods``: method, type_v, is_void; ``returned``: method, v."""
+    least = returned.groupBy("method").agg(F.min("v").alias("least"))
+    no = F.lit(value("not_container"))
+    v = F.when(F.col("is_void"), no).when(F.col("type_v") == value("container"), F.col("type_v")).otherwise(L.most_of(F.col("type_v"), F.coalesce("least", no)))
+    return methods.join(least, "method", "left").select("method", v.alias("v"))
+
+
 def return_independent(methods: DataFrame, links: DataFrame) -> DataFrame:
     """RM10: (method, v): void and recursively immutable are independent; linked to own fields up to dependent means dependent; else by the immutable level.
 
@@ -244,6 +274,27 @@ def parameter_from_fields(parameters: DataFrame, fields: DataFrame, assigned: Da
     return parameters.select("parameter").join(own, "parameter").groupBy("parameter", "property").agg(L.most(F.col("v")).alias("v"))
 
 
+def parameter_container(parameters: DataFrame, contexts: DataFrame, assigned: DataFrame) -> DataFrame:
+    """RP6: (parameter, v): a container by contract or type; else, if no field takes it, by its contexts; a field that takes it decides otherwise.
+
+    ``parameters``: parameter, type_v; ``contexts``: parameter, v; ``assigned``: parameter, v (of the field).
+    """
+    seen = contexts.groupBy("parameter").agg(L.context_container(F.col("v")).alias("context"))
+    taken = assigned.groupBy("parameter").agg(F.min("v").alias("field"))
+    joined = parameters.join(seen, "parameter", "left").join(taken, "parameter", "left")
+    yes, no = value("container"), F.lit(value("not_container"))
+    return joined.select("parameter", F.when(F.col("type_v") == yes, F.lit(yes)).otherwise(L.most_of(F.coalesce("field", F.lit(-2)), F.coalesce("context", no))).alias("v"))
+
+
+def parameter_external_immutable(parameters: DataFrame, fields: DataFrame, assigned: DataFrame) -> DataFrame:
+    """RP7: (parameter, v): the least external immutability over the fields that a parameter is assigned to; its type's value without any; a delay while one is missing.
+
+    ``parameters``: parameter, type_v; ``fields``: field, v; ``assigned``: parameter, field.
+    """
+    least = assigned.join(fields, "field", "left").groupBy("parameter").agg(F.min(F.coalesce("v", F.lit(DELAY))).alias("least"))
+    return parameters.join(least, "parameter", "left").select("parameter", F.when(F.col("least").isNull(), F.col("type_v")).when(F.col("least") == DELAY, F.lit(DELAY)).otherwise(F.greatest("least", "type_v")).alias("v"))
+
+
 def parameter_independent(parameters: DataFrame, links: DataFrame) -> DataFrame:
     """RP5: (parameter, v): independent of all fields, or as the closest link says. ``links``: parameter, w."""
     from graphloom.operators.links import independence_of_link
