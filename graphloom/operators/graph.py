@@ -16,7 +16,7 @@ def _rows() -> Column:
     return F.count(F.lit(1)).alias("n")
 
 
-def closure(edges: DataFrame, starts: DataFrame | None = None, include_start: bool = True, max_rounds: int = 200) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame | None = None, include_start: bool = True) -> DataFrame:
     """(start, node) of all that a start depends on, over any number of steps.
 
     ``include_start``: a start is in its own closure; else only if it is on a cycle. From given starts a round is a
@@ -34,25 +34,26 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, include_start: bo
         first = seeds.join(edges, F.col("start") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
     fresh, told = written_with(first, "closure", _rows())
     known = fresh
-    for _ in range(max_rounds):
+    while told["n"]:
         found = fresh.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
         fresh, told = written_with(found.join(known, ["start", "node"], "left_anti"), "closure", _rows())
-        if not told["n"]:
-            return known
         known = known.unionByName(fresh)
-    raise RuntimeError(f"no end of the closure after {max_rounds} rounds")
+    return known
+
 
+def closure_by_squaring(edges: DataFrame) -> DataFrame:
+    """G2 for all nodes in about log(depth) rounds: what the last round found is joined with all that is known, from both sides.
 
-def closure_by_squaring(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """G2 for all nodes in about log(depth) rounds, each joining the closure with itself: for deep graphs of few pairs."""
-    known, told = written_with(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "closure", _rows())
-    for _ in range(max_rounds):
-        before = told["n"]
-        more = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        known, told = written_with(known.union(more).distinct(), "closure", _rows())
-        if told["n"] == before:
-            return known.select(F.col("src").alias("start"), F.col("dst").alias("node"))
-    raise RuntimeError(f"no end of the closure after {max_rounds} rounds")
+    For deep graphs of few pairs: the result has a row for every pair.
+    """
+    fresh, told = written_with(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "closure", _rows())
+    known = fresh
+    while told["n"]:
+        then = lambda x, y: x.alias("a").join(y.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
+        found = then(known, fresh).union(then(fresh, known)).distinct()
+        fresh, told = written_with(found.join(known, ["src", "dst"], "left_anti"), "closure", _rows())
+        known = known.unionByName(fresh)
+    return known.select(F.col("src").alias("start"), F.col("dst").alias("node"))
 
 
 def supertypes(direct: DataFrame) -> DataFrame:
@@ -78,51 +79,114 @@ def _blocked(nodes: DataFrame, edges: DataFrame, by: str, on: str) -> DataFrame:
     return nodes.join(edges.select(F.col(by).alias("node"), F.col(on).alias("other")).join(nodes.select(F.col("node").alias("other")), "other", "left_semi"), "node", "left_semi")
 
 
-def layers(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def layers(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, layer, how) in topological order; ``how`` is free, trimmed or cut.
 
-    A round takes the nodes all of whose dependencies are done. Where none is free, nodes that lie on no cycle are trimmed
-    from both sides, and then one node is cut out of a cycle: of those that the smallest node left depends on, the
-    one with the fewest dependencies among them, ties to the smaller. Edges to oneself don't count. ``edges`` may
-    have a null dst for a node without dependencies.
+    A round takes the nodes all of whose dependencies are done: it counts, for the nodes that depend on what the last
+    round took, how many of their dependencies are done by now, and touches no other nodes. Where none is free, nodes
+    that lie on no cycle are trimmed from both sides, and then one node is cut out of a cycle: of those that the
+    smallest node left depends on, the one with the fewest dependencies among them, ties to the smaller. Edges to
+    oneself don't count. ``edges`` may have a null dst for a node without dependencies.
     """
     all_nodes = _nodes(edges) if nodes is None else nodes.select(F.col(nodes.columns[0]).alias("node")).union(_nodes(edges)).distinct()
     links = written(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct(), "links")
-    (left, told), layer = written_with(all_nodes, "left", _rows()), 0
-    done = left.limit(0).select("node", F.lit(0).alias("layer"), F.lit("").alias("how"))
-    for _ in range(max_rounds):
-        n = told["n"]
-        if not n:
-            return done
-        still, told = written_with(_blocked(left, links, "src", "dst"), "left", _rows())
-        if told["n"] < n:
-            done = done.union(left.join(still, "node", "left_anti").select("node", F.lit(layer).alias("layer"), F.lit("free").alias("how")))
-            left, layer = still, layer + 1
-            continue
-        core, kept = left, n
-        while True:
-            smaller, told = written_with(_blocked(_blocked(core, links, "src", "dst"), links, "dst", "src"), "core", _rows())
-            core, kept, before = smaller, told["n"], kept
-            if kept == before:
-                break
+    all_nodes, told = written_with(all_nodes, "nodes", _rows())
+    needs = written(links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("needs")), "needs")
+    total, layer = told["n"], 0
+    free, told = written_with(all_nodes.join(needs, "node", "left_anti").select("node", F.lit(0).alias("layer"), F.lit("free").alias("how")), "layer", _rows())
+    done, n_done = free, told["n"]
+    partly = needs.limit(0).select("node", F.lit(0).cast("long").alias("have"))
+    while n_done < total:
+        if told["n"]:
+            met = links.join(free.select(F.col("node").alias("dst")), "dst").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("have"))
+            sums = partly.union(met.select("node", "have")).groupBy("node").agg(F.sum("have").alias("have")).join(needs, "node")
+            # a node that was cut or trimmed is done, however many of its dependencies are
+            left = sums.join(done.where("how <> 'free'").select("node"), "node", "left_anti")
+            split, told = written_with(left.select("node", "have", (F.col("have") == F.col("needs")).alias("free")), "met", F.coalesce(F.count_if("free"), F.lit(0)).alias("n"))
+            partly, layer = split.where("not free").select("node", "have"), layer + 1
+            if told["n"]:
+                free = split.where("free").select("node", F.lit(layer).alias("layer"), F.lit("free").alias("how"))
+                done, n_done = done.unionByName(free), n_done + told["n"]
+                continue
+        core, told = written_with(all_nodes.join(done.select("node"), "node", "left_anti"), "left", _rows())
+        left, kept = core, None
+        while told["n"] != kept:
+            kept = told["n"]
+            core, told = written_with(_blocked(_blocked(core, links, "src", "dst"), links, "dst", "src"), "core", _rows())
         trimmed = left.join(core, "node", "left_anti").select("node", F.lit(layer).alias("layer"), F.lit("trimmed").alias("how"))
         inside = links.join(core.select(F.col("node").alias("src")), "src", "left_semi").join(core.select(F.col("node").alias("dst")), "dst", "left_semi")
         part = closure(inside, core.agg(F.min("node").alias("node")))
         degree = part.join(inside, F.col("node") == F.col("src")).join(part.select(F.col("node").alias("dst")), "dst", "left_semi").groupBy("node").agg(F.countDistinct("dst").alias("k"))
         cut = degree.orderBy("k", "node").limit(1).select("node", F.lit(layer + 1).alias("layer"), F.lit("cut").alias("how"))
-        free = written(trimmed.union(cut), "layer")
-        done = done.union(free)
-        left, told = written_with(left.join(free, "node", "left_anti"), "left", _rows())
-        layer += 2
-    raise RuntimeError(f"no end of the layers after {max_rounds} rounds")
+        free, told = written_with(trimmed.union(cut), "layer", _rows())
+        done, n_done, layer = done.unionByName(free), n_done + told["n"], layer + 1
+    return done
+
+
+#: Up to so many edges all pairs are few, and cycles are read from them.
+FEW = 2_000
+
+
+def _core(links: DataFrame) -> tuple[DataFrame, int]:
+    """The edges that can lie on a cycle: others are taken away from both ends until no more go."""
+    links, told = written_with(links, "core", _rows())
+    n = None
+    while told["n"] and told["n"] != n:
+        n = told["n"]
+        going, coming = links.select(F.col("src").alias("dst")).distinct(), links.select(F.col("dst").alias("src")).distinct()
+        links, told = written_with(links.join(coming, "src", "left_semi").join(going, "dst", "left_semi"), "core", _rows())
+    return links, told["n"]
 
 
-def cycle_groups(edges: DataFrame) -> DataFrame:
-    """(node, cycle): nodes that depend on one another have the same cycle, its smallest node; others their own."""
-    reach = closure(edges, include_start=False)
-    both = reach.alias("a").join(reach.alias("b"), (F.col("a.start") == F.col("b.node")) & (F.col("a.node") == F.col("b.start")))
-    mutual = both.select(F.col("a.start").alias("node"), F.col("a.node").alias("other")).groupBy("node").agg(F.min("other").alias("cycle"))
-    return _nodes(edges).join(mutual, "node", "left").select("node", F.coalesce("cycle", "node").alias("cycle"))
+def _least_before(links: DataFrame) -> DataFrame:
+    """(node, label): the smallest node from which each node is reached, itself included. Only labels that fell go on."""
+    best = fresh = written(_nodes(links).select("node", F.col("node").alias("label")), "labels")
+    n = 1
+    while n:
+        found = fresh.join(links, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("label"))
+        old = best.select("node", F.col("label").alias("old"))
+        merged, told = written_with(old.join(found, "node", "left").select("node", F.least("old", "label").alias("label"), F.coalesce(F.col("label") < F.col("old"), F.lit(False)).alias("fell")), "labels", F.coalesce(F.count_if("fell"), F.lit(0)).alias("n"))
+        best, fresh, n = merged.drop("fell"), merged.where("fell").drop("fell"), told["n"]
+    return best
+
+
+def cycle_groups(edges: DataFrame, few: int = FEW) -> DataFrame:
+    """(node, cycle): nodes that depend on one another have the same cycle, its smallest node; others their own.
+
+    Edges that no cycle can hold are taken away. Then every node gets the smallest node before it, and the nodes that lead
+    back to that one by nodes of the same label are its cycle; what is left goes through this once more. A round has a row for each
+    edge at most. Graphs of up to ``few`` edges are read from their closure, which takes fewer rounds.
+    """
+    links = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct()
+    links, told = written_with(links, "links", _rows())
+    if told["n"] <= few:
+        reach = closure_by_squaring(links)
+        both = reach.alias("a").join(reach.alias("b"), (F.col("a.start") == F.col("b.node")) & (F.col("a.node") == F.col("b.start")))
+        found = both.select(F.col("a.start").alias("node"), F.col("a.node").alias("other")).groupBy("node").agg(F.min("other").alias("cycle"))
+    else:
+        found = links.limit(0).select(F.col("src").alias("node"), F.col("src").alias("cycle"))
+        links, n = _core(links)
+        while n:
+            label = _least_before(links)
+            side = lambda key: label.select(F.col("node").alias(key), F.col("label").alias(f"{key}_label"))
+            same = written(links.join(side("src"), "src").join(side("dst"), "dst").where("src_label = dst_label").select("src", "dst"), "same")
+            back = same.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+            group = written(reaches(back, label.where("node = label").select("node")).join(label, "node").select("node", F.col("label").alias("cycle")), "group")
+            found = found.union(group)
+            gone = group.select("node")
+            links, n = _core(links.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    return _nodes(edges).join(found, "node", "left").select("node", F.coalesce("cycle", "node").alias("cycle"))
+
+
+def reaches(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node): the starts and all that is reached from any of them; each node is taken on once."""
+    fresh, told = written_with(starts.select(F.col(starts.columns[0]).alias("node")).distinct(), "reached", _rows())
+    known = fresh
+    while told["n"]:
+        found = fresh.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        fresh, told = written_with(found.join(known, "node", "left_anti"), "reached", _rows())
+        known = known.unionByName(fresh)
+    return known
 
 
 def induced(edges: DataFrame, nodes: DataFrame, reverse: bool = False) -> DataFrame:
@@ -160,30 +224,26 @@ def add_weighted(edges: DataFrame, mirror: bool = False) -> DataFrame:
     return both.groupBy("src", "dst").agg(weight_of(F.min(rank_of(F.col("w")))).alias("w"))
 
 
-def bottleneck_links(edges: DataFrame, starts: DataFrame, max_weight: int | None = None, follow_delayed: bool = False, max_rounds: int = 1000) -> DataFrame:
+def bottleneck_links(edges: DataFrame, starts: DataFrame, max_weight: int | None = None, follow_delayed: bool = False) -> DataFrame:
     """(start, node, w): the least, over all walks, of the heaviest edge on the walk; a delayed edge makes the walk delayed.
 
     Edges over ``max_weight`` are not followed, delayed ones only if asked. A start reaches itself at 0. A walk's
     rank is its heaviest edge's, but a delay outweighs every weight, so a walk is in one of two states and both are
-    kept: with delay or without.
+    kept: with delay or without. A round joins what the last one improved and writes what it improves itself.
     """
     fine = F.col("w") >= 0 if max_weight is None else (F.col("w") >= 0) & (F.col("w") <= max_weight)
     usable = written(add_weighted(edges).where(fine | (F.col("w") == -1) if follow_delayed else fine), "edges")
-    known = written(starts.select(F.col(starts.columns[0]).alias("start"), F.col(starts.columns[0]).alias("node"), F.lit(0).alias("w")).distinct(), "links")
-    fresh = known
-    for _ in range(max_rounds):
+    fresh, told = written_with(starts.select(F.col(starts.columns[0]).alias("start"), F.col(starts.columns[0]).alias("node"), F.lit(0).alias("w")).distinct(), "links", _rows())
+    known, key = fresh, ["start", "node", "d"]
+    keyed = lambda rows: rows.groupBy("start", "node", (F.col("w") == -1).alias("d")).agg(F.min("w").alias("w"))
+    while told["n"]:
         step = fresh.select("start", F.col("node").alias("src"), F.col("w").alias("so_far")).join(usable, "src")
         walk = F.when((F.col("so_far") == -1) | (F.col("w") == -1), F.lit(-1)).otherwise(F.greatest("so_far", "w"))
-        found = step.select("start", F.col("dst").alias("node"), walk.alias("w"))
-        old = known.select("start", "node", "w", F.lit(True).alias("old")).union(found.withColumn("old", F.lit(False)))
-        # the least of what was known and found; it is fresh unless it was known
-        best = F.min(F.struct("w", ~F.col("old"))).alias("b")
-        merged = old.groupBy("start", "node", (F.col("w") == -1).alias("d")).agg(best).select("start", "node", F.col("b.w").alias("w"), F.col("b.col2").alias("fresh"))
-        merged, told = written_with(merged, "links", F.count_if("fresh").alias("n"))
-        fresh, known = merged.where("fresh").drop("fresh"), merged.drop("fresh")
-        if not told["n"]:
-            return known.groupBy("start", "node").agg(weight_of(F.min(rank_of(F.col("w")))).alias("w"))
-    raise RuntimeError(f"no end of the links after {max_rounds} rounds")
+        found = keyed(step.select("start", F.col("dst").alias("node"), walk.alias("w")))
+        better = found.join(keyed(known).withColumnRenamed("w", "old"), key, "left").where("old is null or w < old").select("start", "node", "w")
+        fresh, told = written_with(better, "links", _rows())
+        known = known.unionByName(fresh)
+    return known.groupBy("start", "node").agg(weight_of(F.min(rank_of(F.col("w")))).alias("w"))
 
 
 def clusters(edges: DataFrame, lowest: int, highest: int, one_way: str | None = None) -> DataFrame:
@@ -210,14 +270,7 @@ def spread_over_clusters(values: DataFrame, cluster: DataFrame, break_delay: boo
 
 def reaches_flag(edges: DataFrame, flagged: DataFrame) -> DataFrame:
     """G20, RM2: the nodes from which a flagged node is reached, itself included: a flag goes against the edges to a fixpoint."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    known = fresh = written(flagged.select(F.col(flagged.columns[0]).alias("node")).distinct(), "flags")
-    while True:
-        found = fresh.join(back, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        fresh, told = written_with(found.join(known, "node", "left_anti"), "flags", _rows())
-        if not told["n"]:
-            return known
-        known = known.union(fresh)
+    return reaches(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), flagged)
 
 
 def call_facts(calls: DataFrame, methods: DataFrame) -> DataFrame:

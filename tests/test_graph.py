@@ -1,5 +1,7 @@
 """Graph operators on small graphs with known results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,42 @@ def test_cycles_and_sizes(spark):
     assert G.closure(e, spark.createDataFrame([("b",)], "n string"), include_start=False).count() == 2
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_cycles_by_labels_like_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = list({(rng.randint(0, 39), rng.randint(0, 39)) for _ in range((30, 55, 75)[seed - 1])}) + [(50 + k, 50 + (k + 1) % 7) for k in range(7)] + [(58, 50), (56, 59), (60, None), (61, 61)]
+    out = {}
+    for a, b in rows:
+        if b is not None:
+            out.setdefault(a, set()).add(b)
+
+    def reach(a):
+        seen, todo = set(), [a]
+        while todo:
+            for b in out.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    nodes = {x for r in rows for x in r if x is not None}
+    to = {a: reach(a) for a in nodes}
+    want = {a: min([a, *(b for b in to[a] if a in to[b])]) for a in nodes}
+    e = spark.createDataFrame(rows, "src long, dst long").repartition(2)
+    for few in (0, 10_000):
+        assert {r["node"]: r["cycle"] for r in G.cycle_groups(e, few=few).collect()} == want
+
+
+def test_layers_of_random_graphs(spark):
+    rng = random.Random(9)
+    rows = [(a, b) for a in range(30) for b in range(a) if rng.random() < 0.08] + [(40, None)]
+    got = {r["node"]: r["layer"] for r in G.layers(spark.createDataFrame(rows, "src long, dst long")).collect()}
+    want = {}
+    for a in sorted({x for r in rows for x in r if x is not None}):
+        want[a] = max((want[b] + 1 for x, b in rows if x == a and b is not None), default=0)
+    assert got == want
+
+
 def test_nothing(spark):
     none = edges(spark, [])
     assert G.closure(none).count() == 0 == G.layers(none).count() == G.cycle_groups(none).count()
