@@ -92,13 +92,16 @@ def paired(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     all_ = logit((y.sum() + 0.5) / (len(y) + 1))
     odds = logit((one[used] + np.exp(all_) / (1 + np.exp(all_))) / (seen[used] + 1)) - all_
     least = np.log(max(1, len(used) * (len(used) - 1) / 2)) + SURE
-    holders = np.split(np.repeat(np.arange(len(rows)), [len(r) for r in own])[np.argsort(np.concatenate(own), kind="stable")], np.cumsum(seen[used])[:-1]) if len(used) else []
+    ends = np.cumsum([len(r) for r in own])
+    flat, row = np.concatenate(own), np.repeat(np.arange(len(rows)), [len(r) for r in own])
+    order = np.argsort(flat, kind="stable")
+    # a row's buckets ascend, so those after a bucket's place are the ones that a pair hasn't been seen with
+    holders = np.split(order, np.cumsum(seen[used])[:-1]) if len(used) else []
     for a, at in enumerate(holders):
-        met = np.concatenate([own[i] for i in at])
-        toxic = [own[i] for i in at if y[i]]
-        both = np.bincount(met, minlength=len(used))
+        after = [flat[k + 1 : e] for k, e in zip(at.tolist(), ends[row[at]].tolist(), strict=True)]
+        toxic = [x for x, i in zip(after, row[at].tolist(), strict=True) if y[i]]
+        both = np.bincount(np.concatenate(after), minlength=len(used))
         with_one = np.bincount(np.concatenate(toxic), minlength=len(used)) if toxic else np.zeros(len(used), np.int64)
-        both[a] = 0
         b = np.flatnonzero(both >= LEAST)
         p, q = sigmoid(all_ + odds[a] + odds[b]), with_one[b] / both[b]
         with np.errstate(divide="ignore", invalid="ignore"):
