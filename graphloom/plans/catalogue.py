@@ -385,4 +385,4 @@ def q42(spark, d):
 
 FLAGSHIP = q41
 
-from graphloom.plans import diagnostic_queries, entity_queries, expression_queries, property_queries, rule_queries, statement_queries  # noqa: E402, F401  (they add their queries)
+from graphloom.plans import diagnostic_queries, entity_queries, expression_queries, property_queries, rule_queries, source_queries, statement_queries  # noqa: E402, F401  (they add their queries)

@@ -73,6 +73,25 @@ def compose_stubs(members: DataFrame) -> DataFrame:
     return packages.select("package", F.concat(F.lit("package "), F.col("package"), F.lit(";\n\n"), F.array_join(F.col("all.text"), "\n")).alias("stub"))
 
 
+def print_types(types: DataFrame, members: DataFrame, width: int = 80) -> DataFrame:
+    """K6: (type_fqn, source): a type's declaration with annotations, its members sorted; a member's line over ``width`` is split, each parameter on its own.
+
+    ``types``: type_fqn, simple_name, nature, annotations, parent, interfaces; ``members``: type_fqn, annotations, result (null for
+    constructors), name, parameters (array of texts, null for fields). A type's members are bounded by its source.
+    """
+    marks = lambda c: F.array_join(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda a: F.concat(F.lit("@"), a, F.lit(" "))), "")
+    head = F.concat(F.lit("    "), marks(F.col("annotations")), F.coalesce(F.concat("result", F.lit(" ")), F.lit("")), F.col("name"))
+    flat = F.concat(head, F.coalesce(F.concat(F.lit("("), F.array_join("parameters", ", "), F.lit(")")), F.lit("")), F.lit(";"))
+    deep = F.concat(head, F.lit("(\n            "), F.array_join("parameters", ",\n            "), F.lit(");"))
+    line = F.when((F.length(flat) > width) & (F.size("parameters") > 0), deep).otherwise(flat)
+    body = members.groupBy("type_fqn").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("_body"))
+    word = F.create_map(*(F.lit(x) for kv in {"CLASS": "class", "INTERFACE": "interface", "ENUM": "enum", "RECORD": "record", "ANNOTATION": "@interface"}.items() for x in kv))[F.col("nature")]
+    joined = F.array_join("interfaces", ", ")
+    up = F.concat(F.coalesce(F.concat(F.lit(" extends "), "parent"), F.lit("")), F.when(F.size("interfaces") > 0, F.concat(F.when(F.col("nature") == "INTERFACE", F.lit(" extends ")).otherwise(F.lit(" implements ")), joined)).otherwise(F.lit("")))
+    text = F.concat(marks(F.col("annotations")), word, F.lit(" "), F.col("simple_name"), up, F.lit(" {\n"), F.coalesce(F.concat("_body", F.lit("\n")), F.lit("")), F.lit("}\n"))
+    return types.join(body, "type_fqn", "left").select("type_fqn", text.alias("source"))
+
+
 def message_lines(messages: DataFrame) -> DataFrame:
     """K5: messages as sorted lines: (value)."""
     return messages.orderBy("loc_id", "label", "extra").select(F.concat_ws(" ", "severity", F.concat(F.lit("in "), "loc_id", F.lit(":")), "label", "extra").alias("value"))
