@@ -42,11 +42,11 @@ def _xor(first: Column, *more: Column) -> Column:
 
 def _places(rows: DataFrame, *keep: str) -> DataFrame:
     """A row for each mask at each place of ``w``: at, seed. A seed is made of the words' hashes, each turned by its offset."""
-    hashed = rows.where(F.size("w") >= WEIGHT).select(*keep, "w", F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"))
-    at = hashed.select(*keep, "w", "hashes", F.explode(F.sequence(F.lit(0), F.size("w") - WEIGHT)).alias("at"))
-    near = at.select(*keep, "w", "at", *(_turned(F.get("hashes", F.col("at") + o), 9 * o).alias(f"h{o}") for o in range(max(map(max, MASKS)) + 1)))
+    hashed = rows.where(F.size("w") >= WEIGHT).select(*keep, F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"))
+    at = hashed.select(*keep, "hashes", F.explode(F.sequence(F.lit(0), F.size("hashes") - WEIGHT)).alias("at"))
+    near = at.select(*keep, "at", *(_turned(F.get("hashes", F.col("at") + o), 9 * o).alias(f"h{o}") for o in range(max(map(max, MASKS)) + 1)))
     seeds = F.array(*(_xor(F.lit(n), *(F.col(f"h{o}") for o in mask)) for n, mask in enumerate(MASKS)))
-    return near.select(*keep, "w", "at", F.explode(seeds).alias("seed")).where("seed is not null")
+    return near.select(*keep, "at", F.explode(seeds).alias("seed")).where("seed is not null")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, most_sent: int = MOST_SENT) -> DataFrame:
@@ -55,22 +55,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     n_words: of the item; start: place of its first word in the document, negative if that is cut off; of places
     with as many words matched the first. Words are lower-cased runs of letters and digits. Null texts are empty;
     items of fewer than five words can't be told from chance and take no part, nor do rows with a null id. Rows that
-    repeat an id count as one. Empty tables give no rows.
+    repeat an id count as one. Texts of any length are searched whole; other columns don't matter. Empty tables give no rows.
     """
     own = texts(docs).where("doc_id is not null").select("doc_id", words().alias("w"))
     items = benchmark.where("item_id is not null").select("item_id", F.coalesce("text", F.lit("")).alias("text")).select("item_id", words().alias("w")).where(F.size("w") >= WEIGHT).distinct()
     items = written(items, "items")
     seeds = written(_places(items, "item_id").select("seed", "item_id", "at").distinct(), "seeds")
-    few = seeds.count() <= most_sent
+    sent = F.broadcast if seeds.count() <= most_sent else lambda df: df
     whole = items.select("item_id", F.col("w").alias("item"))
     proposed = seeds.select("seed", "item_id", F.col("at").alias("item_at"))
-    diagonal = (F.col("at") - F.col("item_at")).alias("start")
-    if few:
-        hits = _places(own, "doc_id").join(F.broadcast(proposed), "seed").select("doc_id", "w", "item_id", diagonal)
-        hits = hits.join(F.broadcast(whole), "item_id")
-    else:
-        hits = _places(own, "doc_id").select("doc_id", "at", "seed").join(proposed, "seed").select("doc_id", "item_id", diagonal).distinct()
-        hits = hits.join(whole, "item_id").join(own, "doc_id")
+    hits = _places(own, "doc_id").join(sent(proposed), "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("start"))
+    # a diagonal is compared once, however many of its seeds agree, and only texts with one are read again
+    hits = written(hits.distinct(), "hits")
+    some = own.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    hits = hits.join(sent(whole), "item_id").join(some, "doc_id")
     agree = F.size(F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda i: F.get("w", F.col("start") + i) == F.get("item", i)))
     found = hits.select("doc_id", "item_id", F.size("item").cast("long").alias("n_words"), agree.cast("long").alias("n_matched"), F.col("start").cast("long").alias("start"))
     good = found.where((F.col("n_matched") >= F.col("n_words") * similarity) & (F.col("n_matched") >= WEIGHT))
@@ -79,7 +77,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents, with all their columns, that contain no benchmark item. Rows with a null doc_id stay."""
+    """Documents, with all their columns, that contain no benchmark item.
+
+    Rows with a null doc_id stay, as do null and empty texts. Rows that repeat a doc_id go together, if one of them contains
+    an item. An empty benchmark leaves all documents, no documents give no rows.
+    """
     gone = written(contaminated(docs, benchmark).select("doc_id").distinct(), "contaminated")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

@@ -5,12 +5,13 @@
 3. The documents' pre-token frequencies meet these numbers in a join and are summed.
 
 Pre-tokens with at least one in ``HEAD`` of all occurrences, of which there can't be more than ``HEAD``, go to all
-tasks as a table; so a document's frequencies of these are summed where they are counted, and only the rest is
-shuffled for the join.
+tasks as a table, long ones by a digest, so that its bytes are bounded too; a document's frequencies of these are summed
+where they are counted, and only the rest, none of which is frequent, is shuffled for the join.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -20,12 +21,12 @@ from graphloom.llm.pretokens import chunk_of, encoder, slices, vocabulary
 from graphloom.llm.tables import table, texts
 from graphloom.staging import written
 
-#: At most so many pre-tokens, none longer than HEAD_CHARS, are sent to all tasks.
+#: At most so many pre-tokens are sent to all tasks, those longer than HEAD_CHARS as digests.
 HEAD, HEAD_CHARS = 1 << 20, 64
 #: Documents' own sums travel with made-up pre-tokens; so many of them spread the sums evenly.
 SPREAD = 4096
 #: No pre-token's key starts like this, as no chunk has white space after other characters.
-OWN = "\0\0own "
+OWN, DIGEST = "\0\0own ", "\0\0sha "
 
 
 def pretoken_frequencies(docs: DataFrame, path: str) -> DataFrame:
@@ -71,13 +72,14 @@ def pieces_of(frequencies: DataFrame, path: str) -> DataFrame:
 def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every document, over its whole text.
 
-    A null text is empty; an empty one has no tokens. Rows that repeat a doc_id are summed apart, as long as
+    A null text is empty; an empty one has no tokens; a text of any length is counted whole. Rows that repeat a doc_id are summed apart, as long as
     their texts differ; rows that repeat both give one row each. A null doc_id is kept. No rows give no rows.
     """
     spark, rows = docs.sparkSession, texts(docs)
     counted = written(pieces_of(pretoken_frequencies(rows, vocabulary(tokenizer)), vocabulary(tokenizer)), "pretokens")
     total = counted.agg(F.sum("freq").alias("n")).first()["n"] or 0
-    head = {r["key"]: r["n"] for r in counted.where((F.col("freq") * HEAD >= total) & (F.length("key") <= HEAD_CHARS)).select("key", "n").toLocalIterator()}
+    short = F.when(F.length("key") <= HEAD_CHARS, F.col("key")).otherwise(F.concat(F.lit(DIGEST), F.sha2(F.col("key").cast("binary"), 256)))
+    head = {r["key"]: r["n"] for r in counted.where(F.col("freq") * HEAD >= total).select(short.alias("key"), "n").toLocalIterator()}
     sent, name = spark.sparkContext.broadcast(head), tokenizer
 
     def run(batches):
@@ -93,10 +95,11 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
                     n += 1
                     rest, known = [], 0
                     for k in enc.keys(text):
-                        if k in head:
-                            known += head[k]
-                        else:
+                        number = head.get(k if len(k) <= HEAD_CHARS else DIGEST + hashlib.sha256(k.encode()).hexdigest())
+                        if number is None:
                             rest.append(k)
+                        else:
+                            known += number
                     found = Counter(rest)
                     row += [n] * (len(found) + 1)
                     doc += [doc_id] * (len(found) + 1)
@@ -108,7 +111,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
 
     rest = rows.mapInArrow(run, "row long, doc_id long, key string, freq int, own long, n_bytes long")
     made_up = spark.range(SPREAD).select(F.concat(F.lit(OWN), F.col("id").cast("string")).alias("key"), F.lit(0).alias("n"))
-    numbers = counted.where((F.col("freq") * HEAD < total) | (F.length("key") > HEAD_CHARS)).select("key", "n").unionByName(made_up)
+    numbers = counted.where(F.col("freq") * HEAD < total).select("key", "n").unionByName(made_up)
     sums = rest.join(numbers, "key").groupBy("row", "doc_id").agg(F.max("n_bytes").alias("n_bytes"), (F.sum("own") + F.sum(F.col("freq").cast("long") * F.col("n"))).alias("n_tokens"))
     return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
