@@ -25,6 +25,10 @@ from graphloom.staging import written
 SEED = 42
 #: The stage's near copies share 4 of 5 distinct shingles of five words. Such a pair misses all bands once in 13,000.
 WORDS, ALIKE, BANDS, ROWS = 5, (4, 5), 24, 5
+#: Of a pair of that similarity each MinHash value's last four bits agree with this probability; a pair is compared unless its
+#: agreements stay five deviations below what that makes, which happens to one such pair in three million.
+AGREE = 0.8 + 0.2 / 16
+DIFFERENT = BANDS * ROWS - int(BANDS * ROWS * AGREE - 5 * (BANDS * ROWS * AGREE * (1 - AGREE)) ** 0.5)
 #: In bands of more members than this, those are compared that meet in the next band too, in parts of about this size.
 CROWD = 64
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * ROWS, 1), np.uint64)
@@ -109,12 +113,30 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFram
     return out.select("doc_id", hex_.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band of MinHash values; two texts agree on a band with the power ``ROWS`` of their similarity."""
+def bands(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each band of MinHash values, and a sketch: the values' last four bits, sixteen to a number.
+
+    Two texts agree on a band with the power ``ROWS`` of their similarity.
+    """
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(shingles), 1024):
         least = np.minimum(least, ((shingles[None, k : k + 1024] ^ _FLIP) * _TIMES).min(axis=1))
-    return (least.reshape(BANDS, ROWS) * _FOLD).sum(axis=1, dtype=np.uint64)
+    bits = np.zeros(-(-BANDS * ROWS // 16) * 16, np.uint64)
+    bits[: BANDS * ROWS] = least & np.uint64(15)
+    sketch = (bits.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
+    return (least.reshape(BANDS, ROWS) * _FOLD).sum(axis=1, dtype=np.uint64), sketch
+
+
+def could_be_alike(a: str, b: str) -> Column:
+    """Whether the sizes and sketches of two texts leave it open that they are similar enough. Columns: a_size, a_sketch, b_size, b_sketch."""
+    few, many = ALIKE
+    sizes = F.least(f"{a}_size", f"{b}_size") * many >= F.greatest(f"{a}_size", f"{b}_size") * few
+    unlike = F.lit(0)
+    for n in range(-(-BANDS * ROWS // 16)):
+        x = F.get(f"{a}_sketch", n).bitwiseXOR(F.get(f"{b}_sketch", n))
+        any_ = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        unlike = unlike + F.bit_count(any_.bitwiseAND(F.lit(0x1111111111111111)))
+    return sizes & (unlike <= DIFFERENT)
 
 
 def _identity(found: list[bytes]) -> int:
@@ -124,7 +146,7 @@ def _identity(found: list[bytes]) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, size, bands): h tells texts of other words apart, size counts distinct shingles."""
+    """(doc_id, h, size, bands, sketch): h tells texts of other words apart, size counts distinct shingles."""
 
     def run(batches):
         import pyarrow as pa
@@ -134,10 +156,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 part = batch.slice(k, 256)
                 found = [_words(t) for t in part.column("text").to_pylist()]
                 sets = [np.unique(_shingles(f, WORDS)) for f in found]
-                columns = [pa.array([_identity(f) for f in found], pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array([bands(x).view(np.int64) for x in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "h", "size", "bands"])
+                hashed = [[y.view(np.int64) for y in bands(x)] for x in sets]
+                columns = [pa.array([_identity(f) for f in found], pa.int64()), pa.array(map(len, sets), pa.int32()), *(pa.array([x[n] for x in hashed], pa.list_(pa.int64())) for n in (0, 1))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "h", "size", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long, size int, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long, size int, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -155,12 +178,14 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, shingles array<long>")
 
 
+def _side(nodes: DataFrame, name: str) -> DataFrame:
+    return nodes.select(F.col("h").alias(name), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(f"{name}_sketch"))
+
+
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(src, dst): those of ``pairs`` of texts whose shingles are similar enough, which is compared exactly."""
+    """(src, dst): those of ``pairs``, whose sketches leave it open, whose shingles are similar enough, which is compared exactly."""
     few, many = ALIKE
-    size = lambda side: nodes.select(F.col("h").alias(side), F.col("size").alias(f"{side}_size"))
-    could = pairs.distinct().join(size("src"), "src").join(size("dst"), "dst")
-    could = written(could.where(F.least("src_size", "dst_size") * many >= F.greatest("src_size", "dst_size") * few).select("src", "dst"), "candidates")
+    could = written(pairs.distinct(), "candidates")
     asked = could.select(F.col("src").alias("h")).union(could.select(F.col("dst").alias("h"))).distinct()
     rows = docs.join(nodes.join(asked, "h", "left_semi").select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = written(shingle_sets(rows).join(asked, "h", "left_semi").dropDuplicates(["h"]), "shingles")
@@ -178,12 +203,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     docs = texts(docs)
     found = written(signatures(docs), "signatures")
-    nodes = written(found.where("doc_id is not null").groupBy("h").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    nodes = written(found.where("doc_id is not null").groupBy("h").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     following = F.get("bands", (F.col("band") + 1) % BANDS)
     members = nodes.select("h", "bands", F.posexplode("bands").alias("band", "value")).select("h", F.xxhash64("band", "value").alias("key"), following.alias("next"))
     heads = members.groupBy("key").agg(F.min("h").alias("dst"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(members.join(heads, "key"), "members")
-    first = _alike(members.where("h <> dst").select(F.col("h").alias("src"), "dst"), nodes, docs)
+    near = members.where("h <> dst").select(F.col("h").alias("src"), "dst").distinct().join(_side(nodes, "src"), "src").join(_side(nodes, "dst"), "dst")
+    first = _alike(near.where(could_be_alike("src", "dst")).select("src", "dst"), nodes, docs)
     joined = written(connected_components(first), "joined")
     apart = members.where("n > 2").join(joined.withColumnRenamed("node", "h"), "h", "left").select("h", "key", "next", F.coalesce("component", "h").alias("component"))
     for name, part in (("part", F.col("next")), ("place", F.xxhash64("h", "key"))):
@@ -191,8 +217,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
         open_ = apart.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
         split = part if name == "part" else F.pmod(part, F.ceil(F.col("n") / CROWD))
         apart = written(apart.join(open_.drop("low", "high"), by).withColumn(name, F.when(F.col("n") > CROWD, split).otherwise(F.lit(0))).drop("n"), name)
-    other = apart.select("key", "part", "place", F.col("h").alias("dst"), F.col("component").alias("dst_component"))
-    pairs = apart.join(other, ["key", "part", "place"]).where("h < dst and component <> dst_component").select(F.col("h").alias("src"), "dst")
+    sides = apart.select("key", "part", "place", F.col("h").alias("src"), "component").join(_side(nodes, "src"), "src")
+    other = sides.withColumnsRenamed({c: c.replace("src", "dst") for c in ("src", "src_size", "src_sketch")} | {"component": "dst_component"})
+    # what can't be similar enough is left out where members meet, so no rows are made of it
+    pairs = sides.join(other, ["key", "part", "place"]).where((F.col("src") < F.col("dst")) & (F.col("component") != F.col("dst_component")) & could_be_alike("src", "dst")).select("src", "dst")
     linked = connected_components(first.union(_alike(pairs, nodes, docs)))
     grouped = nodes.select("h", "node").join(linked.withColumnRenamed("node", "h"), "h", "left").select("h", "node", F.coalesce("component", "h").alias("component"))
     least = grouped.join(grouped.groupBy("component").agg(F.min("node").alias("component_id")), "component").select("h", "component_id")
