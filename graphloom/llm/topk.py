@@ -23,31 +23,44 @@ def _blocks(vectors: DataFrame, rows: int) -> tuple[DataFrame, int]:
     return dealt.groupBy("block").agg(F.collect_list(F.struct("vec_id", "copy", "v")).alias("rows")), n
 
 
-def _matrix(rows: list[dict], width: int, exact: bool) -> np.ndarray:
-    return np.array([r["v"] for r in rows], np.float64 if exact else object).reshape(len(rows), width)
-
-
-def tile(queries: list[dict], candidates: list[dict], k: int) -> tuple[list, list, list]:
-    """Per query of the tile its k best candidates but itself: parallel lists of query rows, candidate rows, scores."""
-    out: tuple[list, list, list] = ([], [], [])
-    widths = {len(r["v"]) for r in queries} & {len(r["v"]) for r in candidates}
-    for width in widths:
-        q, c = [r for r in queries if len(r["v"]) == width], [r for r in candidates if len(r["v"]) == width]
-        most = lambda rows: max((abs(x) for r in rows for x in r["v"]), default=0)
-        exact = most(q) * most(c) * max(1, width) < 2**53
-        scores = _matrix(q, width, exact) @ _matrix(c, width, exact).T
-        ids, copies = np.array([r["vec_id"] for r in c], np.int64), np.array([r["copy"] for r in c], np.int64)
-        for row, got in zip(q, scores, strict=True):
-            other = np.flatnonzero((ids != row["vec_id"]) | (copies != row["copy"]))
+class Rows:
+    """A block's vectors as flat arrays, straight from Arrow: ids, copies, and all components one after the other."""
+
+    def __init__(self, rows):
+        self.ids, self.copies = rows.field("vec_id").to_numpy(zero_copy_only=False), rows.field("copy").to_numpy(zero_copy_only=False)
+        v = rows.field("v")
+        ends = v.offsets.to_numpy()
+        self.starts, self.widths, self.values = ends[:-1], np.diff(ends), v.values.to_numpy(zero_copy_only=False)
+
+    def of(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the vectors of one width, and these as a matrix."""
+        at = np.flatnonzero(self.widths == width)
+        return at, self.values[self.starts[at, None] + np.arange(width)]
+
+
+def _most(m: np.ndarray) -> int:
+    return max(int(m.max()), -int(m.min())) if m.size else 0
+
+
+def tile(queries: Rows, candidates: Rows, k: int) -> tuple[list, list, list, list]:
+    """Per query of the tile its k best candidates but itself: parallel lists of the query's id and copy, candidates' ids, and scores."""
+    out: tuple[list, list, list, list] = ([], [], [], [])
+    for width in np.intersect1d(queries.widths, candidates.widths).tolist():
+        (at, q), (to, c) = queries.of(width), candidates.of(width)
+        kind = np.float64 if _most(q) * _most(c) * max(1, width) < 2**53 else object
+        scores = q.astype(kind) @ c.astype(kind).T
+        ids, copies = candidates.ids[to], candidates.copies[to]
+        for n, got in zip(at.tolist(), scores, strict=True):
+            own, copy = int(queries.ids[n]), int(queries.copies[n])
+            other = np.flatnonzero((ids != own) | (copies != copy))
             got = got[other]
-            if len(other) > k and exact:
+            if len(other) > k and kind is np.float64:
                 # all that tie with the k-th are kept until ids decide
                 least = np.partition(got, len(got) - k)[len(got) - k]
                 other, got = other[got >= least], got[got >= least]
             best = sorted(zip((-int(x) for x in got), ids[other].tolist(), strict=True))[:k]
-            out[0].extend([row] * len(best))
-            out[1].extend(i for _, i in best)
-            out[2].extend(-s for s, _ in best)
+            for column, values in zip(out, ([own] * len(best), [copy] * len(best), [i for _, i in best], [-s for s, _ in best]), strict=True):
+                column.extend(values)
     return out
 
 
@@ -81,9 +94,11 @@ def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, rows: int = 4096
 
         for batch in batches:
             for n in range(batch.num_rows):
-                (row,) = batch.slice(n, 1).to_pylist()
-                q, ids, scores = tile(row["queries"], row["candidates"], k)
-                yield pa.RecordBatch.from_arrays([pa.array([row["s"]] * len(q), pa.int32()), pa.array([x["vec_id"] for x in q], pa.int64()), pa.array([x["copy"] for x in q], pa.int32()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], names=["s", "query_id", "copy", "vec_id", "score"])
+                part = batch.slice(n, 1)
+                queries, candidates = (Rows(part.column(c).flatten()) for c in ("queries", "candidates"))
+                own, copies, ids, scores = tile(queries, candidates, k)
+                shard = part.column("s")[0].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(own), pa.int32()), pa.array(own, pa.int64()), pa.array(copies, pa.int32()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], names=["s", "query_id", "copy", "vec_id", "score"])
 
     found = tiles.mapInArrow(run, "s int, query_id long, copy int, vec_id long, score long")
     lists = found.select("s", "query_id", "copy", F.array(F.struct((-F.col("score")).alias("less"), "vec_id")).alias("best"))
