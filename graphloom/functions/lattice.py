@@ -175,13 +175,16 @@ def merge_causes(causes: DataFrame, keys: list[str], cap: int | None = None) ->
     ``causes``: keys, cause, place, stmt, high. With ``cap``, as many per key at most, by (stmt, cause, place); that
     an element is delayed never depends on it.
     """
-    top = causes.groupBy(*keys).agg(F.max("high").alias("high"))
-    kept = causes.join(top, [*keys, "high"], "left_semi") if not keys else causes.join(top, [*keys, "high"])
-    once = kept.groupBy(*keys, "cause", "place").agg(F.min("stmt").alias("stmt"))
-    if cap is None:
-        return once
     from pyspark.sql import Window
 
+    # one aggregate of all causes; what is left is bounded by kinds of cause and places
+    once = causes.groupBy(*keys, "cause", "place", "high").agg(F.min("stmt").alias("stmt"))
+    if keys:
+        once = once.withColumn("_top", F.max("high").over(Window.partitionBy(*keys))).where(F.col("high") == F.col("_top")).drop("_top", "high")
+    else:
+        once = once.join(F.broadcast(once.agg(F.max("high").alias("high"))), "high").drop("high")
+    if cap is None:
+        return once
     order = Window.partitionBy(*keys).orderBy("stmt", "cause", "place")
     return once.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
 

@@ -11,12 +11,16 @@ from graphloom.operators.graph import closure, supertypes
 def contained_sets(members: DataFrame, key: str, member: str) -> DataFrame:
     """RT6, relational division: (key, g): pairs of keys, the members of the first being members of the second.
 
-    Members in common are counted; the first is contained if it has no more than these.
+    Whoever holds all members of a key holds its rarest one, so that one's holders are compared alone; members in common are
+    counted, and the first is contained if it has no more than these.
     """
     m = members.select(F.col(key).alias("f"), F.col(member).alias("m")).where("f is not null and m is not null").distinct()
-    size = m.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    common = m.join(m.select(F.col("f").alias("g"), "m"), "m").where("f <> g").groupBy("f", "g").agg(F.count(F.lit(1)).alias("c"))
-    return common.join(size, "f").where("c = n").select(F.col("f").alias(key), "g")
+    held = m.groupBy("m").agg(F.count(F.lit(1)).alias("held"))
+    rarest = m.join(held, "m").groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("held", "m")).alias("rarest")).select("f", "n", F.col("rarest.m").alias("m"))
+    other = m.select(F.col("f").alias("g"), "m")
+    could = rarest.join(other, "m").where("f <> g").select("f", "n", "g")
+    common = could.join(m, "f").join(other, ["g", "m"]).groupBy("f", "g", "n").agg(F.count(F.lit(1)).alias("c"))
+    return common.where("c = n").select(F.col("f").alias(key), "g")
 
 
 def direct_supers(types: DataFrame) -> DataFrame:

@@ -15,6 +15,15 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own: dict[str, str] = {}
 _written: list[str] = []
+_leaving: list[SparkSession] = []
+
+
+def _clean() -> None:
+    """What is left of written tables goes when the driver ends, if its session still lives."""
+    try:
+        drop_written(_leaving[0])
+    except Exception:  # noqa: BLE001  (the process is ending, and the gateway may have gone first)
+        _written.clear()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
+    if not _written and not _leaving:
+        _leaving.append(spark)
+        atexit.register(_clean)
     path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     _written.append(path)
     return path
