@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.lattice import DELAY
@@ -57,6 +57,27 @@ def run_rules(facts: dict[str, DataFrame], rules: list[Rule], spark, max_rounds:
     raise NoProgress(f"{told['delayed']} values are delayed after {max_rounds} rounds")
 
 
+class Visitors:
+    """K7: what each round left, by kind of element, as a table; pass it as ``on_round``.
+
+    ``kind``: a Column over elem and property that names the kind (type map, type, field, method, statement, variable,
+    evaluation); null kinds aren't looked at. A round's counts are one small aggregate of the state that it wrote.
+    """
+
+    def __init__(self, kind: Column):
+        self.kind, self.seen = kind, []
+
+    def __call__(self, n: int, state: DataFrame) -> None:
+        each = state.withColumn("kind", self.kind).where("kind is not null").groupBy("kind", "property")
+        self.seen.append(each.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") == DELAY).alias("delayed"), F.count_if("inconclusive").alias("inconclusive")).withColumn("round", F.lit(n)))
+
+    def table(self) -> DataFrame:
+        """(kind, property, n, delayed, inconclusive, round); refused before the first round."""
+        if not self.seen:
+            raise ValueError("no round has been seen")
+        return reduce(DataFrame.unionByName, self.seen)
+
+
 def open_elements(elements: DataFrame, state: DataFrame, name: str) -> DataFrame:
     """The elements (elem, ...) whose value of a property isn't known yet: what a rule still has to answer for."""
     known = state.where((F.col("property") == name) & (F.col("v") != DELAY)).select("elem")

@@ -281,3 +281,23 @@ def r46_rules(spark, d):
         return named(R.type_immutable(ty, e1, f, none, none, none.select("type")), "type", "IMMUTABLE")
 
     return run_rules({"calls": calls, "fields": fields}, [final, modified, outside, all_final, immutable], spark).select("elem", "property", "v")
+
+
+@query("k07_visitors", """WITH RECURSIVE up(k, a, n) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION SELECT k, a // 2, n + 1 FROM up WHERE a > 0 AND a % 97 <> 3), r AS (SELECT k, max(n) AS r FROM up GROUP BY 1), rounds AS (SELECT unnest(range(0, (SELECT max(r) + 1 FROM r)))::INTEGER AS round)
+SELECT 'method' AS kind, 'MODIFIED' AS property, count(*) AS n, count(*) FILTER (r > round) AS delayed, 0::BIGINT AS inconclusive, round FROM rounds, r GROUP BY round""")
+def k07(spark, d):
+    """A flag that goes down a tree, a step a round, looked at after each round."""
+    from graphloom.plans.fixpoint import Visitors, run_rules, value_of
+    from graphloom.staging import written
+
+    text = lambda e: F.concat(F.lit("m"), F.expr(e))
+    calls = written(t(spark, d, "customer").select(text("c_custkey").alias("elem"), F.expr("CASE WHEN c_custkey > 0 THEN concat('m', c_custkey div 2) END").alias("dst"), (F.col("c_custkey") % 97 == 3).alias("own")), "calls")
+
+    def modified(facts, state, breaking):
+        seen = facts["calls"].join(value_of(state, "MODIFIED", "dst"), "dst", "left")
+        v = F.when(F.col("own"), F.lit(1)).when(F.col("dst").isNull(), F.lit(0)).otherwise(F.coalesce("MODIFIED", F.lit(-1)))
+        return seen.select("elem", F.lit("MODIFIED").alias("property"), v.alias("v"))
+
+    visitors = Visitors(F.when(F.col("elem").startswith("m"), F.lit("method")))
+    run_rules({"calls": calls}, [modified], spark, on_round=visitors)
+    return visitors.table()
