@@ -99,8 +99,8 @@ def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
 def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document.
 
-    Shingles are of lower-cased words between ASCII white space. Null and empty texts have fingerprint zero and are
-    linked like others. component_id is the smallest doc_id reachable over links of ``radius`` bits or fewer. Rows
+    Shingles are of lower-cased words between ASCII white space, over texts of any length; a bit that half the shingles
+    have is zero. Null and empty texts have fingerprint zero and are linked like others; other columns don't matter. component_id is the smallest doc_id reachable over links of ``radius`` bits or fewer. Rows
     that repeat a doc_id keep one row each. A null doc_id has its fingerprint and takes part in no component but its
     own, null. No documents give no rows.
     """
@@ -233,6 +233,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     with all its columns.
 
     Rows with a null doc_id stay as well. Of rows that repeat the smallest doc_id all stay, as they are one document.
+    Null and empty texts are copies of one another; texts of any length are compared whole. No documents give no rows.
     """
     groups = written(near_groups(docs), "groups")
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()

@@ -76,7 +76,8 @@ def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, rows: int = 4096
     ``vectors`` has vec_id and embedding. Components become floor(256 x). Queries are the rows whose vec_id is
     divisible by ``every``; candidates are all other rows than the query's own, also rows that repeat its vec_id.
     Rows with a null vec_id, a null embedding, or null, infinite or NaN components take no part. Vectors of
-    different widths are no candidates of one another. No rows give no rows.
+    different widths are no candidates of one another; a vector of any width is taken whole, and sums beyond 2^53 are
+    worked out in integers. Other columns don't matter. No rows give no rows.
     """
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long"))

@@ -24,5 +24,27 @@ def test_stages_take_effect(spark):
     assert max(fill.values()) <= 2048
 
 
+def test_stages_on_odd_documents(spark, docs, no_docs, odd_docs):
+    sf = "/root/testdata/sf0.001"
+    every = sorted(str(i) for i, _ in odd_docs)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, sf).collect() == [], name
+        rows = stage(spark, docs, sf).collect()
+        ids = sorted(str(r["doc_id"]) for r in rows)
+        assert set(ids) <= set(every), name
+        if name == "packing":
+            assert set(ids) == set(every)
+            continue
+        assert rows[0].__fields__ == docs.columns, name
+        if name == "simhash":  # copies of text 5 go, as does one of the empty ones; rows without id stay
+            assert ids.count("None") == 2 and not {"200", "201", "202", "203"} & set(ids) and ids.count("3") == 3 and len({"100", "101", "102"} & set(ids)) == 1
+        if name in ("decontamination", "pii"):
+            assert ids == every
+        if name == "pii":
+            assert sorted(str(r["text"]) for r in rows) == sorted(str(t) for _, t in odd_docs)
+        if name == "toxicity":
+            assert {"100", "101"} <= set(ids)
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
