@@ -10,12 +10,13 @@ from graphloom.plans import rules as R
 from graphloom.plans.catalogue import query, t
 from graphloom.plans.rule_queries import ACC, acc
 
-_K = F.col("k")
+def _k():
+    return F.col("k")
 
 
 def _pick(n: int, *values: int):
     """One of the values by k modulo ``n``."""
-    return F.get(F.array(*map(F.lit, values)), (_K % n).cast("int"))
+    return F.get(F.array(*map(F.lit, values)), (_k() % n).cast("int"))
 
 
 def _sql(n: int, *values: int) -> str:
@@ -40,7 +41,7 @@ def rt01(spark, d):
 
 @query("rt03_immutable_can_be_increased", f"WITH {ORD} SELECT c AS type, bool_or(k % 7 = 0) AS v FROM o GROUP BY 1")
 def rt03(spark, d):
-    return R.immutable_can_be_increased(orders(spark, d).select(F.col("c").alias("type"), (_K % 7 == 0).alias("hidden")))
+    return R.immutable_can_be_increased(orders(spark, d).select(F.col("c").alias("type"), (_k() % 7 == 0).alias("hidden")))
 
 
 @query("rt05_duplicate_conditions", f"WITH {ACC} SELECT field % 10 AS type, field FROM (SELECT DISTINCT field, method, 'c' || (method % 2) AS cond FROM acc WHERE method % 9 <> 0) x GROUP BY ALL HAVING count(DISTINCT cond) > 1")
@@ -54,7 +55,7 @@ def rt05(spark, d):
 def rt06(spark, d):
     o = orders(spark, d)
     fields = o.select((F.col("c") % 200).alias("field")).distinct()
-    return R.guarded_fields(o.select((F.col("c") % 200).alias("field"), (_K % 8).alias("method")), fields.where("field % 3 = 0"), fields.where("field % 2 = 0"))
+    return R.guarded_fields(o.select((F.col("c") % 200).alias("field"), (_k() % 8).alias("method")), fields.where("field % 3 = 0"), fields.where("field % 2 = 0"))
 
 
 @query("rt08_eventual", f"""WITH {ORD}, ty AS (SELECT DISTINCT c AS type FROM o), f AS (SELECT c AS type, bool_or(k % 31 = 0) AS bad, bool_or(k % 37 = 0) AS late FROM o GROUP BY 1), e AS (SELECT type, type % 4 = 0 AS ev, CASE WHEN type % 3 = 0 THEN 0 ELSE 1 END AS e1 FROM ty)
@@ -62,7 +63,7 @@ SELECT type, CASE WHEN e1 = 0 AND NOT ev THEN 1 WHEN bad THEN CASE WHEN ev THEN
 def rt08(spark, d):
     o = orders(spark, d).withColumnRenamed("c", "type")
     ty = o.select("type").distinct()
-    f = o.select("type", F.when(_K % 31 == 0, F.lit(1)).when(_K % 37 == 0, F.lit(-1)).otherwise(F.lit(0)).alias("modified"), F.lit(True).alias("is_private"), F.lit(13).alias("immutable"), F.lit(False).alias("transparent"))
+    f = o.select("type", F.when(_k() % 31 == 0, F.lit(1)).when(_k() % 37 == 0, F.lit(-1)).otherwise(F.lit(0)).alias("modified"), F.lit(True).alias("is_private"), F.lit(13).alias("immutable"), F.lit(False).alias("transparent"))
     none = ty.where("false").select("type", F.lit(805).alias("v"))
     return R.type_immutable(ty, ty.select("type", F.when(F.col("type") % 3 == 0, F.lit(0)).otherwise(F.lit(1)).alias("v")), f, none, none, ty.where("type % 4 = 0"))
 
@@ -70,14 +71,14 @@ def rt08(spark, d):
 @query("rt17_ignore_private_constructors", f"WITH {ORD} SELECT c AS type FROM o GROUP BY 1 HAVING bool_or(k % 4 = 0) AND bool_or(k % 4 <> 0) AND NOT bool_or(k % 13 = 0)")
 def rt17(spark, d):
     o = orders(spark, d).withColumnRenamed("c", "type")
-    return R.ignore_private_constructors(o.select("type", (_K % 4 == 0).alias("is_private")), o.where("k % 13 = 0").select("type"))
+    return R.ignore_private_constructors(o.select("type", (_k() % 4 == 0).alias("is_private")), o.where("k % 13 = 0").select("type"))
 
 
 @query("l18_rt18_aggregated_types", f"""WITH {ORD}, r AS (SELECT c % 100 AS type, {_sql(5, -1, 5, 13, 21, 805)} AS v, 't' || (k % 3) AS e, k % 2 = 0 AS tr FROM o) SELECT type, 'IMMUTABLE' AS property, min(v) AS v, string_agg(DISTINCT e, ',' ORDER BY e) AS explicit_types, CASE WHEN bool_and(tr) THEN 'x,y' WHEN bool_or(tr) THEN 'x' ELSE 'x' END AS transparent_types FROM r GROUP BY 1""")
 def rt18(spark, d):
     o = orders(spark, d)
-    values = o.select(_K.alias("impl"), F.lit("IMMUTABLE").alias("property"), _pick(5, -1, 5, 13, 21, 805).alias("v"), F.array(F.concat(F.lit("t"), _K % 3)).alias("explicit_types"), F.when(_K % 2 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("x"))).alias("transparent_types"))
-    out = R.aggregated_types(values, o.select((F.col("c") % 100).alias("type"), _K.alias("impl")))
+    values = o.select(_k().alias("impl"), F.lit("IMMUTABLE").alias("property"), _pick(5, -1, 5, 13, 21, 805).alias("v"), F.array(F.concat(F.lit("t"), _k() % 3)).alias("explicit_types"), F.when(_k() % 2 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("x"))).alias("transparent_types"))
+    out = R.aggregated_types(values, o.select((F.col("c") % 100).alias("type"), _k().alias("impl")))
     return out.select("type", "property", "v", F.array_join("explicit_types", ",").alias("explicit_types"), F.array_join("transparent_types", ",").alias("transparent_types"))
 
 
@@ -86,7 +87,7 @@ def rt18(spark, d):
 @query("rf02_initialisers", f"WITH {ORD} SELECT k AS field, CASE WHEN k % 3 = 0 THEN '<none>' WHEN k % 3 = 1 THEN CAST(c % 5 + k % 10 + 1 AS VARCHAR) ELSE '1+x' END AS value FROM o")
 def rf02(spark, d):
     o = orders(spark, d)
-    f = o.select(_K.alias("field"), F.col("c").alias("type"), F.when(_K % 3 == 1, F.concat(F.lit("N+"), _K % 10 + 1)).when(_K % 3 == 2, F.lit("x+1")).alias("initialiser"))
+    f = o.select(_k().alias("field"), F.col("c").alias("type"), F.when(_k() % 3 == 1, F.concat(F.lit("N+"), _k() % 10 + 1)).when(_k() % 3 == 2, F.lit("x+1")).alias("initialiser"))
     constants = o.select(F.col("c").alias("type"), F.lit("N").alias("name"), (F.col("c") % 5).cast("string").alias("value")).distinct()
     return R.initialiser_values(f, constants)
 
@@ -94,7 +95,7 @@ def rf02(spark, d):
 @query("rf10_final_value", f"WITH {ORD}, v AS (SELECT c AS field, CASE WHEN c % 5 = 0 THEN 'same' ELSE 'v' || (k % 3) END AS value FROM o), g AS (SELECT field, min(value) AS lo, max(value) AS hi FROM v GROUP BY 1) SELECT field, CASE WHEN field % 7 = 0 THEN '<delayed>' WHEN field % 7 = 1 THEN '<variable>' WHEN lo = hi THEN lo ELSE '<multiple>' END AS value FROM g")
 def rf10(spark, d):
     o = orders(spark, d).withColumnRenamed("c", "field")
-    values = o.select("field", F.when(F.col("field") % 5 == 0, F.lit("same")).otherwise(F.concat(F.lit("v"), _K % 3)).alias("value"))
+    values = o.select("field", F.when(F.col("field") % 5 == 0, F.lit("same")).otherwise(F.concat(F.lit("v"), _k() % 3)).alias("value"))
     final = o.select("field").distinct().select("field", F.when(F.col("field") % 7 == 0, F.lit(-1)).when(F.col("field") % 7 == 1, F.lit(0)).otherwise(F.lit(1)).alias("v"))
     return R.final_value(values, final)
 
@@ -103,7 +104,7 @@ def rf10(spark, d):
 def rf11(spark, d):
     o = orders(spark, d).withColumnRenamed("c", "field")
     k = F.col("field")
-    values = o.select("field", F.when(k % 5 < 3, F.lit(0)).otherwise(_K % 3).alias("value"), (_K % 11 != 0).alias("is_constant"))
+    values = o.select("field", F.when(k % 5 < 3, F.lit(0)).otherwise(_k() % 3).alias("value"), (_k() % 11 != 0).alias("is_constant"))
     ids = o.select("field").distinct()
     final = ids.select("field", F.when(k % 7 == 0, F.lit(-1)).when(k % 7 == 1, F.lit(0)).otherwise(F.lit(1)).alias("v"))
     return R.field_constant(values, final, ids.select("field", F.get(F.array(*map(F.lit, (-1, 5, 13, 805))), (k % 4).cast("int")).alias("v")))
@@ -112,14 +113,14 @@ def rf11(spark, d):
 @query("rf16_anonymous_types", f"WITH {ORD}, m AS (SELECT c, {_sql(5, -1, 0, 0, 0, 0)} AS v, k % 47 = 0 AS one FROM o), g AS (SELECT c, CASE WHEN bool_or(one) THEN 1 WHEN min(v) = -1 THEN -1 ELSE 0 END AS v FROM m GROUP BY 1) SELECT s_suppkey AS field, coalesce(v, 0) AS modified FROM supplier LEFT JOIN g ON c = s_suppkey * 20 WHERE s_suppkey % 3 <> 0")
 def rf16(spark, d):
     f = t(spark, d, "supplier").select(F.col("s_suppkey").alias("field"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_suppkey") * 20).alias("initialiser_type"))
-    return R.anonymous_initialisers(f, orders(spark, d).select(F.col("c").alias("type"), F.when(_K % 47 == 0, F.lit(1)).when(_K % 5 == 0, F.lit(-1)).otherwise(F.lit(0)).alias("modified")))
+    return R.anonymous_initialisers(f, orders(spark, d).select(F.col("c").alias("type"), F.when(_k() % 47 == 0, F.lit(1)).when(_k() % 5 == 0, F.lit(-1)).otherwise(F.lit(0)).alias("modified")))
 
 
 # methods ------------------------------------------------------------------------------------------------------
 
 @query("rm06_return_immutable", f"WITH {ORD}, v AS (SELECT k, {_sql(4, -1, 5, 13, 1)} AS a, {_sql(3, 5, 13, 21)} AS b FROM o) SELECT k AS method, CASE WHEN k % 9 = 0 THEN 805 WHEN a = -1 THEN -1 ELSE greatest(a, b) END AS v FROM v")
 def rm06(spark, d):
-    return orders(spark, d).select(_K.alias("method"), R.return_immutable(_pick(4, -1, 5, 13, 1), _pick(3, 5, 13, 21), F.lit(1), F.lit(1), _K % 9 == 0).alias("v"))
+    return orders(spark, d).select(_k().alias("method"), R.return_immutable(_pick(4, -1, 5, 13, 1), _pick(3, 5, 13, 21), F.lit(1), F.lit(1), _k() % 9 == 0).alias("v"))
 
 
 @query("rm07_return_container", f"WITH {ORD}, r AS (SELECT c, min({_sql(6, 1, 5, 5, 5, 5, 5)}) AS least, min(k) AS k FROM o WHERE k % 3 <> 0 GROUP BY 1), m AS (SELECT DISTINCT c FROM o) SELECT m.c AS method, CASE WHEN m.c % 8 = 0 THEN 1 WHEN m.c % 5 = 0 THEN 5 WHEN m.c % 5 = 1 THEN -1 ELSE coalesce(least, 1) END AS v FROM m LEFT JOIN r ON r.c = m.c")
@@ -134,15 +135,15 @@ mk AS (SELECT DISTINCT c AS method FROM o WHERE k % 19 = 0) SELECT method, CASE
 def rm09(spark, d):
     o, c = orders(spark, d), F.col("c")
     m = o.select("c").distinct().select(c.alias("method"), (c % 5 == 0).alias("is_boolean"), (c % 2 == 0).alias("modifies"))
-    clauses = o.select(c.alias("method"), F.concat(F.lit("f"), _K % 3).alias("field"), F.when(_K % 4 == 0, F.lit("after")).otherwise(F.lit("before")).alias("state"))
-    return R.eventual(m, clauses, clauses.select("method", "field").join(o.select(c.alias("method"), F.concat(F.lit("f"), _K % 3).alias("field"), (_K % 19 == 0).alias("contradicts")), ["method", "field"])).select("method", "role", F.array_join("fields", ",").alias("fields"))
+    clauses = o.select(c.alias("method"), F.concat(F.lit("f"), _k() % 3).alias("field"), F.when(_k() % 4 == 0, F.lit("after")).otherwise(F.lit("before")).alias("state"))
+    return R.eventual(m, clauses, clauses.select("method", "field").join(o.select(c.alias("method"), F.concat(F.lit("f"), _k() % 3).alias("field"), (_k() % 19 == 0).alias("contradicts")), ["method", "field"])).select("method", "role", F.array_join("fields", ",").alias("fields"))
 
 
 @query("rm11_shallow_modified", f"WITH {ORD}, b AS (SELECT c, max({_sql(7, 1, -1, 0, 0, 0, 0, 0)}) AS best FROM o WHERE k % 2 = 0 GROUP BY 1), m AS (SELECT DISTINCT c FROM o) SELECT m.c AS method, CASE WHEN m.c % 9 < 2 THEN CAST(m.c % 9 AS INTEGER) WHEN m.c % 7 = 0 THEN 1 WHEN best IS NOT NULL THEN best WHEN m.c % 2 = 0 AND (m.c % 3 = 0 OR m.c % 5 = 0) THEN 1 ELSE 0 END AS v FROM m LEFT JOIN b ON b.c = m.c")
 def rm11(spark, d):
     o, c = orders(spark, d), F.col("c")
     m = o.select("c").distinct().select(c.alias("method"), F.when(c % 9 < 2, (c % 9).cast("int")).alias("contract"), (c % 7 == 0).alias("is_ctor"), (c % 3 == 0).alias("is_void"), (c % 5 == 0).alias("is_fluent"), (c % 2 == 0).alias("in_container"))
-    return R.shallow_modified(m, o.where("k % 2 = 0").select(c.alias("method"), _K.alias("other")), o.select(_K.alias("other"), _pick(7, 1, -1, 0, 0, 0, 0, 0).alias("v")))
+    return R.shallow_modified(m, o.where("k % 2 = 0").select(c.alias("method"), _k().alias("other")), o.select(_k().alias("other"), _pick(7, 1, -1, 0, 0, 0, 0, 0).alias("v")))
 
 
 # parameters ---------------------------------------------------------------------------------------------------
@@ -165,7 +166,7 @@ def rp06(spark, d):
 def rp07(spark, d):
     o, c = orders(spark, d), F.col("c")
     p = o.select("c").distinct().select(c.alias("parameter"), (c % 2 * 12 + 1).alias("type_v"))
-    return R.parameter_external_immutable(p, o.where("k % 10 <> 0").select(_K.alias("field"), (_K % 3 * 8 + 5).alias("v")), o.where("k % 4 = 0").select(c.alias("parameter"), _K.alias("field")))
+    return R.parameter_external_immutable(p, o.where("k % 10 <> 0").select(_k().alias("field"), (_k() % 3 * 8 + 5).alias("v")), o.where("k % 4 = 0").select(c.alias("parameter"), _k().alias("field")))
 
 
 # values -------------------------------------------------------------------------------------------------------
@@ -173,19 +174,19 @@ def rp07(spark, d):
 @query("l21_first_any_all", f"WITH {ORD} SELECT c AS g, bool_or(k % 7 = 0) AS any_, bool_and(k % 7 <> 1) AS all_, NOT bool_or(k % 11 = 0) AS none_, min(k) AS first_ FROM o GROUP BY 1")
 def l21(spark, d):
     g = orders(spark, d).groupBy(F.col("c").alias("g"))
-    return g.agg(L.any_of(_K % 7 == 0).alias("any_"), L.all_of(_K % 7 != 1).alias("all_"), L.none_of(_K % 11 == 0).alias("none_"), L.first_of(_K, _K).alias("first_"))
+    return g.agg(L.any_of(_k() % 7 == 0).alias("any_"), L.all_of(_k() % 7 != 1).alias("all_"), L.none_of(_k() % 11 == 0).alias("none_"), L.first_of(_k(), _k()).alias("first_"))
 
 
 @query("c09_instances", f"WITH {ORD} SELECT k, '<instance T' || (k % 5) || '>' AS value, CASE WHEN k % 2 = 0 THEN 5 ELSE 1 END AS not_null FROM o")
 def c09(spark, d):
-    v = V.instance(F.concat(F.lit("T"), _K % 5), F.when(_K % 2 == 0, F.lit(5)).otherwise(F.lit(1)))
+    v = V.instance(F.concat(F.lit("T"), _k() % 5), F.when(_k() % 2 == 0, F.lit(5)).otherwise(F.lit(1)))
     return orders(spark, d).select("k", v.alias("v")).select("k", "v.value", F.col("v.props")["NOT_NULL"].alias("not_null"))
 
 
 @query("c10_wrappers", f"WITH {ORD} SELECT k, 'x' AS value, CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 'true' WHEN k % 2 = 0 THEN 'b' WHEN k % 3 = 0 THEN 'a' ELSE 'a&&b' END AS state, CASE WHEN k % 5 = 0 THEN 13 ELSE 5 END AS not_null, 1 AS modified FROM o")
 def c10(spark, d):
-    inner = V.wrapped(F.lit("x"), F.when(_K % 2 != 0, F.lit("a")), F.create_map(F.lit("NOT_NULL"), F.lit(5), F.lit("MODIFIED"), F.lit(1)))
-    outer = V.wrapped(F.lit("inner"), F.when(_K % 3 != 0, F.lit("b")), F.when(_K % 5 == 0, F.create_map(F.lit("NOT_NULL"), F.lit(13))).otherwise(F.create_map().cast("map<string,int>")))
+    inner = V.wrapped(F.lit("x"), F.when(_k() % 2 != 0, F.lit("a")), F.create_map(F.lit("NOT_NULL"), F.lit(5), F.lit("MODIFIED"), F.lit(1)))
+    outer = V.wrapped(F.lit("inner"), F.when(_k() % 3 != 0, F.lit("b")), F.when(_k() % 5 == 0, F.create_map(F.lit("NOT_NULL"), F.lit(13))).otherwise(F.create_map().cast("map<string,int>")))
     rows = orders(spark, d).select("k", inner.alias("i"), outer.alias("o"))
     v = rows.select("k", V.rewrapped(F.col("o"), F.col("i")).alias("v"))
     return v.select("k", "v.value", "v.state", F.col("v.props")["NOT_NULL"].alias("not_null"), F.col("v.props")["MODIFIED"].alias("modified"))
@@ -193,42 +194,42 @@ def c10(spark, d):
 
 @query("c11_delayed", f"WITH {ORD} SELECT k, CASE WHEN k % 3 = 0 THEN 'x' WHEN k % 2 = 0 THEN '<delayed:a,c' || (k % 4) || '>' ELSE '<delayed:c' || (k % 4) || '>' END AS value, k % 3 <> 0 AS waits FROM o")
 def c11(spark, d):
-    c = F.concat(F.lit("c"), _K % 4)
+    c = F.concat(F.lit("c"), _k() % 4)
     none = F.array().cast("array<string>")
-    v = V.delayed(F.lit("x"), F.when(_K % 3 == 0, none).when(_K % 2 == 0, F.array(c, F.lit("a"), c)).otherwise(F.array(c)))
+    v = V.delayed(F.lit("x"), F.when(_k() % 3 == 0, none).when(_k() % 2 == 0, F.array(c, F.lit("a"), c)).otherwise(F.array(c)))
     return orders(spark, d).select("k", v.alias("value")).select("k", "value", V.is_delayed(F.col("value")).alias("waits"))
 
 
 @query("c12_lists", f"WITH {ORD} SELECT k, 'e' || (k % 6) AS last, '{{a,e' || (k % 6) || '}}' AS both_, CASE WHEN k % 4 = 0 THEN -1 ELSE least(k % 4, 2) END::INTEGER AS not_null, CASE k % 3 WHEN 0 THEN 'a+b' WHEN 1 THEN '(a)+(b)' ELSE '(a+(b))*c' END AS bare FROM o")
 def c12(spark, d):
-    e = F.array(F.lit("a"), F.concat(F.lit("e"), _K % 6))
-    both = V.several(e, F.array(F.lit(2), F.when(_K % 4 == 0, F.lit(-1)).otherwise((_K % 4).cast("int"))))
-    text = F.when(_K % 3 == 0, F.lit("(a+b)")).when(_K % 3 == 1, F.lit("(a)+(b)")).otherwise(F.lit("((a+(b))*c)"))
+    e = F.array(F.lit("a"), F.concat(F.lit("e"), _k() % 6))
+    both = V.several(e, F.array(F.lit(2), F.when(_k() % 4 == 0, F.lit(-1)).otherwise((_k() % 4).cast("int"))))
+    text = F.when(_k() % 3 == 0, F.lit("(a+b)")).when(_k() % 3 == 1, F.lit("(a)+(b)")).otherwise(F.lit("((a+(b))*c)"))
     return orders(spark, d).select("k", V.comma(e).alias("last"), both.alias("b"), V.enclosed(text).alias("bare")).select("k", "last", F.col("b.value").alias("both_"), "b.not_null", "bare")
 
 
 @query("c13_special", f"WITH {ORD} SELECT k, CASE k % 5 WHEN 0 THEN '<unknown:n' || k || '>' WHEN 1 THEN '<empty>' WHEN 2 THEN '<expanded:n' || k || '>' WHEN 3 THEN '@Mark(n' || k || ')' ELSE 'n' || k END AS v FROM o")
 def c13(spark, d):
-    kind = F.get(F.array(*map(F.lit, ("unknown", "empty", "expanded", "contract", "plain"))), (_K % 5).cast("int"))
-    return orders(spark, d).select("k", V.special(kind, F.concat(F.lit("n"), _K)).alias("v"))
+    kind = F.get(F.array(*map(F.lit, ("unknown", "empty", "expanded", "contract", "plain"))), (_k() % 5).cast("int"))
+    return orders(spark, d).select("k", V.special(kind, F.concat(F.lit("n"), _k())).alias("v"))
 
 
 @query("c14_member_values", f"WITH {ORD} SELECT k, CASE WHEN k % 2 = 0 THEN 'a.T' || k ELSE NULL END AS type, CASE WHEN k % 2 = 0 THEN CAST(k % 7 AS VARCHAR) END AS absent, CASE WHEN k % 2 = 1 THEN CAST(k % 7 AS VARCHAR) END AS value FROM o")
 def c14(spark, d):
-    text = F.when(_K % 2 == 0, F.concat(F.lit("type = a.T"), _K, F.lit(".class, absent="), _K % 7)).otherwise((_K % 7).cast("string"))
+    text = F.when(_k() % 2 == 0, F.concat(F.lit("type = a.T"), _k(), F.lit(".class, absent="), _k() % 7)).otherwise((_k() % 7).cast("string"))
     m = V.member_values(text)
     return orders(spark, d).select("k", m.alias("m")).select("k", *(F.try_element_at("m", F.lit(c)).alias(c) for c in ("type", "absent", "value")))
 
 
 @query("c15_erasure", f"WITH {ORD} SELECT k, CASE k % 3 WHEN 0 THEN 'Map' WHEN 1 THEN 'List[]' ELSE 'int' END AS v FROM o")
 def c15(spark, d):
-    kind = F.when(_K % 3 == 0, F.concat(F.lit("Map<String,List<T"), _K, F.lit(">>"))).when(_K % 3 == 1, F.lit("List<? extends A<B<C>>>[]")).otherwise(F.lit("int"))
+    kind = F.when(_k() % 3 == 0, F.concat(F.lit("Map<String,List<T"), _k(), F.lit(">>"))).when(_k() % 3 == 1, F.lit("List<? extends A<B<C>>>[]")).otherwise(F.lit("int"))
     return orders(spark, d).select("k", V.erased(kind).alias("v"))
 
 
 @query("v13_annotations", f"WITH {ORD}, v AS (SELECT k, CASE k % 6 WHEN 0 THEN 'IMMUTABLE' WHEN 1 THEN 'CONTAINER' WHEN 2 THEN 'NOT_NULL' WHEN 3 THEN 'INDEPENDENT' WHEN 4 THEN 'MODIFIED' ELSE 'FINAL' END AS p, CASE k % 7 WHEN 0 THEN -1 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 5 WHEN 4 THEN 13 WHEN 5 THEN 21 ELSE 805 END AS v FROM o) SELECT k, CASE p WHEN 'IMMUTABLE' THEN CASE v WHEN 5 THEN 'E1Immutable' WHEN 13 THEN 'E2Immutable' WHEN 21 THEN 'E3Immutable' WHEN 805 THEN 'ERContainer' END WHEN 'CONTAINER' THEN CASE v WHEN 5 THEN 'Container' END WHEN 'NOT_NULL' THEN CASE WHEN v >= 5 THEN 'NotNull' WHEN v = 1 THEN 'Nullable' END WHEN 'INDEPENDENT' THEN CASE v WHEN 805 THEN 'Independent' WHEN 1 THEN 'Dependent' WHEN 5 THEN 'Independent1' WHEN 13 THEN 'Independent2' WHEN 21 THEN 'Independent3' END WHEN 'MODIFIED' THEN CASE v WHEN 1 THEN 'Modified' WHEN 0 THEN 'NotModified' END ELSE CASE v WHEN 1 THEN 'Final' WHEN 0 THEN 'Variable' END END AS annotation FROM v")
 def v13(spark, d):
-    names = F.get(F.array(*map(F.lit, ("IMMUTABLE", "CONTAINER", "NOT_NULL", "INDEPENDENT", "MODIFIED", "FINAL"))), (_K % 6).cast("int"))
+    names = F.get(F.array(*map(F.lit, ("IMMUTABLE", "CONTAINER", "NOT_NULL", "INDEPENDENT", "MODIFIED", "FINAL"))), (_k() % 6).cast("int"))
     return orders(spark, d).select("k", R.annotation_of(names, _pick(7, -1, 0, 1, 5, 13, 21, 805)).alias("annotation"))
 
 
