@@ -14,7 +14,7 @@ from graphloom.operators import links as K
 from graphloom.plans import diagnostics as D
 from graphloom.plans import flow as W
 from graphloom.plans import rules as R
-from graphloom.plans.catalogue import DV, FG, also_whole, dv, fg, query, t
+from graphloom.plans.catalogue import DV, FG, dv, fg, query, t
 
 ACC = """acc AS (SELECT l_suppkey AS field, l_orderkey AS method, l_partkey AS parameter, l_linenumber AS n, CAST(l_quantity AS INTEGER) AS q,
   CASE WHEN l_returnflag = 'R' AND l_orderkey % 41 = 0 THEN -1 WHEN l_quantity > 49 AND l_linenumber > 5 THEN 1 ELSE 0 END AS v FROM lineitem)"""
@@ -37,24 +37,25 @@ def types(spark, d):
 
 # fields -------------------------------------------------------------------------------------------------------
 
-@query("r01_modified_outside", f"WITH {ACC}, {FIELDS}, s AS (SELECT field, max(v) AS hi, min(v) AS lo FROM acc WHERE n > 5 GROUP BY 1) SELECT field, CASE WHEN prim THEN 0 WHEN open_ OR coalesce(hi, 0) = 1 THEN 1 WHEN coalesce(lo, 0) >= 0 THEN 0 ELSE -1 END AS v FROM fields LEFT JOIN s USING (field)")
+@query("r01_modified_outside", f"WITH {ACC}, {FIELDS}, s AS (SELECT field, max(v) AS hi, min(v) AS lo FROM (SELECT field, CASE WHEN n > 5 THEN v ELSE 0 END AS v FROM acc) GROUP BY 1) SELECT field, CASE WHEN prim THEN 0 WHEN open_ OR coalesce(hi, 0) = 1 THEN 1 WHEN coalesce(lo, 0) >= 0 THEN 0 ELSE -1 END AS v FROM fields LEFT JOIN s USING (field)")
 def r01(spark, d):
     f = fields(spark, d).select("field", F.col("prim").alias("is_primitive"), F.col("open_").alias("writable_outside"))
-    return R.modified_outside(f, acc(spark, d).where("n > 5"))
+    return R.modified_outside(f, acc(spark, d).select("field", F.when(F.col("n") > 5, F.col("v")).otherwise(F.lit(0)).alias("v")))
 
 
-@query("r02_external_not_null", f"WITH {ACC}, {FIELDS}, w AS (SELECT field, min(q % 3 * 4 + 1) AS worst, bool_or(q = 50 AND n = 7) AS nul FROM acc WHERE n > 4 GROUP BY 1), b AS (SELECT field, CASE WHEN min(v) = -1 THEN -1 ELSE max(v) END AS best FROM acc WHERE n > 6 GROUP BY 1) SELECT field, CASE WHEN prim THEN 5 WHEN field % 5 = 0 AND open_ THEN 1 WHEN coalesce(nul, false) THEN 1 WHEN coalesce(worst, 1) = -1 OR coalesce(best, 1) = -1 THEN -1 ELSE greatest(coalesce(worst, 1), coalesce(best, 1)) END AS v FROM fields LEFT JOIN w USING (field) LEFT JOIN b USING (field)")
+@query("r02_external_not_null", f"WITH {ACC}, {FIELDS}, w AS (SELECT field, min(CASE WHEN n > 4 THEN q % 3 * 4 + 1 ELSE 9 END) AS worst, bool_or(q = 50 AND n = 7) AS nul FROM acc GROUP BY 1), b AS (SELECT field, CASE WHEN min(v) = -1 THEN -1 ELSE max(v) END AS best FROM (SELECT field, CASE WHEN n > 6 THEN v ELSE 1 END AS v FROM acc) GROUP BY 1) SELECT field, CASE WHEN prim THEN 5 WHEN field % 5 = 0 AND open_ THEN 1 WHEN coalesce(nul, false) THEN 1 WHEN coalesce(worst, 1) = -1 OR coalesce(best, 1) = -1 THEN -1 ELSE greatest(coalesce(worst, 1), coalesce(best, 1)) END AS v FROM fields LEFT JOIN w USING (field) LEFT JOIN b USING (field)")
 def r02(spark, d):
     f = fields(spark, d).select("field", F.when(F.col("field") % 5 == 0, F.lit(0)).otherwise(F.lit(1)).alias("final"), F.col("open_").alias("writable_outside"), F.col("prim").alias("is_primitive"))
     a = acc(spark, d)
-    return R.external_not_null(f, a.where("n > 4").select("field", (F.col("q") % 3 * 4 + 1).alias("v"), ((F.col("q") == 50) & (F.col("n") == 7)).alias("is_null")), a.where("n > 6").select("field", "v"))
+    worst = F.when(F.col("n") > 4, F.col("q") % 3 * 4 + 1).otherwise(F.lit(9))
+    return R.external_not_null(f, a.select("field", worst.alias("v"), ((F.col("q") == 50) & (F.col("n") == 7)).alias("is_null")), a.select("field", F.when(F.col("n") > 6, F.col("v")).otherwise(F.lit(1)).alias("v")))
 
 
 @query("r03_external_immutable", f"WITH {ACC}, {FIELDS}, s AS (SELECT field, min(q % 3 * 8 + 5) AS least FROM acc WHERE n = 7 AND q % 10 <> 0 GROUP BY 1) SELECT field, CASE WHEN field % 5 = 0 AND open_ THEN 1 WHEN field % 11 = 0 THEN 805 WHEN field % 13 = 0 THEN 13 ELSE coalesce(least, 1) END AS v FROM fields LEFT JOIN s USING (field)")
 def r03(spark, d):
     k = F.col("field")
     f = fields(spark, d).select("field", F.when(k % 5 == 0, F.lit(0)).otherwise(F.lit(1)).alias("final"), F.col("open_").alias("writable_outside"), F.when(k % 11 == 0, F.lit(805)).otherwise(F.lit(13)).alias("type_v"), (k % 13 == 0).alias("is_self"))
-    return R.external_immutable(f, acc(spark, d).where("n = 7").select("field", (F.col("q") % 3 * 8 + 5).alias("v"), (F.col("q") % 10 == 0).alias("is_null")))
+    return R.external_immutable(f, acc(spark, d).select("field", (F.col("q") % 3 * 8 + 5).alias("v"), ((F.col("n") != 7) | (F.col("q") % 10 == 0)).alias("is_null")))
 
 
 @query("r04_field_independent", "SELECT s_suppkey AS field, CASE WHEN s_suppkey % 10 = 0 THEN 805 WHEN s_suppkey % 4 = 0 THEN -1 WHEN s_suppkey % 4 = 1 THEN 5 WHEN s_suppkey % 4 = 2 THEN 805 WHEN s_suppkey % 3 = 0 THEN 5 ELSE 1 END AS v FROM supplier")
@@ -64,16 +65,16 @@ def r04(spark, d):
     return R.field_independent(f)
 
 
-@query("r05_field_container", f"WITH {ACC}, {FIELDS}, s AS (SELECT field, min(CASE WHEN v = -1 THEN -1 WHEN q > 10 THEN 5 ELSE 1 END) AS least FROM acc WHERE n > 6 GROUP BY 1) SELECT field, CASE WHEN prim THEN 5 WHEN coalesce(least, 1) = -1 THEN -1 ELSE greatest(1, coalesce(least, 1)) END AS v FROM fields LEFT JOIN s USING (field)")
+@query("r05_field_container", f"WITH {ACC}, {FIELDS}, s AS (SELECT field, min(CASE WHEN n <= 6 THEN 5 WHEN v = -1 THEN -1 WHEN q > 10 THEN 5 ELSE 1 END) AS least FROM acc GROUP BY 1) SELECT field, CASE WHEN prim THEN 5 WHEN coalesce(least, 1) = -1 THEN -1 ELSE greatest(1, coalesce(least, 1)) END AS v FROM fields LEFT JOIN s USING (field)")
 def r05(spark, d):
     f = fields(spark, d).select("field", F.when(F.col("prim"), F.lit(5)).otherwise(F.lit(1)).alias("type_v"))
-    return R.field_container(f, acc(spark, d).where("n > 6").select("field", F.when(F.col("v") == -1, F.col("v")).when(F.col("q") > 10, F.lit(5)).otherwise(F.lit(1)).alias("v")))
+    return R.field_container(f, acc(spark, d).select("field", F.when(F.col("n") <= 6, F.lit(5)).when(F.col("v") == -1, F.col("v")).when(F.col("q") > 10, F.lit(5)).otherwise(F.lit(1)).alias("v")))
 
 
-@query("r06_ignore_modifications", f"WITH {ACC}, {FIELDS}, s AS (SELECT field, CASE WHEN min(x) = -1 THEN -1 ELSE max(x) END AS m FROM (SELECT field, CASE WHEN v = -1 THEN -1 WHEN q > 45 THEN 5 ELSE 1 END AS x FROM acc WHERE n > 6) GROUP BY 1) SELECT field, CASE WHEN prim THEN 1 WHEN coalesce(m, 1) = -1 THEN -1 WHEN m = 5 THEN 5 ELSE 1 END AS v FROM fields LEFT JOIN s USING (field)")
+@query("r06_ignore_modifications", f"WITH {ACC}, {FIELDS}, s AS (SELECT field, CASE WHEN min(x) = -1 THEN -1 ELSE max(x) END AS m FROM (SELECT field, CASE WHEN n <= 6 THEN 1 WHEN v = -1 THEN -1 WHEN q > 45 THEN 5 ELSE 1 END AS x FROM acc) GROUP BY 1) SELECT field, CASE WHEN prim THEN 1 WHEN coalesce(m, 1) = -1 THEN -1 WHEN m = 5 THEN 5 ELSE 1 END AS v FROM fields LEFT JOIN s USING (field)")
 def r06(spark, d):
     f = fields(spark, d).select("field", F.when(F.col("prim"), F.lit(13)).otherwise(F.lit(1)).alias("immutable"))
-    return R.ignore_modifications(f, acc(spark, d).where("n > 6").select("field", F.when(F.col("v") == -1, F.col("v")).when(F.col("q") > 45, F.lit(5)).otherwise(F.lit(1)).alias("v")))
+    return R.ignore_modifications(f, acc(spark, d).select("field", F.when(F.col("n") <= 6, F.lit(1)).when(F.col("v") == -1, F.col("v")).when(F.col("q") > 45, F.lit(5)).otherwise(F.lit(1)).alias("v")))
 
 
 @query("r07_field_links", f"WITH {ACC} SELECT field, parameter AS target, CASE WHEN min(v) = -1 THEN -1 ELSE max(v) END AS w FROM acc WHERE parameter % 3 <> 0 AND parameter <> field GROUP BY ALL")
@@ -88,10 +89,10 @@ def r08(spark, d):
     return R.field_values(f.select("field", "type", F.col("open_").alias("is_final"), F.lit(0).alias("default")), f.where("prim").select("field", F.lit(77).alias("value")), acc(spark, d).select("field", "method", F.col("q").alias("value")), c)
 
 
-@query("r09_before_mark", f"WITH {ACC}, {FIELDS}, s AS (SELECT field, CASE WHEN max(v) = 1 THEN 1 WHEN min(v) = -1 THEN -1 ELSE 0 END AS m FROM acc WHERE n = 7 GROUP BY 1) SELECT field, CASE WHEN prim OR open_ THEN 0 WHEN m = 1 THEN 0 WHEN m = -1 THEN -1 ELSE 1 END AS v FROM fields LEFT JOIN s USING (field)")
+@query("r09_before_mark", f"WITH {ACC}, {FIELDS}, s AS (SELECT field, CASE WHEN max(v) = 1 THEN 1 WHEN min(v) = -1 THEN -1 ELSE 0 END AS m FROM (SELECT field, CASE WHEN n = 7 THEN v ELSE 0 END AS v FROM acc) GROUP BY 1) SELECT field, CASE WHEN prim OR open_ THEN 0 WHEN m = 1 THEN 0 WHEN m = -1 THEN -1 ELSE 1 END AS v FROM fields LEFT JOIN s USING (field)")
 def r09(spark, d):
     f = fields(spark, d).select("field", (~F.col("prim")).alias("eventual"), F.col("open_").alias("exposed"))
-    return R.before_mark(f, acc(spark, d).where("n = 7").select("field", F.col("v").alias("is_mark")))
+    return R.before_mark(f, acc(spark, d).select("field", F.when(F.col("n") == 7, F.col("v")).otherwise(F.lit(0)).alias("is_mark")))
 
 
 # methods ------------------------------------------------------------------------------------------------------
@@ -118,9 +119,10 @@ def r12(spark, d):
     return R.over_implementations(values, a.select(F.col("field").alias("method"), "impl"))
 
 
-@query("r13_best_of_overridden", f"WITH {ACC}, m AS (SELECT s_suppkey AS method FROM supplier) SELECT m.method, coalesce(max(v), 0) AS v FROM m LEFT JOIN acc ON field = m.method AND n = 7 AND q > 30 GROUP BY 1")
+@query("r13_best_of_overridden", f"WITH {ACC}, m AS (SELECT s_suppkey AS method FROM supplier) SELECT m.method, coalesce(max(CASE WHEN n = 7 AND q > 30 THEN v WHEN n IS NOT NULL THEN -1 END), 0) AS v FROM m LEFT JOIN acc ON field = m.method GROUP BY 1")
 def r13(spark, d):
-    a = acc(spark, d).where("n = 7 and q > 30").select("field", F.concat_ws(":", "field", "method", "n", "parameter").alias("other"), "v")
+    v = F.when((F.col("n") == 7) & (F.col("q") > 30), F.col("v")).otherwise(F.lit(-1))
+    a = acc(spark, d).select("field", F.concat_ws(":", "field", "method", "n", "parameter", "q").alias("other"), v.alias("v"))
     return R.best_of_overridden(fields(spark, d).select(F.col("field").alias("method")), a.select(F.col("field").alias("method"), "other"), a.select("other", "v"), 0)
 
 
@@ -138,34 +140,33 @@ def r15(spark, d):
     return R.return_value(m, a.where("n < 4").select("method", (q > 20).alias("is_this"), (q < 40).alias("is_first_parameter"), (q % 2 == 0).alias("is_constant"), (q % 2 * 4 + 1).alias("v"), (q != 30).alias("reachable")))
 
 
-@also_whole
-@query("r16_call_cycle_decision", f"WITH RECURSIVE {FG}, c(s, e) AS (SELECT src, dst FROM fg WHERE src < 400 UNION SELECT s, dst FROM c JOIN fg ON e = src WHERE src < 400), m AS (SELECT a.s, min(a.e) AS cyc FROM c a JOIN c b ON a.s = b.e AND a.e = b.s GROUP BY 1), v AS (SELECT src AS method, CASE WHEN src % 6 = 0 THEN -1 WHEN src % 6 = 1 THEN 1 ELSE 0 END AS v, coalesce(cyc, src) AS cyc FROM fg LEFT JOIN m ON s = src), g AS (SELECT cyc, CASE WHEN max(v) = 1 THEN 1 WHEN min(v) = 0 THEN 0 ELSE -1 END AS d FROM v GROUP BY 1) SELECT method, d AS v FROM v JOIN g USING (cyc)")
-def r16(spark, d, whole=False):
+@query("r16_call_cycle_decision", f"WITH RECURSIVE {FG}, c(s, e) AS (SELECT src, dst FROM fg UNION SELECT s, dst FROM c JOIN fg ON e = src), m AS (SELECT a.s, min(a.e) AS cyc FROM c a JOIN c b ON a.s = b.e AND a.e = b.s GROUP BY 1), v AS (SELECT src AS method, CASE WHEN src % 6 = 0 THEN -1 WHEN src % 6 = 1 THEN 1 ELSE 0 END AS v, coalesce(cyc, src) AS cyc FROM fg LEFT JOIN m ON s = src), g AS (SELECT cyc, CASE WHEN max(v) = 1 THEN 1 WHEN min(v) = 0 THEN 0 ELSE -1 END AS d FROM v GROUP BY 1) SELECT method, d AS v FROM v JOIN g USING (cyc)")
+def r16(spark, d):
     calls = fg(spark, d)
     k = F.col("src") % 6
-    return R.call_cycle_decision(calls.select(F.col("src").alias("method"), F.when(k == 0, F.lit(-1)).when(k == 1, F.lit(1)).otherwise(F.lit(0)).alias("v")), calls if whole else calls.where("src < 400"))
+    return R.call_cycle_decision(calls.select(F.col("src").alias("method"), F.when(k == 0, F.lit(-1)).when(k == 1, F.lit(1)).otherwise(F.lit(0)).alias("v")), calls)
 
 
 # parameters ---------------------------------------------------------------------------------------------------
 
-@query("r17_parameter_properties", f"WITH {ACC}, o AS (SELECT parameter, CASE WHEN max(x) = 1 THEN 1 WHEN min(x) = -1 THEN -1 ELSE 0 END AS o FROM (SELECT parameter, CASE WHEN v = -1 THEN -1 WHEN field % 20 = 0 THEN 1 ELSE 0 END AS x FROM acc WHERE (CASE WHEN v = -1 THEN -1 ELSE q % 6 END) BETWEEN -1 AND 2 AND n = 1) GROUP BY 1), p AS (SELECT p_partkey AS parameter, CASE WHEN p_size = 1 THEN -1 WHEN p_size > 45 THEN 1 ELSE 0 END AS c FROM part) SELECT parameter, CASE WHEN c = 1 OR coalesce(o, 0) = 1 THEN 1 WHEN c = -1 OR coalesce(o, 0) = -1 THEN -1 ELSE 0 END AS modified FROM p LEFT JOIN o USING (parameter)")
+@query("r17_parameter_properties", f"WITH {ACC}, o AS (SELECT parameter, CASE WHEN max(x) = 1 THEN 1 WHEN min(x) = -1 THEN -1 ELSE 0 END AS o FROM (SELECT parameter, CASE WHEN v = -1 THEN -1 WHEN field % 20 = 0 THEN 1 ELSE 0 END AS x FROM acc WHERE (CASE WHEN v = -1 THEN -1 ELSE q % 6 END) BETWEEN -1 AND 2) GROUP BY 1), p AS (SELECT p_partkey AS parameter, CASE WHEN p_size = 1 THEN -1 WHEN p_size > 45 THEN 1 ELSE 0 END AS c FROM part) SELECT parameter, CASE WHEN c = 1 OR coalesce(o, 0) = 1 THEN 1 WHEN c = -1 OR coalesce(o, 0) = -1 THEN -1 ELSE 0 END AS modified FROM p LEFT JOIN o USING (parameter)")
 def r17(spark, d):
     s = F.col("p_size")
     p = t(spark, d, "part").select(F.col("p_partkey").alias("parameter"), F.when(s == 1, F.lit(-1)).when(s > 45, F.lit(1)).otherwise(F.lit(0)).alias("context_modified"))
     f = fields(spark, d).select("field", F.when(F.col("field") % 20 == 0, F.lit(1)).otherwise(F.lit(0)).alias("modified_outside"))
-    return R.parameter_properties(p, f, acc(spark, d).where("n = 1").select("parameter", "field", F.when(F.col("v") == -1, F.col("v")).otherwise(F.col("q") % 6).alias("w")))
+    return R.parameter_properties(p, f, acc(spark, d).select("parameter", "field", F.when(F.col("v") == -1, F.col("v")).otherwise(F.col("q") % 6).alias("w")))
 
 
-@query("r18_parameter_independent", f"WITH {ACC}, w AS (SELECT parameter, min(CASE WHEN v = -1 THEN -1 ELSE q % 6 END) AS w FROM acc WHERE n = 7 GROUP BY 1) SELECT p_partkey AS parameter, CASE WHEN w IS NULL THEN 805 WHEN w = -1 THEN -1 WHEN w <= 2 THEN 1 ELSE (w - 3) * 8 + 5 END AS v FROM part LEFT JOIN w ON parameter = p_partkey")
+@query("r18_parameter_independent", f"WITH {ACC}, w AS (SELECT parameter, min(CASE WHEN n <> 7 THEN 100 WHEN v = -1 THEN -1 ELSE q % 6 END) AS w FROM acc GROUP BY 1) SELECT p_partkey AS parameter, CASE WHEN w IS NULL OR w = 100 THEN 805 WHEN w = -1 THEN -1 WHEN w <= 2 THEN 1 ELSE (w - 3) * 8 + 5 END AS v FROM part LEFT JOIN w ON parameter = p_partkey")
 def r18(spark, d):
-    return R.parameter_independent(t(spark, d, "part").select(F.col("p_partkey").alias("parameter")), acc(spark, d).where("n = 7").select("parameter", F.when(F.col("v") == -1, F.col("v")).otherwise(F.col("q") % 6).alias("w")))
+    return R.parameter_independent(t(spark, d, "part").select(F.col("p_partkey").alias("parameter")), acc(spark, d).select("parameter", F.when(F.col("n") != 7, F.lit(100)).when(F.col("v") == -1, F.col("v")).otherwise(F.col("q") % 6).alias("w")))
 
 
-@query("r19_parameter_from_fields", f"WITH {ACC} SELECT parameter, 'EXTERNAL_NOT_NULL' AS property, CASE WHEN min(x) = -1 THEN -1 ELSE max(x) END AS v FROM (SELECT parameter, CASE WHEN field % 30 = 0 THEN -1 ELSE field % 3 END AS x FROM acc WHERE q % 6 IN (0, 1) AND n = 2) GROUP BY 1")
+@query("r19_parameter_from_fields", f"WITH {ACC} SELECT parameter, 'EXTERNAL_NOT_NULL' AS property, CASE WHEN min(x) = -1 THEN -1 ELSE max(x) END AS v FROM (SELECT parameter, CASE WHEN field % 30 = 0 THEN -1 ELSE field % 3 END AS x FROM acc WHERE q % 6 IN (0, 1)) GROUP BY 1")
 def r19(spark, d):
     k = F.col("field")
     f = fields(spark, d).select("field", F.lit("EXTERNAL_NOT_NULL").alias("property"), F.when(k % 30 == 0, F.lit(-1)).otherwise((k % 3).cast("int")).alias("v"))
-    return R.parameter_from_fields(t(spark, d, "part").select(F.col("p_partkey").alias("parameter")), f, acc(spark, d).where("n = 2").select("parameter", "field", (F.col("q") % 6).alias("w")))
+    return R.parameter_from_fields(t(spark, d, "part").select(F.col("p_partkey").alias("parameter")), f, acc(spark, d).select("parameter", "field", (F.col("q") % 6).alias("w")))
 
 
 # types --------------------------------------------------------------------------------------------------------
@@ -230,11 +231,11 @@ def r27(spark, d):
     return R.singleton(types(spark, d), f.select("type", k.alias("method"), (k % 11 != 0).alias("is_private")), made, f.where("type % 2 = 0").select("type", k.alias("method")))
 
 
-@query("r28_approved_preconditions", f"WITH {ACC}, c AS (SELECT field, count(*) AS n, count(DISTINCT cond) AS k, count(cond) AS have, min(cond) AS cond FROM (SELECT DISTINCT field, method, CASE WHEN method % 50 < 49 THEN 'c' || (field % 3 * (method % 2)) END AS cond FROM acc WHERE n = 7 AND q > 35) GROUP BY 1) SELECT 1 AS type, field, cond AS condition FROM c WHERE n = have AND k = 1")
+@query("r28_approved_preconditions", f"WITH {ACC}, c AS (SELECT field, count(*) AS n, count(DISTINCT cond) AS k, count(cond) AS have, min(cond) AS cond FROM (SELECT field, method, CASE WHEN method % 50 < 49 THEN 'c' || (field % 3 * (method % 2)) END AS cond FROM acc GROUP BY field, method HAVING bool_or(n = 7 AND q > 35)) GROUP BY 1) SELECT 1 AS type, field, cond AS condition FROM c WHERE n = have AND k = 1")
 def r28(spark, d):
-    a = acc(spark, d).where("n = 7 and q > 35").select("field", "method").distinct()
-    cond = F.concat(F.lit("c"), (F.col("field") % 3 * (F.col("method") % 2)).cast("string"))
-    good, _ = R.approved_preconditions(a.select(F.lit(1).alias("type"), "method", F.col("field").alias("changes_field"), F.lit(False).alias("is_private")), a.where("method % 50 < 49").select("method", "field", cond.alias("condition")))
+    a = acc(spark, d).groupBy("field", "method").agg(F.bool_or((F.col("n") == 7) & (F.col("q") > 35)).alias("open"))
+    cond = F.when(F.col("method") % 50 < 49, F.concat(F.lit("c"), (F.col("field") % 3 * (F.col("method") % 2)).cast("string")))
+    good, _ = R.approved_preconditions(a.select(F.lit(1).alias("type"), "method", F.col("field").alias("changes_field"), (~F.col("open")).alias("is_private")), a.select("method", "field", cond.alias("condition")))
     return good
 
 
@@ -285,30 +286,28 @@ def r35(spark, d):
     return K.merge_delay(a.where("n = 1").groupBy("k").agg(F.min("w").alias("w")), a.where("n = 7").select("k", "w"), ["k"])
 
 
-@query("r36_translate_links", f"WITH {ACC} SELECT field AS src, CASE WHEN parameter % 10 = 0 THEN -(parameter % 100) ELSE parameter END AS dst, min(q % 5) AS w FROM acc WHERE n = 1 GROUP BY ALL")
+@query("r36_translate_links", f"WITH {ACC} SELECT field AS src, CASE WHEN parameter % 10 = 0 THEN -(parameter % 100) ELSE parameter END AS dst, min(q % 5) AS w FROM acc GROUP BY ALL")
 def r36(spark, d):
-    links = acc(spark, d).where("n = 1").select(F.col("field").alias("src"), F.col("parameter").alias("dst"), (F.col("q") % 5).alias("w"))
+    links = acc(spark, d).select(F.col("field").alias("src"), F.col("parameter").alias("dst"), (F.col("q") % 5).alias("w"))
     names = t(spark, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("old"), (-(F.col("p_partkey") % 100)).alias("new"))
     return K.translate(links, names, ["src", "dst"])
 
 
-@query("r37_compatible_links", f"WITH {ACC}, l AS (SELECT DISTINCT field AS src, parameter AS dst, q % 5 AS w FROM acc WHERE n = 1), i AS (SELECT *, CASE src % 4 WHEN 0 THEN 13 WHEN 1 THEN -1 ELSE 5 END AS s, CASE dst % 4 WHEN 0 THEN 805 WHEN 1 THEN -1 ELSE 5 END AS t FROM l) SELECT src, dst, CASE WHEN (s = -1 OR t = -1) AND w NOT IN (0, 1) THEN -1 ELSE w END AS w FROM i WHERE w IN (0, 1) OR s = -1 OR t = -1 OR NOT (t = 805 OR (w = 2 AND s >= 13))")
+@query("r37_compatible_links", f"WITH {ACC}, l AS (SELECT DISTINCT field AS src, parameter AS dst, q % 5 AS w FROM acc), i AS (SELECT *, CASE src % 4 WHEN 0 THEN 13 WHEN 1 THEN -1 ELSE 5 END AS s, CASE dst % 4 WHEN 0 THEN 805 WHEN 1 THEN -1 ELSE 5 END AS t FROM l) SELECT src, dst, CASE WHEN (s = -1 OR t = -1) AND w NOT IN (0, 1) THEN -1 ELSE w END AS w FROM i WHERE w IN (0, 1) OR s = -1 OR t = -1 OR NOT (t = 805 OR (w = 2 AND s >= 13))")
 def r37(spark, d):
-    links = acc(spark, d).where("n = 1").select(F.concat(F.lit("s"), "field").alias("src"), F.concat(F.lit("p"), "parameter").alias("dst"), (F.col("q") % 5).alias("w")).distinct()
+    links = acc(spark, d).select(F.concat(F.lit("s"), "field").alias("src"), F.concat(F.lit("p"), "parameter").alias("dst"), (F.col("q") % 5).alias("w")).distinct()
     pick = lambda k, a: F.when(k % 4 == 0, F.lit(a)).when(k % 4 == 1, F.lit(-1)).otherwise(F.lit(5)).alias("v")
     imm = t(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), pick(F.col("s_suppkey"), 13)).union(t(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey"), pick(F.col("p_partkey"), 805)))
     out = K.compatible_with_immutable(links, imm)
     return out.select(F.substring("src", 2, 20).cast("long").alias("src"), F.substring("dst", 2, 20).cast("long").alias("dst"), "w")
 
 
-@also_whole
-@query("r38_call_facts", f"WITH RECURSIVE {FG}, i AS (SELECT * FROM fg WHERE src < 300 AND dst < 300), c(s, e) AS (SELECT src, dst FROM i UNION SELECT s, dst FROM c JOIN i ON e = src), n AS (SELECT range AS method FROM range(300)) SELECT method, (SELECT count(*) FROM c WHERE s = method) AS n_own_reached, EXISTS (SELECT 1 FROM c WHERE s = method AND e = method) AS on_call_cycle, CASE WHEN method % 3 <> 0 THEN 'non_private' WHEN EXISTS (SELECT 1 FROM c WHERE e = method AND s % 3 <> 0 AND s % 7 <> 0) THEN 'called_from_non_private' WHEN EXISTS (SELECT 1 FROM c WHERE e = method AND s % 7 = 0) THEN 'part_of_construction' ELSE 'not_called' END AS status FROM n")
-def r38(spark, d, whole=False):
+@query("r38_call_facts", f"WITH RECURSIVE {FG}, i AS (SELECT * FROM fg), c(s, e) AS (SELECT src, dst FROM i UNION SELECT s, dst FROM c JOIN i ON e = src), n AS (SELECT c_custkey AS method FROM customer) SELECT method, (SELECT count(*) FROM c WHERE s = method) AS n_own_reached, EXISTS (SELECT 1 FROM c WHERE s = method AND e = method) AS on_call_cycle, CASE WHEN method % 3 <> 0 THEN 'non_private' WHEN EXISTS (SELECT 1 FROM c WHERE e = method AND s % 3 <> 0 AND s % 7 <> 0) THEN 'called_from_non_private' WHEN EXISTS (SELECT 1 FROM c WHERE e = method AND s % 7 = 0) THEN 'part_of_construction' ELSE 'not_called' END AS status FROM n")
+def r38(spark, d):
     k = F.col("id")
-    ids = t(spark, d, "customer").select(F.col("c_custkey").alias("id")) if whole else spark.range(300)
+    ids = t(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     m = ids.select(k.alias("method"), F.lit(1).alias("type"), (k % 3 == 0).alias("is_private"), (k % 7 == 0).alias("is_ctor"), F.lit(False).alias("is_static"), F.lit(False).alias("is_abstract"))
-    calls = fg(spark, d)
-    return G.call_facts(calls if whole else calls.where("src < 300"), m).select("method", "n_own_reached", "on_call_cycle", "status")
+    return G.call_facts(fg(spark, d), m).select("method", "n_own_reached", "on_call_cycle", "status")
 
 
 @query("r39_default_branch", "SELECT conv_id, turn AS block, CASE WHEN role <> 'system' THEN CASE WHEN length(text) > 1500 THEN 2 WHEN length(text) > 100 THEN 1 ELSE 0 END ELSE CASE WHEN m = 2 THEN 0 WHEN coalesce(m, 0) = 0 THEN 2 ELSE 1 END END AS execution FROM (SELECT *, max(CASE WHEN role <> 'system' THEN CASE WHEN length(text) > 1500 THEN 2 WHEN length(text) > 100 THEN 1 ELSE 0 END END) OVER (PARTITION BY conv_id) AS m FROM conversations)")
@@ -353,14 +352,12 @@ def r44(spark, d):
     return delay_histogram(dv(spark, d).where("v = -1").select(F.col("g").alias("element"), (F.col("l_orderkey") % 7).cast("string").alias("cause"))).select("element", "n")
 
 
-@also_whole
-@query("r45_fixpoint_driver", f"WITH RECURSIVE {FG}, m AS (SELECT src, dst FROM fg WHERE src < 200), r(node) AS (SELECT src FROM m WHERE src % 13 = 0 UNION SELECT src FROM r JOIN m ON node = dst) SELECT CAST(src AS VARCHAR) AS elem, CASE WHEN r.node IS NULL THEN 0 ELSE 1 END AS v FROM m LEFT JOIN r ON r.node = src")
-def r45(spark, d, whole=False):
+@query("r45_fixpoint_driver", f"WITH RECURSIVE {FG}, m AS (SELECT src, dst FROM fg), r(node) AS (SELECT src FROM m WHERE src % 13 = 0 UNION SELECT src FROM r JOIN m ON node = dst) SELECT CAST(src AS VARCHAR) AS elem, CASE WHEN r.node IS NULL THEN 0 ELSE 1 END AS v FROM m LEFT JOIN r ON r.node = src")
+def r45(spark, d):
     from graphloom.plans.fixpoint import run_rules, value_of
     from graphloom.staging import written
 
-    calls = fg(spark, d) if whole else fg(spark, d).where("src < 200")
-    calls = written(calls.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")), "calls")
+    calls = written(fg(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")), "calls")
 
     def modified(facts, state, breaking):
         c = facts["calls"]
@@ -373,7 +370,7 @@ def r45(spark, d, whole=False):
         return out.withColumn("v", L.replace_delay(F.col("v"), 0)) if breaking else out
 
     # a value takes a round for each call on the way, and ways are longer in larger tables
-    return run_rules({"calls": calls}, [modified], spark, max_rounds=10_000 if whole else 100).select("elem", "v")
+    return run_rules({"calls": calls}, [modified], spark, max_rounds=10_000).select("elem", "v")
 
 
 # calls --------------------------------------------------------------------------------------------------------
@@ -395,10 +392,10 @@ def r47(spark, d):
     return argument_contexts(acc(spark, d).where("n < 3").select(F.col("method").alias("caller"), F.col("parameter").alias("var"), F.col("field").alias("method_fqn"), F.lit(0).alias("index")), p)
 
 
-@query("r48_call_links", f"WITH {ACC}, i AS (SELECT s_suppkey AS method_fqn, CASE s_suppkey % 5 WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN 5 WHEN 3 THEN 13 ELSE 805 END AS v FROM supplier), l AS (SELECT method AS caller, field AS src, parameter AS dst, CASE WHEN i.v = -1 THEN -1 WHEN i.v = 805 THEN 100 WHEN i.v = 1 THEN 2 ELSE (i.v >> 3) + 3 END AS w FROM acc JOIN i ON method_fqn = field WHERE n = 1) SELECT caller, src, dst, min(w) AS w FROM l WHERE w <> 100 GROUP BY ALL")
+@query("r48_call_links", f"WITH {ACC}, i AS (SELECT s_suppkey AS method_fqn, CASE s_suppkey % 5 WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN 5 WHEN 3 THEN 13 ELSE 805 END AS v FROM supplier), l AS (SELECT method AS caller, field AS src, parameter AS dst, CASE WHEN i.v = -1 THEN -1 WHEN i.v = 805 THEN 100 WHEN i.v = 1 THEN 2 ELSE (i.v >> 3) + 3 END AS w FROM acc JOIN i ON method_fqn = field) SELECT caller, src, dst, min(w) AS w FROM l WHERE w <> 100 GROUP BY ALL")
 def r48(spark, d):
     from graphloom.plans.calls import call_links
 
     k = F.col("field")
     i = fields(spark, d).select(k.alias("method_fqn"), F.lit(0).alias("index"), F.get(F.array(*map(F.lit, (-1, 1, 5, 13, 805))), (k % 5).cast("int")).alias("v"))
-    return call_links(acc(spark, d).where("n = 1").select(F.col("method").alias("caller"), k.alias("object"), F.col("parameter").alias("var"), k.alias("method_fqn"), F.lit(0).alias("index")), i)
+    return call_links(acc(spark, d).select(F.col("method").alias("caller"), k.alias("object"), F.col("parameter").alias("var"), k.alias("method_fqn"), F.lit(0).alias("index")), i)

@@ -25,7 +25,8 @@ def sf(spark, lines, tmp_path_factory):
 
 
 def result(spark, sf, name):
-    return sorted(tuple(r) for r in catalogue.WHOLE[f"{name}_whole"](spark, sf).collect())
+    query = catalogue.WHOLE.get(f"{name}_whole") or catalogue.QUERIES[name]
+    return sorted(tuple(r) for r in query(spark, sf).collect())
 
 
 def links(lines):
