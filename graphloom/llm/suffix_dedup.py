@@ -334,9 +334,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, context: int = CONTEXT,
     known = marks.where("unit is not null").select("unit", "a", "b").unionByName(across)
     spans = runs.join(known, "unit").select("doc_id", "h", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("b") - 1 + length).alias("end"))
     spans = written(spans.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")).withColumnsRenamed({"doc_id": "d", "h": "g"}), "spans")
-    # a document's ids and each of its spans count alike, so what is sent is bounded by its bytes
-    weight = spans.agg(F.sum(F.size("spans") + 4).alias("n")).first()["n"] or 0
-    asked = rows.join(F.broadcast(spans) if weight <= most_sent else spans, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["h"] == F.col("g")), "left")
+    same = rows["doc_id"].eqNullSafe(F.col("d")) & (rows["h"] == F.col("g"))
 
     def remove(batches):
         import pyarrow as pa
@@ -347,7 +345,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, context: int = CONTEXT,
                 part, out = batch.slice(k, 64), []
                 for doc, text, spans in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
                     data, kept, at, count = text.encode(), [], 0, 0
-                    for s in spans:
+                    for s in spans or ():
                         if s["start"] > at or not count:
                             kept.append(data[at : s["start"]])
                             count += 1
@@ -356,9 +354,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, context: int = CONTEXT,
                     out.append((doc, len(data), len(data) - len(left), count, hashlib.sha256(left).hexdigest(), left.decode(errors="replace")))
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds.values())], names=list(kinds))
 
-    cut = asked.where("spans is not null").select("doc_id", "text", "spans").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    kept = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+    if spans.count() > most_sent:
+        # every text is shuffled once
+        return rows.join(spans, same, "left").select("doc_id", "text", "spans").mapInArrow(remove, kept)
+    ids = F.broadcast(spans.select("d", "g"))
+    cut = rows.join(ids, same, "left_semi").join(spans, same).select("doc_id", "text", "spans").mapInArrow(remove, kept)
     none = F.lit(0).cast("long")
-    whole = asked.where("spans is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "text")
+    whole = rows.join(ids, same, "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "text")
     return cut.unionByName(whole)
 
 
