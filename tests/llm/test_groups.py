@@ -361,6 +361,27 @@ def test_topk(spark, rows):
     assert topk.exact_topk(frame.limit(0)).collect() == []
 
 
+def test_topk_compares_equal_vectors_once(spark, monkeypatch):
+    sizes, write = {}, topk.written_with
+
+    def spy(df, name, *measures):
+        out, told = write(df, name, *measures)
+        sizes[name] = sum(len(r["ends"]) // 8 for r in out.collect())
+        return out, told
+
+    monkeypatch.setattr(topk, "written_with", spy)
+    data = [(i, [float(i % 3), 1.0, -2.0, 40.0 if i % 3 == 1 else 0.0]) for i in range(900)] + [(50, [1.0, 1.0, -2.0, 40.0]), (50, [1.0, 1.0, -2.0, 40.0])]
+    whole = [(i, [int(256 * x) for x in v]) for i, v in data]
+    want = []
+    for n, (q, a) in enumerate(whole):
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(whole) if m != n)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    assert rows_of(topk.exact_topk(frame)) == sorted(want, key=str)
+    assert sizes == {"blocks": 3, "asked": 3}
+
+
 # chat ---------------------------------------------------------------------------------------------------------
 
 def test_chat_round_trip(spark):
