@@ -34,6 +34,22 @@ def test_hierarchy(spark, program):
         E.methods_of(types, methods, "NONE")
 
 
+def test_visible_pairs_are_made_once(spark, program):
+    types, _, _, fields = program
+    more = fields.union(spark.createDataFrame([("A:pub", "A", "PUBLIC"), ("A:pub", "B", "PRIVATE"), ("A:none", "B", None)], fields.schema))
+    out = E.accessible_fields(types.union(types.limit(2)), more)
+    got = sorted(map(tuple, out.collect()))
+    assert got == sorted({*got}) and {x for x in got if x[0] == "C"} == {("C", "A:pub"), ("C", "A:prot")} and {f for x, f in got if x == "B"} == {"A:pub", "A:prot", "A:pack", "A:none"}
+    # rows are made distinct before members are met, but for members in several places
+    assert not out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+
+
+def test_meet_deals_frequent_keys(spark):
+    many, few = spark.range(100).selectExpr("id % 3 AS k", "id AS a"), spark.range(6).selectExpr("id % 3 AS k", "id AS b")
+    want = sorted((x % 3, x, y) for x in range(100) for y in range(6) if x % 3 == y % 3)
+    assert sorted(map(tuple, E.meet(many, few, ["k"], slice_=5).select("k", "a", "b").collect())) == want
+
+
 def test_assignable(spark, program):
     up = E.supers(program[0])
     pairs = spark.createDataFrame([("A", "C"), ("C", "A"), ("long", "int"), ("int", "long"), ("int", "java.lang.Integer"), ("A", "A"), ("java.lang.Object", "C")], "target string, source string")
