@@ -56,6 +56,15 @@ def test_bundle_archives_and_imports(spark, tmp_path):
     assert sorted(map(tuple, facts.resolve_imports(imports, types).collect())) == [("X", "a.T"), ("X", "b.U"), ("Y", "a.T"), ("Y", "a.T.N")]
 
 
+def test_imports_are_made_once(spark):
+    types = spark.createDataFrame([("a.T", "a", None), ("a.T", "b", None), ("a.U", "a", None), ("a.U", "a", None), ("a.T.N", "a", "a.T")], "type_fqn string, package string, enclosing string")
+    imports = spark.createDataFrame([("X", "a", True, False), ("X", "a", True, False), ("X", "b", True, False), ("X", "a.U", False, False), ("Y", "a.U", False, False), ("Y", "a", True, True), ("X", "a.T", True, None), ("Z", "b", True, None)], "src_type string, name string, is_star boolean, is_static boolean")
+    out = facts.resolve_imports(imports, types)
+    assert sorted(map(tuple, out.collect())) == [("X", "a.T"), ("X", "a.T.N"), ("X", "a.U"), ("Y", "a.U")]
+    # what stars make isn't shuffled, but for types in several places
+    assert not out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+
+
 def test_nullness_stubs_messages(spark):
     a = spark.createDataFrame([("m", "org.jetbrains.annotations.NotNull"), ("m", "Own")], "target_fqn string, annotation string")
     assert sorted(r["annotation"] for r in facts.translate_nullness(a).collect()) == ["NotNull", "Own"]
