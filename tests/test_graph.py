@@ -140,3 +140,18 @@ def test_link_tables(spark):
     assert [r[0] for r in v.select(K.link_of_independence(F.col("v"))).collect()] == [-1, 100, 2, 3, 4]
     w = spark.createDataFrame([(-1,), (100,), (0,), (3,), (4,)], "v int")
     assert [r[0] for r in w.select(K.independence_of_link(F.col("v"))).collect()] == [-1, 805, 1, 5, 13]
+
+
+def test_mirrored_bottleneck_by_levels(spark, monkeypatch):
+    rng = random.Random(28)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))): rng.choice([0, 1, 2, 3, 4, -1]) for _ in range(50)}
+    edges = G.add_weighted(spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "src long, dst long, w int"), mirror=True)
+    starts = spark.createDataFrame([(n,) for n in (*range(9), 99, 3)], "src long")
+    want = sorted(map(tuple, G.bottleneck_links(edges, starts, max_weight=3).collect()))
+    # no rounds of rows per start and node are written
+    names, write = [], G.written_with
+    monkeypatch.setattr(G, "written_with", lambda df, name, *m: names.append(name) or write(df, name, *m))
+    for limit in (G.STARTS, 0):
+        monkeypatch.setattr(G, "STARTS", limit)
+        assert sorted(map(tuple, G.bottleneck_links(edges, starts, max_weight=3, mirrored=True).collect())) == want
+    assert "links" not in names
