@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.tables import table, texts
 from graphloom.operators.components import connected_components
-from graphloom.staging import written
+from graphloom.operators.entities import meet
+from graphloom.staging import written, written_with
 
 SEED = 42
 #: The stage's near copies share 4 of 5 distinct shingles of five words. Such a pair misses all bands once in 13,000.
@@ -29,8 +30,10 @@ WORDS, ALIKE, BANDS, ROWS = 5, (4, 5), 24, 5
 #: agreements stay five deviations below what that makes, which happens to one such pair in three million.
 AGREE = 0.8 + 0.2 / 16
 DIFFERENT = BANDS * ROWS - int(BANDS * ROWS * AGREE - 5 * (BANDS * ROWS * AGREE * (1 - AGREE)) ** 0.5)
-#: In bands of more members than this, those are compared that meet in the next band too, in parts of about this size.
-CROWD = 64
+#: A band's members that aren't connected yet are all compared with one another, in slices of about this many against all.
+CROWD = 1024
+#: Up to so many ids of documents to compare are broadcast, so that no texts are shuffled.
+ASKED = 2_000_000
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * ROWS, 1), np.uint64)
 _TIMES, _FLIP, _FOLD = _DRAWN[0] | np.uint64(1), _DRAWN[1], _DRAWN[2, :ROWS, 0] | np.uint64(1)
 
@@ -187,7 +190,8 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     few, many = ALIKE
     could = written(pairs.distinct(), "candidates")
     asked = could.select(F.col("src").alias("h")).union(could.select(F.col("dst").alias("h"))).distinct()
-    rows = docs.join(nodes.join(asked, "h", "left_semi").select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    ids, told = written_with(nodes.join(asked, "h", "left_semi").select(F.col("node").alias("doc_id")).distinct(), "asked", F.count(F.lit(1)).alias("n"))
+    rows = docs.join(F.broadcast(ids) if told["n"] <= ASKED else ids, "doc_id", "left_semi")
     sets = written(shingle_sets(rows).join(asked, "h", "left_semi").dropDuplicates(["h"]), "shingles")
     side = lambda name: sets.select(F.col("h").alias(name), F.col("shingles").alias(f"{name}_set"))
     both = could.join(side("src"), "src").join(side("dst"), "dst")
@@ -198,29 +202,25 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every row: component_id is the smallest doc_id reachable over similar texts.
 
-    Texts of the same words are one node. Within a band all are compared with its first, then those that are not
-    connected yet with one another.
+    Texts of the same words are one node. Within a band all are compared with its first, then all those that are not
+    connected yet with one another, however many; sizes and sketches are looked at for each such pair, so a band of many
+    members that stay unlike takes time with the square of their number.
     """
     docs = texts(docs)
     found = written(signatures(docs), "signatures")
     nodes = written(found.where("doc_id is not null").groupBy("h").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
-    following = F.get("bands", (F.col("band") + 1) % BANDS)
-    members = nodes.select("h", "bands", F.posexplode("bands").alias("band", "value")).select("h", F.xxhash64("band", "value").alias("key"), following.alias("next"))
+    members = nodes.select("h", F.posexplode("bands").alias("band", "value")).select("h", F.xxhash64("band", "value").alias("key"))
     heads = members.groupBy("key").agg(F.min("h").alias("dst"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(members.join(heads, "key"), "members")
     near = members.where("h <> dst").select(F.col("h").alias("src"), "dst").distinct().join(_side(nodes, "src"), "src").join(_side(nodes, "dst"), "dst")
     first = _alike(near.where(could_be_alike("src", "dst")).select("src", "dst"), nodes, docs)
     joined = written(connected_components(first), "joined")
-    apart = members.where("n > 2").join(joined.withColumnRenamed("node", "h"), "h", "left").select("h", "key", "next", F.coalesce("component", "h").alias("component"))
-    for name, part in (("part", F.col("next")), ("place", F.xxhash64("h", "key"))):
-        by = ["key"] if name == "part" else ["key", "part"]
-        open_ = apart.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        split = part if name == "part" else F.pmod(part, F.ceil(F.col("n") / CROWD))
-        apart = written(apart.join(open_.drop("low", "high"), by).withColumn(name, F.when(F.col("n") > CROWD, split).otherwise(F.lit(0))).drop("n"), name)
-    sides = apart.select("key", "part", "place", F.col("h").alias("src"), "component").join(_side(nodes, "src"), "src")
-    other = sides.withColumnsRenamed({c: c.replace("src", "dst") for c in ("src", "src_size", "src_sketch")} | {"component": "dst_component"})
+    apart = members.where("n > 2").join(joined.withColumnRenamed("node", "h"), "h", "left").select("h", "key", F.coalesce("component", "h").alias("component"))
+    open_ = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    apart = written(apart.join(open_, "key").join(nodes.select("h", "size", "sketch"), "h"), "apart")
+    sides = [apart.select("key", *(F.col(c).alias(n) for c, n in (("h", x), ("component", f"{x}_component"), ("size", f"{x}_size"), ("sketch", f"{x}_sketch")))) for x in ("src", "dst")]
     # what can't be similar enough is left out where members meet, so no rows are made of it
-    pairs = sides.join(other, ["key", "part", "place"]).where((F.col("src") < F.col("dst")) & (F.col("component") != F.col("dst_component")) & could_be_alike("src", "dst")).select("src", "dst")
+    pairs = meet(*sides, ["key"], CROWD, (F.col("src") < F.col("dst")) & (F.col("src_component") != F.col("dst_component")) & could_be_alike("src", "dst")).select("src", "dst")
     linked = connected_components(first.union(_alike(pairs, nodes, docs)))
     grouped = nodes.select("h", "node").join(linked.withColumnRenamed("node", "h"), "h", "left").select("h", "node", F.coalesce("component", "h").alias("component"))
     least = grouped.join(grouped.groupBy("component").agg(F.min("node").alias("component_id")), "component").select("h", "component_id")

@@ -108,6 +108,20 @@ def test_near_groups_reach_similarity(spark):
     assert got == want
 
 
+def test_near_groups_compare_all_of_a_crowded_band(spark, monkeypatch):
+    rng, rows, sign = random.Random(22), [], simhash.signatures
+    for k in range(50):
+        words = [f"w{k}x{n}" for n in range(100)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:99], f"y{rng.random()}"]))]
+    # all meet in one band, and nowhere else
+    alone = F.transform("bands", lambda x, n: F.when(n == 0, F.lit(7)).otherwise(F.xxhash64("h", n)))
+    monkeypatch.setattr(simhash, "signatures", lambda docs: sign(docs).withColumn("bands", alone))
+    for crowd in (simhash.CROWD, 8):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        got = dict(simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+        assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
 def test_near_dedup_keeps_one_of_each(spark, docs, odd_docs):
     kept = simhash.near_dedup(docs)
     assert kept.columns == docs.columns
