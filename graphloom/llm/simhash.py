@@ -30,6 +30,9 @@ WORDS, ALIKE, BANDS, ROWS = 5, (4, 5), 24, 5
 #: agreements stay five deviations below what that makes, which happens to one such pair in three million.
 AGREE = 0.8 + 0.2 / 16
 DIFFERENT = BANDS * ROWS - int(BANDS * ROWS * AGREE - 5 * (BANDS * ROWS * AGREE * (1 - AGREE)) ** 0.5)
+#: Bits of the parities of a text's shingles. What two texts don't share changes at most as many bits as it has shingles, so
+#: texts whose parities differ in more bits than that aren't alike, whatever their sketches say: no pair is lost by it.
+PARITIES = 1024
 #: A band's members that aren't connected yet are all compared with one another, in slices of about this many against all.
 CROWD = 1024
 #: Up to so many ids of documents to compare are broadcast, so that no texts are shuffled.
@@ -130,16 +133,26 @@ def bands(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (least.reshape(BANDS, ROWS) * _FOLD).sum(axis=1, dtype=np.uint64), sketch
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each of ``PARITIES`` remainders of hashes, 64 to a number: whether an odd number of distinct shingles has it."""
+    odd = np.bincount((shingles % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.uint64)
+
+
 def could_be_alike(a: str, b: str) -> Column:
-    """Whether the sizes and sketches of two texts leave it open that they are similar enough. Columns: a_size, a_sketch, b_size, b_sketch."""
+    """Whether sizes, parities and sketches of two texts leave it open that they are similar enough. Columns: a_size, a_parity, a_sketch, and b's."""
     few, many = ALIKE
     sizes = F.least(f"{a}_size", f"{b}_size") * many >= F.greatest(f"{a}_size", f"{b}_size") * few
+    apart = F.lit(0)
+    for n in range(PARITIES // 64):
+        apart = apart + F.bit_count(F.get(f"{a}_parity", n).bitwiseXOR(F.get(f"{b}_parity", n)))
+    near = apart * (many + few) <= (F.col(f"{a}_size") + F.col(f"{b}_size")) * (many - few)
     unlike = F.lit(0)
     for n in range(-(-BANDS * ROWS // 16)):
         x = F.get(f"{a}_sketch", n).bitwiseXOR(F.get(f"{b}_sketch", n))
         any_ = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
         unlike = unlike + F.bit_count(any_.bitwiseAND(F.lit(0x1111111111111111)))
-    return sizes & (unlike <= DIFFERENT)
+    return sizes & near & (unlike <= DIFFERENT)
 
 
 def _identity(found: list[bytes]) -> int:
@@ -149,7 +162,7 @@ def _identity(found: list[bytes]) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, size, bands, sketch): h tells texts of other words apart, size counts distinct shingles."""
+    """(doc_id, h, size, bands, sketch, parity): h tells texts of other words apart, size counts distinct shingles."""
 
     def run(batches):
         import pyarrow as pa
@@ -159,11 +172,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 part = batch.slice(k, 256)
                 found = [_words(t) for t in part.column("text").to_pylist()]
                 sets = [np.unique(_shingles(f, WORDS)) for f in found]
-                hashed = [[y.view(np.int64) for y in bands(x)] for x in sets]
-                columns = [pa.array([_identity(f) for f in found], pa.int64()), pa.array(map(len, sets), pa.int32()), *(pa.array([x[n] for x in hashed], pa.list_(pa.int64())) for n in (0, 1))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "h", "size", "bands", "sketch"])
+                hashed = [[y.view(np.int64) for y in (*bands(x), parities(x))] for x in sets]
+                columns = [pa.array([_identity(f) for f in found], pa.int64()), pa.array(map(len, sets), pa.int32()), *(pa.array([x[n] for x in hashed], pa.list_(pa.int64())) for n in (0, 1, 2))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "h", "size", "bands", "sketch", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long, size int, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long, size int, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -181,12 +194,16 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, shingles array<long>")
 
 
+#: What :func:`could_be_alike` looks at.
+LOOKS = ("size", "sketch", "parity")
+
+
 def _side(nodes: DataFrame, name: str) -> DataFrame:
-    return nodes.select(F.col("h").alias(name), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(f"{name}_sketch"))
+    return nodes.select(F.col("h").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in LOOKS))
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(src, dst): those of ``pairs``, whose sketches leave it open, whose shingles are similar enough, which is compared exactly."""
+    """(src, dst): those of ``pairs``, whose sizes, parities and sketches leave it open, whose shingles are similar enough, which is compared exactly."""
     few, many = ALIKE
     could = written(pairs.distinct(), "candidates")
     asked = could.select(F.col("src").alias("h")).union(could.select(F.col("dst").alias("h"))).distinct()
@@ -202,23 +219,27 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every row: component_id is the smallest doc_id reachable over similar texts.
 
-    Texts of the same words are one node. Within a band all are compared with its first, then all those that are not
-    connected yet with one another, however many; sizes and sketches are looked at for each such pair, so a band of many
-    members that stay unlike takes time with the square of their number.
+    Texts of the same words are one node. Within a band all are compared with the one that shares most bands with most
+    others, then all those that are not connected yet with one another, however many. Sizes, parities and sketches are looked at for
+    each such pair where they meet, which takes time with the square of a band's members that stay unlike; rows are made of
+    those alone that may be alike.
     """
     docs = texts(docs)
     found = written(signatures(docs), "signatures")
-    nodes = written(found.where("doc_id is not null").groupBy("h").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = written(found.where("doc_id is not null").groupBy("h").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("bands", *LOOKS))), "nodes")
     members = nodes.select("h", F.posexplode("bands").alias("band", "value")).select("h", F.xxhash64("band", "value").alias("key"))
-    heads = members.groupBy("key").agg(F.min("h").alias("dst"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(members.join(heads, "key"), "members")
-    near = members.where("h <> dst").select(F.col("h").alias("src"), "dst").distinct().join(_side(nodes, "src"), "src").join(_side(nodes, "dst"), "dst")
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = written(members.join(counts, "key"), "members")
+    met = members.groupBy("h").agg(F.sum("n").alias("met"))
+    looks = written(nodes.select("h", *LOOKS).join(met, "h"), "looks")
+    heads = members.join(met, "h").groupBy("key").agg(F.max(F.struct("met", "h")).alias("head")).select("key", F.col("head.h").alias("dst"))
+    near = members.join(heads, "key").where("h <> dst").select(F.col("h").alias("src"), "dst").distinct().join(_side(looks, "src"), "src").join(_side(looks, "dst"), "dst")
     first = _alike(near.where(could_be_alike("src", "dst")).select("src", "dst"), nodes, docs)
     joined = written(connected_components(first), "joined")
     apart = members.where("n > 2").join(joined.withColumnRenamed("node", "h"), "h", "left").select("h", "key", F.coalesce("component", "h").alias("component"))
     open_ = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    apart = written(apart.join(open_, "key").join(nodes.select("h", "size", "sketch"), "h"), "apart")
-    sides = [apart.select("key", *(F.col(c).alias(n) for c, n in (("h", x), ("component", f"{x}_component"), ("size", f"{x}_size"), ("sketch", f"{x}_sketch")))) for x in ("src", "dst")]
+    apart = written(apart.join(open_, "key").join(looks.select("h", *LOOKS), "h"), "apart")
+    sides = [apart.select("key", F.col("h").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("component", *LOOKS))) for x in ("src", "dst")]
     # what can't be similar enough is left out where members meet, so no rows are made of it
     pairs = meet(*sides, ["key"], CROWD, (F.col("src") < F.col("dst")) & (F.col("src_component") != F.col("dst_component")) & could_be_alike("src", "dst")).select("src", "dst")
     linked = connected_components(first.union(_alike(pairs, nodes, docs)))

@@ -122,6 +122,40 @@ def test_near_groups_compare_all_of_a_crowded_band(spark, monkeypatch):
         assert got == {i: i // 2 * 2 for i, _ in rows}
 
 
+def test_near_groups_make_no_rows_of_a_crowd_of_unlike_copies(spark, monkeypatch):
+    rng, rows, sizes, write = random.Random(23), [], [], simhash.written
+
+    def spy(df, name):
+        out = write(df, name)
+        if name == "candidates":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", spy)
+    base = [f"w{k}" for k in range(150)]
+    for n in range(200):  # two of them share some 0.66 of their shingles
+        copy = list(base)
+        for at in rng.sample(range(150), 3):
+            copy[at] = f"y{n}x{at}"
+        rows.append((n, " ".join(copy)))
+    rows += [(1000 + n, f"{rows[n][1]} end") for n in range(20)]
+    want = slow_near_groups(rows)
+    got = dict(simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == want and len(set(want.values())) > 100
+    assert sum(sizes) < 3 * len(rows)
+
+
+def test_parities_differ_in_no_more_than_texts_do():
+    rng = np.random.default_rng(24)
+    for n, changed in ((0, 0), (1, 0), (1, 1), (60, 7), (400, 90), (5000, 3000)):
+        both, x, y = (np.unique(rng.integers(0, 1 << 64, k, np.uint64)) for k in (n, changed, changed // 2))
+        a, b = (np.unique(np.concatenate([both, z])) for z in (x, y))
+        apart = len(np.setxor1d(a, b))
+        differ = int(np.bitwise_count(simhash.parities(a) ^ simhash.parities(b)).sum())
+        assert differ <= apart and (apart - differ) % 2 == 0
+        assert apart > 150 or differ > 0.8 * apart or not apart
+
+
 def test_near_dedup_keeps_one_of_each(spark, docs, odd_docs):
     kept = simhash.near_dedup(docs)
     assert kept.columns == docs.columns
