@@ -35,7 +35,7 @@ DIFFERENT = BANDS * ROWS - int(BANDS * ROWS * AGREE - 5 * (BANDS * ROWS * AGREE
 PARITIES = 1024
 #: A band's members that aren't connected yet are all compared with one another, in slices of about this many against all.
 CROWD = 1024
-#: Up to so many ids of documents to compare are broadcast, so that no texts are shuffled.
+#: Up to so many ids of documents to compare, or of those that go, are broadcast, so that no texts are shuffled.
 ASKED = 2_000_000
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * ROWS, 1), np.uint64)
 _TIMES, _FLIP, _FOLD = _DRAWN[0] | np.uint64(1), _DRAWN[1], _DRAWN[2, :ROWS, 0] | np.uint64(1)
@@ -259,7 +259,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     groups = written(near_groups(docs), "groups")
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone.join(keep, "doc_id", "left_anti"), "doc_id", "left_anti").select(docs.columns)
+    gone, told = written_with(gone.join(keep, "doc_id", "left_anti"), "gone", F.count(F.lit(1)).alias("n"))
+    return docs.join(F.broadcast(gone) if told["n"] <= ASKED else gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -163,6 +163,20 @@ def test_near_dedup_keeps_one_of_each(spark, docs, odd_docs):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _, c in groups if i is None or i == c)
 
 
+def test_near_dedup_shuffles_no_texts(spark, docs, monkeypatch):
+    limit, want = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), None
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, plan in ((simhash.ASKED, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+            monkeypatch.setattr(simhash, "ASKED", most)
+            kept = simhash.near_dedup(docs)
+            got = rows_of(kept)
+            assert plan in kept._jdf.queryExecution().executedPlan().toString() and got == (want or got)
+            want = got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 # decontamination ----------------------------------------------------------------------------------------------
 
 def words(text):
