@@ -7,7 +7,8 @@ are. Within a group every member is linked to the smallest, which keeps what is
 
 The pipeline's stage asks for texts that share 0.8 of their five-word shingles. Their fingerprints differ in about ten
 of 64 bits, up to some 18, a radius that no ball or block reaches without most unrelated texts meeting too. So
-candidates meet in bands of MinHash values there, and each candidate pair's shingles are compared.
+candidates meet at shingles there: all texts put theirs in one order, rare ones first, and two that are similar enough share
+one of the first fifth of both. No such pair is lost, whatever the order. Each candidate pair's shingles are compared.
 """
 
 from __future__ import annotations
@@ -24,21 +25,17 @@ from graphloom.operators.entities import meet
 from graphloom.staging import written, written_with
 
 SEED = 42
-#: The stage's near copies share 4 of 5 distinct shingles of five words. Such a pair misses all bands once in 13,000.
-WORDS, ALIKE, BANDS, ROWS = 5, (4, 5), 24, 5
-#: Of a pair of that similarity each MinHash value's last four bits agree with this probability; a pair is compared unless its
-#: agreements stay five deviations below what that makes, which happens to one such pair in three million.
-AGREE = 0.8 + 0.2 / 16
-DIFFERENT = BANDS * ROWS - int(BANDS * ROWS * AGREE - 5 * (BANDS * ROWS * AGREE * (1 - AGREE)) ** 0.5)
+#: The stage's near copies share 4 of 5 distinct shingles of five words.
+WORDS, ALIKE = 5, (4, 5)
+#: Shingles are counted by so many remainders of their hashes, in slices of which each is summed by a task.
+COUNTERS, SLICES = 1 << 20, 64
 #: Bits of the parities of a text's shingles. What two texts don't share changes at most as many bits as it has shingles, so
-#: texts whose parities differ in more bits than that aren't alike, whatever their sketches say: no pair is lost by it.
+#: texts whose parities differ in more bits than that aren't alike: no pair is lost by it.
 PARITIES = 1024
-#: A band's members that aren't connected yet are all compared with one another, in slices of about this many against all.
+#: A shingle's members that aren't connected yet are all compared with one another, in slices of about this many against all.
 CROWD = 1024
 #: Up to so many ids of documents to compare, or of those that go, are broadcast, so that no texts are shuffled.
 ASKED = 2_000_000
-_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * ROWS, 1), np.uint64)
-_TIMES, _FLIP, _FOLD = _DRAWN[0] | np.uint64(1), _DRAWN[1], _DRAWN[2, :ROWS, 0] | np.uint64(1)
 
 
 def _words(text: str) -> list[bytes]:
@@ -119,18 +116,15 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFram
     return out.select("doc_id", hex_.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def bands(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A key for each band of MinHash values, and a sketch: the values' last four bits, sixteen to a number.
+def first_fifth(shingles: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The shingles at which a text meets all that are similar enough: the first ones by ``seen``, rare ones first, then by hash.
 
-    Two texts agree on a band with the power ``ROWS`` of their similarity.
+    Similar texts share 0.8 of the shingles of each at least. So of the shingles that both have, in an order that is the same for all
+    texts, the first is among the first n - 0.8 n + 1 of each text of n.
     """
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(shingles), 1024):
-        least = np.minimum(least, ((shingles[None, k : k + 1024] ^ _FLIP) * _TIMES).min(axis=1))
-    bits = np.zeros(-(-BANDS * ROWS // 16) * 16, np.uint64)
-    bits[: BANDS * ROWS] = least & np.uint64(15)
-    sketch = (bits.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
-    return (least.reshape(BANDS, ROWS) * _FOLD).sum(axis=1, dtype=np.uint64), sketch
+    few, many = ALIKE
+    keep = len(shingles) - -(-few * len(shingles) // many) + 1
+    return shingles[np.lexsort((shingles, seen[shingles % np.uint64(COUNTERS)]))[:keep]]
 
 
 def parities(shingles: np.ndarray) -> np.ndarray:
@@ -140,19 +134,14 @@ def parities(shingles: np.ndarray) -> np.ndarray:
 
 
 def could_be_alike(a: str, b: str) -> Column:
-    """Whether sizes, parities and sketches of two texts leave it open that they are similar enough. Columns: a_size, a_parity, a_sketch, and b's."""
+    """Whether sizes and parities of two texts leave it open that they are similar enough. Columns: a_size, a_parity, and b's."""
     few, many = ALIKE
     sizes = F.least(f"{a}_size", f"{b}_size") * many >= F.greatest(f"{a}_size", f"{b}_size") * few
     apart = F.lit(0)
     for n in range(PARITIES // 64):
         apart = apart + F.bit_count(F.get(f"{a}_parity", n).bitwiseXOR(F.get(f"{b}_parity", n)))
     near = apart * (many + few) <= (F.col(f"{a}_size") + F.col(f"{b}_size")) * (many - few)
-    unlike = F.lit(0)
-    for n in range(-(-BANDS * ROWS // 16)):
-        x = F.get(f"{a}_sketch", n).bitwiseXOR(F.get(f"{b}_sketch", n))
-        any_ = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        unlike = unlike + F.bit_count(any_.bitwiseAND(F.lit(0x1111111111111111)))
-    return sizes & near & (unlike <= DIFFERENT)
+    return sizes & near
 
 
 def _identity(found: list[bytes]) -> int:
@@ -161,8 +150,46 @@ def _identity(found: list[bytes]) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(found), SEED)).astype(np.int64))
 
 
+def counters(docs: DataFrame) -> np.ndarray:
+    """How many texts have shingles of each of ``COUNTERS`` remainders, 4 MB however many texts there are. They order shingles, so
+    what is alike doesn't depend on them."""
+
+    def count(batches):
+        import zlib
+
+        import pyarrow as pa
+
+        seen = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                for t in batch.slice(k, 256).column("text").to_pylist():
+                    np.add.at(seen, (np.unique(_shingles(_words(t), WORDS)) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        parts = [(n, zlib.compress(x.tobytes(), 1)) for n, x in enumerate(seen.reshape(SLICES, -1)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["slice", "seen"])
+
+    def add(batches):
+        import zlib
+
+        import pyarrow as pa
+
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for n, x in zip(batch.column("slice").to_pylist(), batch.column("seen").to_pylist(), strict=True):
+                sums[n] = sums.get(n, 0) + np.frombuffer(zlib.decompress(x), np.int64)
+        packed = [x.astype(np.float32).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "seen"])
+
+    fields = "slice int, seen binary"
+    out = np.zeros((SLICES, COUNTERS // SLICES), np.float32)
+    for n, x in docs.select("text").mapInArrow(count, fields).repartition(SLICES, "slice").mapInArrow(add, fields).collect():
+        out[n] = np.frombuffer(x, np.float32)
+    return out.reshape(-1)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, size, bands, sketch, parity): h tells texts of other words apart, size counts distinct shingles."""
+    """(doc_id, h, size, bands, parity): h tells texts of other words apart, size counts distinct shingles, bands are those at
+    which the text meets others."""
+    seen = docs.sparkSession.sparkContext.broadcast(counters(docs))
 
     def run(batches):
         import pyarrow as pa
@@ -172,11 +199,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 part = batch.slice(k, 256)
                 found = [_words(t) for t in part.column("text").to_pylist()]
                 sets = [np.unique(_shingles(f, WORDS)) for f in found]
-                hashed = [[y.view(np.int64) for y in (*bands(x), parities(x))] for x in sets]
-                columns = [pa.array([_identity(f) for f in found], pa.int64()), pa.array(map(len, sets), pa.int32()), *(pa.array([x[n] for x in hashed], pa.list_(pa.int64())) for n in (0, 1, 2))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "h", "size", "bands", "sketch", "parity"])
+                hashed = [[y.view(np.int64) for y in (first_fifth(x, seen.value), parities(x))] for x in sets]
+                columns = [pa.array([_identity(f) for f in found], pa.int64()), pa.array(map(len, sets), pa.int32()), *(pa.array([x[n] for x in hashed], pa.list_(pa.int64())) for n in (0, 1))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "h", "size", "bands", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long, size int, bands array<long>, sketch array<long>, parity array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long, size int, bands array<long>, parity array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -195,7 +222,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 #: What :func:`could_be_alike` looks at.
-LOOKS = ("size", "sketch", "parity")
+LOOKS = ("size", "parity")
 
 
 def _side(nodes: DataFrame, name: str) -> DataFrame:
@@ -203,7 +230,7 @@ def _side(nodes: DataFrame, name: str) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(src, dst): those of ``pairs``, whose sizes, parities and sketches leave it open, whose shingles are similar enough, which is compared exactly."""
+    """(src, dst): those of ``pairs``, whose sizes and parities leave it open, whose shingles are similar enough, which is compared exactly."""
     few, many = ALIKE
     could = written(pairs.distinct(), "candidates")
     asked = could.select(F.col("src").alias("h")).union(could.select(F.col("dst").alias("h"))).distinct()
@@ -219,17 +246,16 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every row: component_id is the smallest doc_id reachable over similar texts.
 
-    Texts of the same words are one node. Within a band all are compared with the one that shares most bands with most
-    others, then all those that are not connected yet with one another, however many. Sizes, parities and sketches are looked at for
-    each such pair where they meet, which takes time with the square of a band's members that stay unlike; rows are made of
-    those alone that may be alike.
+    Texts of the same words are one node. At a shingle of :func:`first_fifth` all are compared with the one that meets most
+    others, then all those that are not connected yet with one another, however many; all pairs that are similar enough meet.
+    Sizes and parities are looked at for each such pair where they meet, which takes time with the square of a shingle's
+    members that stay unlike; rows are made of those alone that may be alike.
     """
     docs = texts(docs)
     found = written(signatures(docs), "signatures")
     nodes = written(found.where("doc_id is not null").groupBy("h").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("bands", *LOOKS))), "nodes")
-    members = nodes.select("h", F.posexplode("bands").alias("band", "value")).select("h", F.xxhash64("band", "value").alias("key"))
-    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(members.join(counts, "key"), "members")
+    members = nodes.select("h", F.explode("bands").alias("key"))
+    members = written(members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "members")
     met = members.groupBy("h").agg(F.sum("n").alias("met"))
     looks = written(nodes.select("h", *LOOKS).join(met, "h"), "looks")
     heads = members.join(met, "h").groupBy("key").agg(F.max(F.struct("met", "h")).alias("head")).select("key", F.col("head.h").alias("dst"))

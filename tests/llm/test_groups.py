@@ -108,6 +108,28 @@ def test_near_groups_reach_similarity(spark):
     assert got == want
 
 
+def test_near_groups_lose_no_pair(spark):
+    # pairs that share 8 of 10 shingles and not one of the MinHash bands that were used before
+    rows = []
+    for k in (4346, 4957, 8754):
+        words = [f"w{k}x{n}" for n in range(13)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[:12], "end"]))]
+    want = {i: i // 2 * 2 for i, _ in rows}
+    assert slow_near_groups(rows) == want
+    assert dict(simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
+def test_first_fifths_of_similar_texts_meet():
+    rng = np.random.default_rng(25)
+    for seen in (np.zeros(simhash.COUNTERS, np.float32), rng.integers(0, 9, simhash.COUNTERS).astype(np.float32)):
+        for n in (1, 2, 4, 8, 9, 10, 40, 81, 200, 900):
+            both = rng.integers(0, 1 << 64, n, np.uint64)
+            for more in range(0, n // 4 + 1, max(1, n // 12)):  # all that is apart in one text, or in both
+                x, y = rng.integers(0, 1 << 64, more, np.uint64), rng.integers(0, 1 << 64, n // 4 - more, np.uint64)
+                a, b = (np.unique(np.concatenate([both, z])) for z in (x, y))
+                assert np.intersect1d(simhash.first_fifth(a, seen), simhash.first_fifth(b, seen)).size
+
+
 def test_near_groups_compare_all_of_a_crowded_band(spark, monkeypatch):
     rng, rows, sign = random.Random(22), [], simhash.signatures
     for k in range(50):
