@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm import worker
 from graphloom.llm.pretokens import encoder, slices, vocabulary
 from graphloom.llm.tables import table, texts
 from graphloom.staging import written
@@ -193,6 +194,7 @@ def _pack(small: DataFrame, blocks: int, capacity: int, islands: int, epochs: in
         def island(batches, epoch=epoch):
             import pyarrow as pa
 
+            worker.begins("packing")
             for batch in batches:
                 out = []
                 for block, isle, items, elite in zip(*(batch.column(c).to_pylist() for c in ("block", "island", "all", "elite")), strict=True):

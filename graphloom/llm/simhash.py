@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm import worker
 from graphloom.llm.tables import table, texts
 from graphloom.operators.components import connected_components
 from graphloom.operators.entities import meet
@@ -73,6 +74,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        worker.begins("simhash")
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
@@ -159,6 +161,7 @@ def counters(docs: DataFrame) -> np.ndarray:
 
         import pyarrow as pa
 
+        worker.begins("simhash")
         seen = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
@@ -172,6 +175,7 @@ def counters(docs: DataFrame) -> np.ndarray:
 
         import pyarrow as pa
 
+        worker.begins("simhash")
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for n, x in zip(batch.column("slice").to_pylist(), batch.column("seen").to_pylist(), strict=True):
@@ -194,6 +198,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        worker.begins("simhash")
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
@@ -212,6 +217,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        worker.begins("simhash")
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 found = [_words(t) for t in batch.slice(k, 64).column("text").to_pylist()]

@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm import worker
 from graphloom.llm.tables import table, texts
 
 #: Labelled rows to train on, about; all their buckets are used.
@@ -32,6 +33,7 @@ REJECT = 0.3
 REMEMBERED = 200_000
 
 _buckets: dict[str, int] = {}
+worker.remembers("toxicity", _buckets.clear)
 
 
 def bucket(word: str) -> int:
@@ -173,6 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     def hashed(batches):
         import pyarrow as pa
 
+        worker.begins("toxicity")
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
@@ -182,6 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     def learn(batches):
         import pyarrow as pa
 
+        worker.begins("training")
         rows = []
         for batch in batches:
             column = batch.column("terms")
@@ -189,6 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
             rows += [(doc, y, flat[a:b]) for doc, y, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), ends[:-1], ends[1:], strict=True)]
         rows.sort(key=lambda r: (r[0], r[2].tobytes()))  # the same order each time, whatever tasks were repeated
         model = train([r[2] for r in rows], [r[1] for r in rows])
+        rows = batch = column = flat = ends = None
+        worker.give_back()
         yield pa.RecordBatch.from_pydict({"model": pa.array([model.astype(np.float32).tobytes()], pa.binary())})
 
     found = rows.select("doc_id", "toxic", "text").mapInArrow(hashed, "doc_id long, toxic int, terms array<int>")
@@ -204,6 +210,7 @@ def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        worker.begins("toxicity")
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
@@ -236,6 +243,7 @@ def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        worker.begins("toxicity")
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
