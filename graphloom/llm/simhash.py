@@ -23,7 +23,7 @@ from graphloom.llm import worker
 from graphloom.llm.tables import table, texts
 from graphloom.operators.components import connected_components
 from graphloom.operators.entities import meet
-from graphloom.staging import written, written_with
+from graphloom.staging import drop_written, noted, written, written_with
 
 SEED = 42
 #: The stage's near copies share 4 of 5 distinct shingles of five words.
@@ -129,12 +129,17 @@ def first_fifth(shingles: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return shingles[np.lexsort((shingles, seen[shingles % np.uint64(COUNTERS)]))[:keep]]
 
 
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """A bit for each of ``PARITIES`` remainders of hashes, 64 to a number: whether an odd number of distinct shingles has it."""
-    odd = np.bincount((shingles % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1
+def parities(shingles: np.ndarray, width: int = PARITIES) -> np.ndarray:
+    """A bit for each of ``width`` remainders of hashes, 64 to a number: whether an odd number of distinct shingles has it."""
+    odd = np.bincount((shingles % np.uint64(width)).astype(np.int64), minlength=width).astype(np.uint8) & 1
     return np.packbits(odd).view(np.uint64)
 
 
+def wide_parities(shingles: np.ndarray) -> np.ndarray | None:
+    """Parities of as many remainders as a text has shingles at least, a power of two, for texts of which ``PARITIES`` tell little."""
+    return None if len(shingles) <= PARITIES else parities(shingles, 1 << (len(shingles) - 1).bit_length())
+
+
 def could_be_alike(a: str, b: str) -> Column:
     """Whether sizes and parities of two texts leave it open that they are similar enough. Columns: a_size, a_parity, and b's."""
     few, many = ALIKE
@@ -146,6 +151,21 @@ def could_be_alike(a: str, b: str) -> Column:
     return sizes & near
 
 
+def still_alike(a: str, b: str) -> Column:
+    """Whether the wide parities, where both texts have them, leave it open too. Columns: a_size, a_wide, and b's.
+
+    Of two sizes that are near enough one has twice the other's parities at most; these are folded, as a remainder's bit is that of the
+    two remainders that it comes of.
+    """
+    few, many = ALIKE
+    halves = lambda x: F.zip_with(F.slice(x, 1, F.expr(f"size({x}) div 2")), F.slice(x, F.expr(f"size({x}) div 2 + 1"), F.expr(f"size({x}) div 2")), lambda p, q: p.bitwiseXOR(q))
+    as_wide_as = lambda x, y: F.when(F.size(x) == 2 * F.size(y), halves(x)).otherwise(F.col(x))
+    bits = F.zip_with(as_wide_as(f"{a}_wide", f"{b}_wide"), as_wide_as(f"{b}_wide", f"{a}_wide"), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    apart = F.aggregate(bits, F.lit(0), lambda x, y: x + F.coalesce(y, F.lit(0)))
+    near = apart * (many + few) <= (F.col(f"{a}_size") + F.col(f"{b}_size")) * (many - few)
+    return F.coalesce(near, F.lit(True))
+
+
 def _identity(found: list[bytes]) -> int:
     import xxhash
 
@@ -191,7 +211,7 @@ def counters(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, size, bands, parity): h tells texts of other words apart, size counts distinct shingles, bands are those at
+    """(doc_id, h, size, bands, parity, wide): h tells texts of other words apart, size counts distinct shingles, bands are those at
     which the text meets others."""
     seen = docs.sparkSession.sparkContext.broadcast(counters(docs))
 
@@ -204,11 +224,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 part = batch.slice(k, 256)
                 found = [_words(t) for t in part.column("text").to_pylist()]
                 sets = [np.unique(_shingles(f, WORDS)) for f in found]
-                hashed = [[y.view(np.int64) for y in (first_fifth(x, seen.value), parities(x))] for x in sets]
-                columns = [pa.array([_identity(f) for f in found], pa.int64()), pa.array(map(len, sets), pa.int32()), *(pa.array([x[n] for x in hashed], pa.list_(pa.int64())) for n in (0, 1))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "h", "size", "bands", "parity"])
+                hashed = [[y if y is None else y.view(np.int64) for y in (first_fifth(x, seen.value), parities(x), wide_parities(x))] for x in sets]
+                columns = [pa.array([_identity(f) for f in found], pa.int64()), pa.array(map(len, sets), pa.int32()), *(pa.array([x[n] for x in hashed], pa.list_(pa.int64())) for n in (0, 1, 2))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "h", "size", "bands", "parity", "wide"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long, size int, bands array<long>, parity array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long, size int, bands array<long>, parity array<long>, wide array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -231,22 +251,43 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 LOOKS = ("size", "parity")
 
 
-def _side(nodes: DataFrame, name: str) -> DataFrame:
-    return nodes.select(F.col("h").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in LOOKS))
+def _side(nodes: DataFrame, name: str, looks: tuple[str, ...] = LOOKS) -> DataFrame:
+    return nodes.select(F.col("h").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in looks))
+
 
+def _alike(pairs: DataFrame, nodes: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
+    """(src, dst): those of ``pairs``, whose sizes and parities leave it open, whose shingles are similar enough, which is compared exactly.
 
-def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(src, dst): those of ``pairs``, whose sizes and parities leave it open, whose shingles are similar enough, which is compared exactly."""
+    Long texts are looked at by their wide parities first, so that hardly any shingles are written but those of texts that are alike.
+    """
     few, many = ALIKE
-    could = written(pairs.distinct(), "candidates")
-    asked = could.select(F.col("src").alias("h")).union(could.select(F.col("dst").alias("h"))).distinct()
-    ids, told = written_with(nodes.join(asked, "h", "left_semi").select(F.col("node").alias("doc_id")).distinct(), "asked", F.count(F.lit(1)).alias("n"))
-    rows = docs.join(F.broadcast(ids) if told["n"] <= ASKED else ids, "doc_id", "left_semi")
-    sets = written(shingle_sets(rows).join(asked, "h", "left_semi").dropDuplicates(["h"]), "shingles")
+    with noted() as passed:
+        could = written(pairs.distinct(), "candidates")
+        asked = written(could.select(F.explode(F.array("src", "dst")).alias("h")).distinct(), "looked_at")
+        long_ = first.where("wide is not null").join(F.broadcast(asked) if asked.count() <= ASKED else asked, "h", "left_semi")
+        wide = written(long_.select("h", "size", "wide"), "wide")
+        could = could.join(_side(wide, "src", ("size", "wide")), "src", "left").join(_side(wide, "dst", ("size", "wide")), "dst", "left")
+        could = written(could.where(still_alike("src", "dst")).select("src", "dst"), "close")
+        asked = could.select(F.explode(F.array("src", "dst")).alias("h")).distinct()
+        ids, told = written_with(nodes.join(asked, "h", "left_semi").select(F.col("node").alias("doc_id")).distinct(), "asked", F.count(F.lit(1)).alias("n"))
+        rows = docs.join(F.broadcast(ids) if told["n"] <= ASKED else ids, "doc_id", "left_semi")
+        sets = written(shingle_sets(rows).join(asked, "h", "left_semi").dropDuplicates(["h"]), "shingles")
     side = lambda name: sets.select(F.col("h").alias(name), F.col("shingles").alias(f"{name}_set"))
     both = could.join(side("src"), "src").join(side("dst"), "dst")
     shared, total = F.size(F.array_intersect("src_set", "dst_set")), F.size("src_set") + F.size("dst_set")
-    return written(both.where(shared * many >= (total - shared) * few).select("src", "dst"), "alike")
+    out = written(both.where(shared * many >= (total - shared) * few).select("src", "dst"), "alike")
+    drop_written(docs.sparkSession, passed)
+    return out
+
+
+def _first_rows(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, first): h and the least doc_id, node, of each text, and its row of ``found`` that counts, so that bands aren't shuffled
+    where up to ``ASKED`` rows are copies."""
+    named = found.where("doc_id is not null")
+    nodes = written(named.groupBy("h").agg(F.min("doc_id").alias("node"), F.min("row").alias("row")), "nodes")
+    copies, told = written_with(named.select("row").join(nodes.select("row"), "row", "left_anti"), "copies", F.count(F.lit(1)).alias("n"))
+    first = named.join(F.broadcast(copies), "row", "left_anti") if told["n"] <= ASKED else named.join(nodes.select("row"), "row", "left_semi")
+    return nodes, first
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -258,23 +299,23 @@ def near_groups(docs: DataFrame) -> DataFrame:
     members that stay unlike; rows are made of those alone that may be alike.
     """
     docs = texts(docs)
-    found = written(signatures(docs), "signatures")
-    nodes = written(found.where("doc_id is not null").groupBy("h").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("bands", *LOOKS))), "nodes")
-    members = nodes.select("h", F.explode("bands").alias("key"))
+    found = written(signatures(docs).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    nodes, first = _first_rows(found)
+    members = first.select("h", F.explode("bands").alias("key"))
     members = written(members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "members")
     met = members.groupBy("h").agg(F.sum("n").alias("met"))
-    looks = written(nodes.select("h", *LOOKS).join(met, "h"), "looks")
+    looks = written(first.select("h", *LOOKS).join(met, "h"), "looks")
     heads = members.join(met, "h").groupBy("key").agg(F.max(F.struct("met", "h")).alias("head")).select("key", F.col("head.h").alias("dst"))
     near = members.join(heads, "key").where("h <> dst").select(F.col("h").alias("src"), "dst").distinct().join(_side(looks, "src"), "src").join(_side(looks, "dst"), "dst")
-    first = _alike(near.where(could_be_alike("src", "dst")).select("src", "dst"), nodes, docs)
-    joined = written(connected_components(first), "joined")
+    linked = _alike(near.where(could_be_alike("src", "dst")).select("src", "dst"), nodes, first, docs)
+    joined = written(connected_components(linked), "joined")
     apart = members.where("n > 2").join(joined.withColumnRenamed("node", "h"), "h", "left").select("h", "key", F.coalesce("component", "h").alias("component"))
     open_ = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     apart = written(apart.join(open_, "key").join(looks.select("h", *LOOKS), "h"), "apart")
     sides = [apart.select("key", F.col("h").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("component", *LOOKS))) for x in ("src", "dst")]
     # what can't be similar enough is left out where members meet, so no rows are made of it
     pairs = meet(*sides, ["key"], CROWD, (F.col("src") < F.col("dst")) & (F.col("src_component") != F.col("dst_component")) & could_be_alike("src", "dst")).select("src", "dst")
-    linked = connected_components(first.union(_alike(pairs, nodes, docs)))
+    linked = connected_components(linked.union(_alike(pairs, nodes, first, docs)))
     grouped = nodes.select("h", "node").join(linked.withColumnRenamed("node", "h"), "h", "left").select("h", "node", F.coalesce("component", "h").alias("component"))
     least = grouped.join(grouped.groupBy("component").agg(F.min("node").alias("component_id")), "component").select("h", "component_id")
     out = found.select("doc_id", "h").join(least, "h", "left")
@@ -288,10 +329,12 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id stay as well. Of rows that repeat the smallest doc_id all stay, as they are one document.
     Null and empty texts are copies of one another; texts of any length are compared whole. No documents give no rows.
     """
-    groups = written(near_groups(docs), "groups")
+    with noted() as passed:
+        groups = written(near_groups(docs), "groups")
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     gone, told = written_with(gone.join(keep, "doc_id", "left_anti"), "gone", F.count(F.lit(1)).alias("n"))
+    drop_written(docs.sparkSession, passed)  # the stages after this one find the disk as this one did
     return docs.join(F.broadcast(gone) if told["n"] <= ASKED else gone, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 
@@ -10,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from graphloom import staging
 from graphloom.llm import chat, decontaminate, pii, simhash, topk, toxicity
 
 
@@ -178,6 +180,64 @@ def test_parities_differ_in_no_more_than_texts_do():
         assert apart > 150 or differ > 0.8 * apart or not apart
 
 
+def long_copies():
+    """Texts of over 1,024 shingles around 0.8, and unlike ones that share a passage."""
+    rng, rows = random.Random(26), []
+    for n in (1000, 1030, 1900, 2100, 4200):
+        words = [f"v{n}x{k}" for k in range(n)]
+        rows.append((len(rows), " ".join(words)))
+        for more in (0, n // 12, n // 4, n // 4 + 1, n // 4 + 9):  # longer by a quarter of the shingles: just alike
+            rows.append((len(rows), " ".join([*words, *(f"z{len(rows)}x{k}" for k in range(more))])))
+        for changed in (9, 22, 24):
+            copy = list(words)
+            for at in rng.sample(range(n), n * changed // 1000):
+                copy[at] = f"y{len(rows)}x{at}"
+            rows.append((len(rows), " ".join(copy)))
+    shared = [f"s{k}" for k in range(900)]
+    return rows, [(1000 + n, " ".join([*(f"u{n}x{k}" for k in range(3000)), *shared])) for n in range(8)]
+
+
+def test_near_groups_of_long_texts(spark, monkeypatch):
+    rows, unlike = long_copies()
+    read, sets = [], simhash.shingle_sets
+
+    def spy(docs):
+        read.extend(r["doc_id"] for r in docs.select("doc_id").collect())
+        return sets(docs)
+
+    monkeypatch.setattr(simhash, "shingle_sets", spy)
+    want = slow_near_groups(rows + unlike)
+    got = dict(simhash.near_groups(spark.createDataFrame(rows + unlike, "doc_id long, text string").repartition(3)).collect())
+    assert got == want and 5 < len({want[i] for i, _ in rows}) < len(rows)
+    # unlike texts meet at the passage that they share, and their shingles aren't written
+    assert len(read) > 20 and not set(read) & {i for i, _ in unlike}
+
+
+def test_wide_parities_lose_no_pair(spark):
+    rng = np.random.default_rng(27)
+    pairs, alike = [], []
+    for n in (900, 1024, 1025, 1600, 2040, 2049, 5000):
+        for more in (0.0, 0.1, 0.24, 0.25, 0.4):
+            both = rng.integers(0, 1 << 64, n, np.uint64)
+            a, b = both, np.unique(np.concatenate([both, rng.integers(0, 1 << 64, int(n * more), np.uint64)]))
+            for x, y in ((a, b), (b, a)):
+                wide = [w if w is None else w.view(np.int64).tolist() for w in map(simhash.wide_parities, (x, y))]
+                pairs.append((len(x), wide[0], len(y), wide[1]))
+                alike.append(5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)))
+    df = spark.createDataFrame(pairs, "a_size int, a_wide array<long>, b_size int, b_wide array<long>").coalesce(1)
+    got = [r[0] for r in df.select(simhash.still_alike("a", "b")).collect()]
+    assert all(g for g, w in zip(got, alike, strict=True) if w) and not all(got) and all(g for g, p in zip(got, pairs, strict=True) if not (p[1] and p[3]))
+
+
+def test_near_dedup_leaves_just_what_it_reads(spark, docs):
+    with staging.noted() as paths:
+        kept = simhash.near_dedup(docs)
+    names = {p.rsplit("/", 1)[1].split("-")[0] for p in paths}
+    left = [p for p in paths if p in staging._written]
+    assert {"signatures", "members", "groups", "gone"} <= names and len(left) == 1 and "/gone-" in left[0]
+    assert not [p for p in paths if p not in left and os.path.exists(p.removeprefix("file://"))] and os.path.exists(left[0].removeprefix("file://")) and kept.count()
+
+
 def test_near_dedup_keeps_one_of_each(spark, docs, odd_docs):
     kept = simhash.near_dedup(docs)
     assert kept.columns == docs.columns
