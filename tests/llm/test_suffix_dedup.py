@@ -4,9 +4,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from graphloom.llm.suffix_dedup import suffix_dedup
+from graphloom.llm.suffix_dedup import STOP, _ranges, suffix_dedup, suffix_ranks
 
 SCHEMA = "doc_id long, text string, lang string, spans string, key long"
 
@@ -64,3 +65,24 @@ def test_hot_key_over_many_shards(spark):
 
 def test_empty(spark):
     assert result(spark, [], length=40, context=10) == []
+
+
+def test_ranks_need_no_bytes_beyond_a_unit():
+    rng = random.Random(7)
+    units = ["".join(rng.choices("ab", k=rng.randint(40, 90))).encode() for _ in range(60)]
+    units += [u[k:] + u[:k] for u in units[:20] for k in (0, 3, 17)]
+    data = np.frombuffer(b"".join(u + bytes([STOP]) for u in units), np.uint8)
+    ends = np.cumsum([len(u) + 1 for u in units]) - 1
+    room = np.repeat(ends, [len(u) + 1 for u in units]) - np.arange(len(data))
+    whole, ranks = suffix_ranks(data, 40), suffix_ranks(data, 40, room)
+    starts = np.flatnonzero(room >= 40)
+    passages = [data[p : p + 40].tobytes() for p in starts]
+    order = np.argsort(ranks[starts], kind="stable")
+    assert [passages[k] for k in order] == sorted(passages)
+    for found in (whole, ranks):  # equal passages, and no others, have equal ranks
+        assert len(set(zip(found[starts].tolist(), passages, strict=True))) == len(set(passages)) == len(set(found[starts].tolist()))
+
+
+def test_ranges_of_all_arrays_at_once():
+    flags = [[1, 1, 0, 1], [1], [0, 0], [], [0, 1, 1], [1, 1]]
+    assert _ranges([np.array(f, bool) for f in flags]) == [(0, 0, 2), (0, 3, 4), (1, 0, 1), (4, 1, 3), (5, 0, 2)]
